@@ -1,0 +1,6 @@
+"""No streaming operator is owed by the blueprint.
+
+Stored preparations and models are plain column expressions and ``spark.ml``
+transformers, so :mod:`tabloom.operators.score` can be applied inside a
+``foreachBatch`` writer without an operator of its own.
+"""
