@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import col
 from .sizing import SMALL_ROWS, collect_if_small
@@ -167,25 +168,47 @@ def _walk_values(df, targets, below, value_rows) -> None:
                 break
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, value, n)`` over all ``columns`` as text, nulls left out.
+def typed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(__c, whole, number, text, n)``: every value of every column with its count.
 
-    One shuffle for all columns; equal values are combined before it.
+    ``__c`` is the position in ``columns``; a value sits in the field of its type, so
+    numbers are never turned into text before they are combined.  One shuffle serves
+    all columns, and equal values are combined before it.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns]
-    )
+    types = {f.name: f.dataType for f in df.schema}
+    structs = []
+    for i, c in enumerate(columns):
+        whole = isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        number = isinstance(types[c], T.DoubleType)
+        structs.append(
+            F.struct(
+                F.lit(i).alias("__c"),
+                (col(c) if whole else F.lit(None)).cast("bigint").alias("whole"),
+                (col(c) if number else F.lit(None)).cast("double").alias("number"),
+                (F.lit(None) if whole or number else col(c)).cast("string").alias("text"),
+            )
+        )
     return (
-        df.select(F.inline(pairs))
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        df.select(F.inline(F.array(*structs)))
+        .where("whole IS NOT NULL OR number IS NOT NULL OR text IS NOT NULL")
+        .groupBy("__c", "whole", "number", "text")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Like :func:`value_counts`, with the numeric reading of each value for sorting."""
-    return value_counts(df, columns).withColumn("number", F.col("value").try_cast("double"))
+def _column_name(columns: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1).alias("column_name")
+
+
+def _value_text() -> Column:
+    return F.coalesce(F.col("whole").cast("string"), F.col("number").cast("string"), F.col("text"))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, value, n)`` over all ``columns``, values as text, nulls left out."""
+    return typed_counts(df, columns).select(
+        _column_name(columns), _value_text().alias("value"), "n"
+    )
 
 
 def distinct_counts(
@@ -207,8 +230,14 @@ def distinct_counts(
         sketch = wide_aggregate(df, {c: F.approx_count_distinct(col(c)) for c in columns})
         counted = [c for c in columns if sketch[c] <= exact_below]
         estimates = [(c, sketch[c]) for c in columns if c not in counted]
+    # At most one row per column, so it is small enough to broadcast by construction.
     present = (
-        value_counts(df, counted).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+        F.broadcast(
+            typed_counts(df, counted)
+            .groupBy("__c")
+            .agg(F.count(F.lit(1)).alias("distinct_values"))
+            .select(_column_name(counted), "distinct_values")
+        )
         if counted
         else spark.createDataFrame([], schema)
     )
@@ -229,10 +258,14 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     )
 
 
-def smallest_values(distinct: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest distinct values per column, numbers before text.
+def smallest_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """``(column_name, sample_values)``: the ``k`` smallest distinct values as text.
 
     The ranking is cut to ``k`` per partition before the shuffle.
     """
-    order = Window.partitionBy("column_name").orderBy(F.col("number").asc_nulls_last(), "value")
-    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("__c").orderBy("whole", "number", "text")
+    ranked = typed_counts(df, columns).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    per_column = ranked.groupBy("__c").agg(
+        F.array_sort(F.collect_list(F.struct("rank", _value_text().alias("value")))).alias("s")
+    )
+    return per_column.select(_column_name(columns), F.col("s.value").alias("sample_values"))

@@ -198,7 +198,7 @@ def numeric_profile(
         ]
     facts = rows_from_aggregate(
         data.agg(*exprs), columns, [("lo", "double"), ("hi", "double"), ("std", "double")]
-    ).join(distinct_counts(data, columns, exact_distinct), "column_name")
+    ).join(F.broadcast(distinct_counts(data, columns, exact_distinct)), "column_name")
     lo, hi, std, distinct = (F.col(x) for x in ("lo", "hi", "std", "distinct_values"))
     return facts.select(
         "column_name",
@@ -329,7 +329,7 @@ def column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         data.agg(*exprs),
         columns,
         [("lo", "string"), ("hi", "string"), ("whole", "boolean"), ("valid", "bigint"), ("kind", "string")],
-    ).join(distinct_counts(data, columns), "column_name")
+    ).join(F.broadcast(distinct_counts(data, columns)), "column_name")
     discrete = (F.col("distinct_values") <= DISCRETE_MAX_DISTINCT) & F.col("whole")
     text_form = (
         F.when(F.col("kind") == "text", F.format_string("Categorical (%d unique values)", "distinct_values"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, nan_to_null, numeric_columns, rows_from_aggregate
-from ..functions.statistics import distinct_counts, distinct_values, smallest_values
+from ..functions.statistics import distinct_counts, smallest_values
 
 # Distinct-value limits of the compatibility rules.
 CATEGORICAL_MAX = 20
@@ -57,14 +57,11 @@ def target_profile(df: DataFrame, columns: Sequence[str] | None = None, exact_di
             ("whole", "boolean"),
         ],
     )
-    sample = (
-        smallest_values(distinct_values(data, columns), SAMPLE_VALUES)
-        .groupBy("column_name")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
-        .select("column_name", F.col("s.value").alias("sample_values"))
-    )
+    # Both sides have one row per column.
+    sample = F.broadcast(smallest_values(data, columns, SAMPLE_VALUES))
+    distinct = F.broadcast(distinct_counts(data, columns, exact_distinct))
     return (
-        facts.join(distinct_counts(data, columns, exact_distinct), "column_name")
+        facts.join(distinct, "column_name")
         .join(sample, "column_name", "left")
         .withColumn("missing_values", F.col("total_values") - F.col("valid_values"))
     )
