@@ -12,9 +12,14 @@ from pyspark.sql import types as T
 STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def quoted(name: str) -> str:
+    """A column name as it is written inside an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """Column by exact name, safe for dots, spaces and backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -31,13 +36,20 @@ def strip_text(c: Column) -> Column:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN is a missing value everywhere in this library."""
-    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    """NaN is a missing value everywhere in this library.
+
+    ``nanvl`` mentions the column once, so stacked calls collapse into one projection.
+    """
+    floats = {
+        f.name: f.dataType.simpleString()
+        for f in df.schema
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+    }
     if not floats:
         return df
-    return df.select(
+    return df.selectExpr(
         *[
-            F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c)
+            f"nanvl({quoted(c)}, cast(null AS {floats[c]})) AS {quoted(c)}" if c in floats else quoted(c)
             for c in df.columns
         ]
     )
@@ -45,10 +57,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def null_count(columns: Iterable[str]) -> Column:
     """How many of ``columns`` are null in a row."""
-    total = F.lit(0)
-    for c in columns:
-        total = total + col(c).isNull().cast("int")
-    return total
+    return F.expr(" + ".join(f"cast({quoted(c)} IS NULL AS int)" for c in columns) or "0")
 
 
 def rows_from_aggregate(

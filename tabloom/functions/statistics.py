@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import col
+from .columns import col, quoted
 from .sizing import SMALL_ROWS, collect_if_small
 
 # Rows up to which the in-buffer percentile is used.
@@ -66,11 +66,16 @@ def exact_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    counts = wide_aggregate(df, {c: F.count(col(c)) for c in columns})
+    counts = wide_aggregate(df, {c: F.expr(f"count({quoted(c)})") for c in columns})
     if max(counts.values()) <= direct_rows:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
+        probs = "array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")"
         got = wide_aggregate(
-            df, {c: F.percentile(col(c).cast("double"), probs) for c in columns if counts[c]}
+            df,
+            {
+                c: F.expr(f"percentile(cast({quoted(c)} AS double), {probs})")
+                for c in columns
+                if counts[c]
+            },
         )
         return {c: list(got[c]) if counts[c] else [None] * len(probabilities) for c in columns}
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, nan_to_null, null_count
+from ..functions.columns import col, nan_to_null, null_count, quoted
 from ..functions.names import Task, select_task, tidy_columns
 from ..functions.sizing import SMALL_ROWS, cut_lineage, join_by_size
 from ..functions.statistics import exact_quantiles, most_frequent, value_counts, wide_aggregate
@@ -37,8 +37,7 @@ def feature_kind(dtype: T.DataType) -> str:
 
 def coerce_numeric(c: Column) -> Column:
     """Numeric reading of a value; what does not parse becomes null."""
-    number = c.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
@@ -158,27 +157,30 @@ class Preparation:
             modes = {**modes, **_modes(df, self.text)}
         elif impute_from != "training":
             raise ValueError("impute_from is 'training' or 'batch'")
-        out = []
-        for c in df.columns:
-            kind = self.kinds.get(c) if c in self.features else None
+        used = {f: self.kinds[f] for f in self.features}
+        # Plain SQL strings: wide tables have one expression per column.
+        out: list = []
+        for name in df.columns:
+            kind, c = used.get(name), quoted(name)
             if kind == "numeric":
-                out.append(F.coalesce(coerce_numeric(col(c)), F.lit(medians[c])).alias(c))
+                number = f"nanvl(try_cast({c} AS double), cast(null AS double))"
+                out.append(F.expr(f"coalesce({number}, {float(medians[name])!r}D) AS {c}"))
             elif kind == "boolean":
-                out.append(col(c).cast("double").alias(c))
+                out.append(F.expr(f"cast({c} AS double) AS {c}"))
             elif kind == "text":
-                out.append(F.coalesce(col(c).cast("string"), F.lit(modes.get(c))).alias(c))
+                out.append(F.coalesce(col(name).cast("string"), F.lit(modes.get(name))).alias(name))
             else:
-                out.append(col(c))
+                out.append(c)
         return df.select(*out)
 
     def transform_features(self, df: DataFrame, impute_from: str = "training") -> DataFrame:
         """Imputed and encoded features in place; unseen categories take code 0."""
         require_columns(df, self.features)
         out = self.impute(nan_to_null(df), impute_from)
-        order = out.columns
+        order = [quoted(c) for c in out.columns]
         for c in self.text:
             out = encode(out, c, self.codes, self.code_counts[c], c, unseen=0)
-        return out.select(*[col(c) for c in order])
+        return out.select(*order)
 
     def transform_target(self, df: DataFrame) -> DataFrame:
         """Rows with a usable target, plus it as ``label``."""
@@ -190,7 +192,7 @@ class Preparation:
         return out.where(F.col("label").isNotNull())
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.transform_features(self.transform_target(nan_to_null(df)))
+        return self.transform_features(self.transform_target(df))
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns, ``label`` when present, and the feature vector.
@@ -199,12 +201,11 @@ class Preparation:
         """
         vector = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(self.features))], outputCol="features")
         label = ["label"] if "label" in df.columns else []
-        staged = df.select(
-            *[col(k) for k in keep],
-            *label,
-            *[col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(self.features)],
+        kept = [quoted(k) for k in keep] + label
+        staged = df.selectExpr(
+            *kept, *[f"cast({quoted(f)} AS double) AS __f{i}" for i, f in enumerate(self.features)]
         )
-        return vector.transform(staged).select(*[col(k) for k in keep], *label, "features")
+        return vector.transform(staged).select(*kept, "features")
 
     # -- persistence --
 
@@ -238,7 +239,12 @@ class Preparation:
 
 
 def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    numbers = df.select(*[coerce_numeric(col(c)).alias(c) for c in columns]) if columns else df
+    if not columns:
+        return {}
+    null = "cast(null AS double)"
+    numbers = df.selectExpr(
+        *[f"nanvl(try_cast({quoted(c)} AS double), {null}) AS {quoted(c)}" for c in columns]
+    )
     return {c: q[0] for c, q in exact_quantiles(numbers, columns, [0.5]).items() if q[0] is not None}
 
 

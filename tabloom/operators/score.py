@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, quoted
 from ..functions.names import tidy_columns
 from ..functions.sizing import cut_lineage, join_by_size
 from .models import Fitted
@@ -75,9 +75,9 @@ def _predict(df: DataFrame, model: Fitted, preparation: Preparation, key, impute
     """Predictions next to the untouched input row (``__row``)."""
     keyed = row_key(df, key) if model.name in ("knn", "knn_regressor") else df.withColumn("__id", F.lit(0))
     staged = keyed.select(
-        F.struct(*[col(c) for c in df.columns]).alias("__row"),
+        F.struct(*[quoted(c) for c in df.columns]).alias("__row"),
         "__id",
-        *[col(f) for f in preparation.features],
+        *[quoted(f) for f in preparation.features],
     )
     ready = preparation.assemble(preparation.transform_features(staged, impute_from), ["__row", "__id"])
     return model.predict(ready)

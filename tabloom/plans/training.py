@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..functions.columns import quoted
 from ..functions.names import Task, tidy_columns
 from ..operators.evaluate import classification_metrics, regression_metrics
 from ..operators.models import (
@@ -99,8 +100,8 @@ def train(
 
     ``key`` names the columns that identify a row; the split depends on them and the
     seed only.  Without a key, rows are numbered and the numbering is checkpointed.
-    The prepared vectors are persisted once and serve the split, the fit and the
-    metrics.
+    The prepared vectors are persisted while the split is found, the flagged rows while
+    the model is fitted and measured.
     """
     kind = "classification" if model in CLASSIFIER_PARAMETERS else "regression"
     if kind == "regression" and model not in REGRESSOR_PARAMETERS:
@@ -109,9 +110,10 @@ def train(
     data = row_key(tidy_columns(df), key)
     preparation = fit_preparation(data, target, predictors, kind)
     task = preparation.task
-    prepared = preparation.transform(data.select("__id", *[f"`{c}`" for c in task.columns]))
+    prepared = preparation.transform(data.select("__id", *[quoted(c) for c in task.columns]))
     vectors = preparation.assemble(prepared, ["__id"]).persist(StorageLevel.MEMORY_AND_DISK)
     split = train_test_split(vectors, ["__id"], "label" if kind == "classification" else None, seed)
+    split.data = split.data.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_model(split.train, model, full, split.n_train, preparation.n_classes)
     measure = classification_metrics if kind == "classification" else regression_metrics
     metrics: dict[str, float | None] = {"train_size": split.n_train, "test_size": split.n_test}

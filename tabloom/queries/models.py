@@ -24,8 +24,8 @@ DIMENSIONS = 64
 def embedding_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings with one column per dimension."""
     data = table(spark, folder, "embeddings")
-    return data.select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)]
+    return data.selectExpr(
+        "vec_id", "label", *[f"cast(embedding[{i}] AS double) AS e{i}" for i in range(DIMENSIONS)]
     )
 
 
