@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "cleaning", "preparation", "models", "scoring"]
+MODULES = ["quality", "cleaning", "preparation", "models", "scoring", "rules", "sources"]
 
 
 def registered() -> dict:
