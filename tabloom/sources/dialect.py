@@ -24,7 +24,9 @@ from ..functions.names import clean_name, unique_names
 SEPARATORS = [",", ";", "\t", "|"]
 SEPARATORS_MOST_COLUMNS = [";", ",", "\t", "|"]
 ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
-SINGLE_COLUMN_SUSPECTS = [",", ";", "\t"]
+# A lone column whose first cell holds one of these was not separated.  The pipe is
+# listed too: without it a pipe file would always be taken for one column.
+SINGLE_COLUMN_SUSPECTS = [",", ";", "\t", "|"]
 SAMPLE_ROWS = 5
 
 # The CSV reader's spelling of the two encodings that can be chosen: latin-1 decodes
@@ -162,7 +164,10 @@ def whole_file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     do not count as separators.
     """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
-    bare = F.regexp_replace("value", '"[^"]*"', "")
+    # Separators and quotes are single bytes in every encoding at hand; reading bytes as
+    # characters keeps invalid UTF-8 from swallowing them.
+    characters = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    bare = F.regexp_replace(characters, '"[^"]*"', "")
     widths = [
         F.max(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1).alias(n)
         for s, n in zip(SEPARATORS, NAMES)
