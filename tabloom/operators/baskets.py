@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import col, strip_text
 from ..functions.sizing import join_by_size
@@ -100,14 +101,18 @@ def row_baskets(df: DataFrame, tid: str, item: str, min_support: float) -> Baske
     Items below the support cannot be part of any result, so they are removed before
     rows are brought together: a transaction never holds more than the frequent
     items, however many rows its key has.  ``n`` still counts every transaction.
+    The distinct pairs are spread over both columns and persisted, so ``df`` (often a
+    join) is computed once for the three aggregates.
     """
-    pairs = df.select(col(tid).alias("tid"), col(item).cast("string").alias("item")).where(
-        F.col("tid").isNotNull() & F.col("item").isNotNull()
+    pairs = (
+        df.select(col(tid).alias("tid"), col(item).cast("string").alias("item"))
+        .where(F.col("tid").isNotNull() & F.col("item").isNotNull())
+        .distinct()
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     n = pairs.agg(F.count_distinct("tid")).first()[0]
     frequent = (
-        pairs.distinct()
-        .groupBy("item")
+        pairs.groupBy("item")
         .agg(F.count(F.lit(1)).alias("freq"))
         .where(F.col("freq") / F.lit(n) >= min_support)
         .select("item")

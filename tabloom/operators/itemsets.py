@@ -88,22 +88,24 @@ def fp_growth(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:
     The itemsets are written to the shared folder once: they are read several times
     by rule generation, and mining them again would be far dearer.
     """
-    asked = max(min_support - 1e-9, 0.0)
-    occupied = baskets.data.where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=_share_of_occupied(baskets, occupied, asked)).fit(occupied)
-    found = model.freqItemsets.select(
-        F.array_sort("items").alias("items"),
-        "freq",
-        (F.col("freq") / F.lit(baskets.n)).alias("support"),
-        F.size("items").alias("length"),
-    ).where((F.col("support") >= min_support) & (F.col("length") <= max_len))
-    return cut_lineage(found)
-
-
-def _share_of_occupied(baskets: Baskets, occupied: DataFrame, share: float) -> float:
-    """The same absolute support over the transactions that have items."""
-    rows = occupied.count()
-    return min(1.0, share * baskets.n / rows) if rows else 1.0
+    spark = baskets.data.sparkSession
+    occupied = baskets.data.where(F.size("items") > 0).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = occupied.count()
+        if not rows:
+            return spark.createDataFrame([], SCHEMA)
+        # The same absolute support, over the transactions that have items.
+        asked = min(1.0, max(min_support - 1e-9, 0.0) * baskets.n / rows)
+        model = FPGrowth(itemsCol="items", minSupport=asked).fit(occupied)
+        found = model.freqItemsets.select(
+            F.array_sort("items").alias("items"),
+            "freq",
+            (F.col("freq") / F.lit(baskets.n)).alias("support"),
+            F.size("items").alias("length"),
+        ).where((F.col("support") >= min_support) & (F.col("length") <= max_len))
+        return cut_lineage(found)
+    finally:
+        occupied.unpersist()
 
 
 def apriori(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:

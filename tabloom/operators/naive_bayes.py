@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +31,22 @@ class GaussianNaiveBayes:
         means, variances = self.means, self.variances
         constant = prior - 0.5 * np.log(2.0 * np.pi * variances).sum(axis=1)
 
-        @F.pandas_udf("struct<prediction: double, probability: array<double>>")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("struct<prediction: double, probability: array<double>>")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                if not len(batch):
-                    yield pd.DataFrame({"prediction": [], "probability": []})
-                    continue
-                x = np.stack(batch.to_numpy()).astype(float)
+                x = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
                 joint = np.empty((len(x), len(classes)))
-                for c in range(len(classes)):
+                for c in range(len(classes) if len(x) else 0):
                     joint[:, c] = constant[c] - 0.5 * ((x - means[c]) ** 2 / variances[c]).sum(axis=1)
                 shifted = np.exp(joint - joint.max(axis=1, keepdims=True))
                 share = shifted / shifted.sum(axis=1, keepdims=True)
-                yield pd.DataFrame(
-                    {"prediction": classes[joint.argmax(axis=1)], "probability": list(share)}
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(classes))
+                yield pa.StructArray.from_arrays(
+                    [
+                        pa.array(classes[joint.argmax(axis=1)]),
+                        pa.ListArray.from_arrays(offsets, pa.array(share.ravel())),
+                    ],
+                    ["prediction", "probability"],
                 )
 
         scored = df.withColumn("__s", score(vector_to_array("features")))

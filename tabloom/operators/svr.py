@@ -89,7 +89,7 @@ def _partition_sums(w: np.ndarray, epsilon: float, floor: float):
 
 
 def fit_svr(
-    train: DataFrame, C: float = 1.0, epsilon: float = EPSILON, max_rounds: int = 60, tol: float = 1e-6
+    train: DataFrame, C: float = 1.0, epsilon: float = EPSILON, max_rounds: int = 60, tol: float = 1e-5
 ) -> LinearSVR:
     """Fit on ``features``/``label``; the driver holds one matrix of features² numbers."""
     rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
@@ -120,7 +120,7 @@ def fit_svr(
             if previous - objective <= tol * max(abs(objective), 1e-12) and floor <= scale * 1e-6:
                 break
             previous = objective
-            floor = max(floor * 0.5, scale * 1e-7)
+            floor = max(floor * 0.25, scale * 1e-7)
             gram = total[1 : 1 + size * size].reshape(size, size)
             right = total[1 + size * size :]
             system = ridge + 0.5 * C * gram

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -30,6 +31,11 @@ from ..operators.score import as_metric_table, row_key
 from ..operators.split import SEED, Split, train_test_split
 from ..operators.svr import fit_svr
 
+# Rows a task should have in an iterative fit, and the size up to which one shuffle
+# for it is cheap.  Larger tables keep the partitions of their input splits.
+ROWS_PER_TASK = 25_000
+BALANCE_ROWS = 10_000_000
+
 
 @dataclass
 class TrainedModel:
@@ -85,6 +91,13 @@ def fit_model(train: DataFrame, model: str, params: dict[str, Any], n_train: int
     return fit_spark_model(train, model, params, n_train, n_classes)
 
 
+def _balanced(df: DataFrame, n: int) -> DataFrame:
+    """Even partitions for small and middling tables, which often sit in one file."""
+    if n > BALANCE_ROWS:
+        return df
+    return df.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), "__id")
+
+
 def train(
     df: DataFrame,
     target: str,
@@ -113,7 +126,7 @@ def train(
     prepared = preparation.transform(data.select("__id", *[quoted(c) for c in task.columns]))
     vectors = preparation.assemble(prepared, ["__id"]).persist(StorageLevel.MEMORY_AND_DISK)
     split = train_test_split(vectors, ["__id"], "label" if kind == "classification" else None, seed)
-    split.data = split.data.persist(StorageLevel.MEMORY_AND_DISK)
+    split.data = _balanced(split.data, split.n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_model(split.train, model, full, split.n_train, preparation.n_classes)
     measure = classification_metrics if kind == "classification" else regression_metrics
     metrics: dict[str, float | None] = {"train_size": split.n_train, "test_size": split.n_test}
