@@ -91,11 +91,9 @@ def fit_model(train: DataFrame, model: str, params: dict[str, Any], n_train: int
     return fit_spark_model(train, model, params, n_train, n_classes)
 
 
-def _balanced(df: DataFrame, n: int) -> DataFrame:
+def _tasks(n: int) -> int | None:
     """Even partitions for small and middling tables, which often sit in one file."""
-    if n > BALANCE_ROWS:
-        return df
-    return df.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), "__id")
+    return None if n > BALANCE_ROWS else max(1, math.ceil(n / ROWS_PER_TASK))
 
 
 def train(
@@ -124,9 +122,14 @@ def train(
     preparation = fit_preparation(data, target, predictors, kind)
     task = preparation.task
     prepared = preparation.transform(data.select("__id", *[quoted(c) for c in task.columns]))
-    vectors = preparation.assemble(prepared, ["__id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = _tasks(data.count())
+    vectors = preparation.assemble(prepared, ["__id"])
+    if tasks:
+        vectors = vectors.repartition(tasks, "__id")
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     split = train_test_split(vectors, ["__id"], "label" if kind == "classification" else None, seed)
-    split.data = _balanced(split.data, split.n_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    flagged = split.data.coalesce(tasks) if tasks else split.data
+    split.data = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_model(split.train, model, full, split.n_train, preparation.n_classes)
     measure = classification_metrics if kind == "classification" else regression_metrics
     metrics: dict[str, float | None] = {"train_size": split.n_train, "test_size": split.n_test}
