@@ -107,8 +107,10 @@ def _inside(t: _Target) -> Column:
 
 
 def _narrow(df, targets, counts, accuracy, value_rows) -> None:
+    """Shrink the bracket of every target until its values can be walked."""
     below = {id(t): 0 for t in targets}
     inside = {id(t): counts[t.column] for t in targets}
+    finer = {id(t): accuracy for t in targets}
     open_targets = list(targets)
     while open_targets:
         # Sketch bounds around the wanted rank, at twice the sketch's rank error.
@@ -116,12 +118,13 @@ def _narrow(df, targets, counts, accuracy, value_rows) -> None:
         for i, t in enumerate(open_targets):
             n = inside[id(t)]
             centre = (t.rank - below[id(t)]) / max(n - 1, 1)
-            margin = 2.0 / accuracy
+            margin = 2.0 / finer[id(t)] + 2.0 / n
             probs = F.array(F.lit(max(0.0, centre - margin)), F.lit(min(1.0, centre + margin)))
             exprs[f"b{i}"] = F.percentile_approx(
-                F.when(_inside(t), col(t.column).cast("double")), probs, accuracy
+                F.when(_inside(t), col(t.column).cast("double")), probs, finer[id(t)]
             )
         bounds = wide_aggregate(df, exprs)
+        old = {id(t): (t.low, t.high) for t in open_targets}
         for i, t in enumerate(open_targets):
             t.low, t.high = bounds[f"b{i}"]
         exprs = {}
@@ -131,12 +134,21 @@ def _narrow(df, targets, counts, accuracy, value_rows) -> None:
             exprs[f"n{i}"] = F.count_if(_inside(t))
             exprs[f"d{i}"] = F.approx_count_distinct(F.when(_inside(t), c))
         facts = wide_aggregate(df, exprs)
+        room = max(1, value_rows // (2 * len(open_targets)))
         ready = []
         for i, t in enumerate(open_targets):
-            below[id(t)], inside[id(t)] = facts[f"l{i}"], facts[f"n{i}"]
+            key, n_below, n_inside = id(t), facts[f"l{i}"], facts[f"n{i}"]
+            if not n_below <= t.rank < n_below + n_inside:
+                # The sketch missed: go back to the old bracket and sketch more finely.
+                t.low, t.high = old[key]
+                finer[key] *= 4
+                continue
+            if n_inside > inside[key] // 2:
+                finer[key] *= 4
+            below[key], inside[key] = n_below, n_inside
             if t.low == t.high:
                 t.value = t.low
-            elif facts[f"d{i}"] <= value_rows // (2 * len(open_targets)):
+            elif n_inside <= room or facts[f"d{i}"] <= room:
                 ready.append(t)
         _walk_values(df, ready, below, value_rows)
         open_targets = [t for t in open_targets if t.value is None]
