@@ -168,7 +168,7 @@ def _candidates(level: list[tuple[int, ...]]) -> np.ndarray | None:
             candidate = (*prefix, a, b)
             if all(candidate[:i] + candidate[i + 1 :] in known for i in range(len(prefix))):
                 out.append(candidate)
-    width = len(level[0]) + 1 if level else 0
+    width = len(level[0]) + 1 if level else 1
     return np.array(out, dtype=np.int32).reshape(-1, width)
 
 
