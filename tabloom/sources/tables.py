@@ -63,10 +63,14 @@ def read_dialects(
     for d in dialects:
         groups[d.encoding, d.separator, tuple(d.columns)].append(d.path)
     frames = []
+    reader = spark.read
+    if mode != "PERMISSIVE":
+        # Whether a row fits the header shows only when all of its columns are parsed.
+        reader = reader.option("columnPruning", "false")
     for (encoding, separator, columns), paths in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         frames.append(
-            spark.read.csv(
+            reader.csv(
                 paths,
                 schema=schema,
                 sep=separator,
