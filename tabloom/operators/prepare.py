@@ -130,6 +130,10 @@ class Preparation:
     def text(self) -> list[str]:
         return [p for p in self.features if self.kinds[p] == "text"]
 
+    @property
+    def boolean(self) -> list[str]:
+        return [p for p in self.features if self.kinds[p] == "boolean"]
+
     @property
     def n_classes(self) -> int:
         return self.code_counts.get(self.task.target, 0)
@@ -154,7 +158,7 @@ class Preparation:
         medians, modes = self.medians, self.modes
         if impute_from == "batch":
             medians = {**medians, **_medians(df, self.numeric)}
-            modes = {**modes, **_modes(df, self.text)}
+            modes = {**modes, **_modes(df, self.text + self.boolean)}
         elif impute_from != "training":
             raise ValueError("impute_from is 'training' or 'batch'")
         used = {f: self.kinds[f] for f in self.features}
@@ -166,7 +170,8 @@ class Preparation:
                 number = f"nanvl(try_cast({c} AS double), cast(null AS double))"
                 out.append(F.expr(f"coalesce({number}, {float(medians[name])!r}D) AS {c}"))
             elif kind == "boolean":
-                out.append(F.expr(f"cast({c} AS double) AS {c}"))
+                most = "1.0D" if modes[name] == "true" else "0.0D"
+                out.append(F.expr(f"coalesce(cast({c} AS double), {most}) AS {c}"))
             elif kind == "text":
                 out.append(F.coalesce(col(name).cast("string"), F.lit(modes.get(name))).alias(name))
             else:
@@ -272,7 +277,8 @@ def fit_preparation(df: DataFrame, target: str, predictors: Sequence[str], kind:
         else drop_missing_target(data, task.target)
     )
     numeric = [p for p in task.predictors if kinds[p] == "numeric"]
-    text = [p for p in task.predictors if kinds[p] == "text"]
+    # Truth columns are filled with their most frequent value, too.
+    text = [p for p in task.predictors if kinds[p] in ("text", "boolean")]
     medians = _medians(usable, numeric)
     encoded = text + ([task.target] if kind == "classification" else [])
     spark = df.sparkSession
