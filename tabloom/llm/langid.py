@@ -52,33 +52,46 @@ def grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two * mix) >> shift, ((three ^ np.uint32(0x5BD1E995)) * mix) >> shift
 
 
-def _pieces(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes with a space around each text, and the number of the text of each byte."""
+def _grams_by_text(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and the numbers of their texts, a bounded piece of bytes at a time.
+
+    Each text has a space on either side.  A piece that goes on with a long text begins
+    two bytes back and leaves out the 2-gram that its predecessor had already.
+    """
     held: list[bytes] = []
     owner: list[int] = []
     size = 0
+    goes_on = False
+
+    def cut() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        raw = np.frombuffer(b"".join(held), np.uint8)
+        of = np.repeat(owner, [*map(len, held)])
+        for width, bucket in zip((2, 3), grams(raw)):
+            inside = of[: len(bucket)] == of[width - 1 :]
+            if goes_on and width == 2:
+                inside[0] = False
+            yield bucket[inside], of[: len(bucket)][inside]
+
     for k, text in enumerate(texts):
         text = b" " + (text or b"").translate(_OTHER) + b" "
         for at in range(0, len(text), BYTES_AT_ONCE):
+            if held and (at or size + len(text) > BYTES_AT_ONCE):
+                yield from cut()
+                held, owner, size = [], [], 0
+            if not held:
+                goes_on = at > 0
             held.append(text[max(at - 2, 0) : at + BYTES_AT_ONCE])
             owner.append(k)
             size += len(held[-1])
-            if size >= BYTES_AT_ONCE:
-                yield np.frombuffer(b"".join(held), np.uint8), np.repeat(owner, [*map(len, held)])
-                held, owner, size = [], [], 0
     if held:
-        yield np.frombuffer(b"".join(held), np.uint8), np.repeat(owner, [*map(len, held)])
+        yield from cut()
 
 
 def gram_sums(texts: list[bytes | None], weights: np.ndarray) -> np.ndarray:
     """For each text the summed weight rows of its n-grams, and their number last."""
     out = np.zeros((len(texts), weights.shape[1] + 1))
-    for raw, owner in _pieces(texts):
-        for width, bucket in zip((2, 3), grams(raw)):
-            inside = owner[: len(bucket)] == owner[width - 1 :]
-            bucket, of = bucket[inside], owner[: len(inside)][inside]
-            if len(of) == 0:
-                continue
+    for bucket, of in _grams_by_text(texts):
+        if len(of):
             start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             out[of[start], :-1] += np.add.reduceat(weights[bucket], start, axis=0)
             out[of[start], -1] += np.diff(np.concatenate((start, [len(of)])))
@@ -164,11 +177,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             number = {key: n for n, key in enumerate(keys)}
             of = np.array([number[key] for key in zip(checks, langs)], np.int64)
             found = np.zeros(len(keys) * BUCKETS, np.int64)
-            for raw, owner in _pieces(raws):
-                for width, bucket in zip((2, 3), grams(raw)):
-                    inside = owner[: len(bucket)] == owner[width - 1 :]
-                    cell = of[owner[: len(bucket)][inside]] * BUCKETS + bucket[inside]
-                    found += np.bincount(cell, minlength=len(found))
+            for bucket, owner in _grams_by_text(raws):
+                found += np.bincount(of[owner] * BUCKETS + bucket, minlength=len(found))
             for key, n in number.items():
                 part = found[n * BUCKETS : (n + 1) * BUCKETS]
                 sums[key] = sums[key] + part if key in sums else part
