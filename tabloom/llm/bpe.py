@@ -16,6 +16,7 @@ decodes to the empty text.  Repeated rows are encoded alike, other columns pass
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -36,8 +37,10 @@ TOGETHER = 256
 # Cells of the trees that are worked at once.
 CELLS_AT_ONCE = 1_000_000
 # Words of a generation that a Python worker remembers, and characters encoded at once.
-REMEMBERED = 300_000
-CHARS_AT_ONCE = 2_000_000
+REMEMBERED = 150_000
+CHARS_AT_ONCE = 1_000_000
+# Texts whose ids are held at once where only digests are wanted.
+TEXTS_AT_ONCE = 512
 # Characters whose case, composition and class are the same in all Unicode versions in
 # use; other texts go through the tokenizer file's own normalizer and splitter.
 SETTLED = regex.compile(
@@ -362,16 +365,36 @@ def decode(ids, path: str):
     return text(ids)
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(text, path: str):
+    """Struct column of ``DIGESTS``: each text is encoded, decoded from its ids, and
+    both are hashed before the next slice of texts is taken up."""
+    ship()
+
+    @arrow_udf(DIGESTS)
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = loaded(path)
+        for batch in batches:
+            rows: list[tuple[int, str, str]] = []
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                for ids in bpe.encode(batch.slice(at, TEXTS_AT_ONCE).to_pylist()):
+                    back = bpe.decode(ids).encode()
+                    rows.append(
+                        (len(ids) >> 2, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
+                    )
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            kinds = [pa.int64(), pa.string(), pa.string()]
+            yield pa.StructArray.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return digest(text)
+
+
 def token_digests(docs, path: str, doc_id: str = "doc_id", text: str = "text"):
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
-    coded = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        encode(F.coalesce(F.col(text).cast("string"), F.lit("")), path).alias("ids"),
-    )
-    both = coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
-    return both.select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(doc_id).alias("doc_id"), digests(body, path).alias("d")).select("doc_id", "d.*")
