@@ -178,7 +178,9 @@ def edited_counts(text: Column, edits: Column, path: str, pattern: str) -> Colum
     """Struct ``n_tokens, n_tokens_edited, n_encoded`` of a text and its edits.
 
     ``edits`` is an array of ``(start, end, new)``; ``n_encoded`` counts the pre-tokens
-    that were split again.
+    that were split again.  Give both as columns of the table that are also used
+    elsewhere in the row (the query counts the edits): Spark does not plan a Python
+    function over an array function that it has merged into its arguments.
     """
 
     ship()
