@@ -18,11 +18,15 @@ occur are spread over the others.  Columns of the input pass through unchanged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.sizing import cut_lineage
+
 REST = "rest"
 MAX_CELLS = 1_000_000
 # Raking stops when no marginal is off by more, or after so many rounds.
@@ -48,10 +52,12 @@ def tokens(text: str) -> Column:
 def topic(text: str) -> Column:
     """A coarse topic by rules: contact data, code or secrets, lists, else prose."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # Plain searches for single signs cost far less than patterns over whole texts.
+    has = lambda signs: reduce(or_, (F.contains(body, F.lit(s)) for s in signs))
     return (
-        F.when(body.rlike(r"[@]|\+[0-9]"), "contact")
-        .when(body.rlike(r"[{};=]"), "code")
-        .when(body.rlike(r"[|*#]"), "list")
+        F.when(has("@") | (has("+") & body.rlike(r"\+[0-9]")), "contact")
+        .when(has("{};="), "code")
+        .when(has("|*#"), "list")
         .otherwise("prose")
     )
 
@@ -136,9 +142,13 @@ def fit(
     docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, text: str = "text", budget: float = BUDGET
 ) -> Plan:
     """Count the cells' tokens on Spark and rake them."""
+    return _fit_cells(with_cells(docs, targets, text).select("__cell", tokens(text).alias("__n")), targets, budget)
+
+
+def _fit_cells(counted: DataFrame, targets: dict[str, dict[str, float]], budget: float) -> Plan:
     if np.prod([len(s) + 1 for s in targets.values()], dtype=float) > MAX_CELLS:
         raise ValueError(f"the marginals span more than {MAX_CELLS} cells")
-    sums = with_cells(docs, targets, text).groupBy("__cell").agg(F.sum(tokens(text)).alias("n")).collect()
+    sums = counted.groupBy("__cell").agg(F.sum("__n").alias("n")).collect()
     return plan([(*r["__cell"], r["n"] or 0) for r in sums], targets, budget)
 
 
@@ -147,9 +157,9 @@ def draw(key: Column, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def marked(docs: DataFrame, mix: Plan, targets, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with ``__cell``, ``__weight`` and ``__p``; the array literals hold the cells."""
-    out = with_cells(docs, targets, text)
+def marked(celled: DataFrame, mix: Plan) -> DataFrame:
+    """Rows with ``__cell`` get ``__weight`` and ``__p``; the array literals hold the cells."""
+    out = celled
     index = F.lit(0)
     for dimension, values in mix.values.items():
         place = F.array_position(F.array(*map(F.lit, values)), F.col(f"__cell.{dimension}")) - 1
@@ -174,18 +184,26 @@ def sampled(
 ) -> DataFrame:
     """The sampled rows of ``docs``, columns unchanged."""
     mix = fit(docs, targets, text, budget)
-    out = marked(docs, mix, targets, doc_id, text)
+    out = marked(with_cells(docs, targets, text), mix)
     return out.filter(draw(F.col(doc_id), seed) < F.col("__p")).drop("__cell", "__weight", "__p")
 
 
 def report(docs: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text", budget=BUDGET, seed=SEED):
-    """``doc_id, source, lang, topic, n_tokens, weight, probability`` of the sampled rows."""
-    mix = fit(docs, targets, text, budget)
-    out = marked(docs, mix, targets, doc_id, text).filter(draw(F.col(doc_id), seed) < F.col("__p"))
+    """``doc_id, source, lang, topic, n_tokens, weight, probability`` of the sampled rows.
+
+    The texts are read once: ids, cells and counts are kept in a checkpoint.
+    """
+    counted = cut_lineage(
+        with_cells(docs, targets, text).select(
+            F.col(doc_id).alias("__id"), "__cell", tokens(text).cast("long").alias("__n")
+        )
+    )
+    mix = _fit_cells(counted, targets, budget)
+    out = marked(counted, mix).filter(draw(F.col("__id"), seed) < F.col("__p"))
     return out.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col("__id").alias("doc_id"),
         *(F.col(f"__cell.{d}").alias(d) for d in targets),
-        tokens(text).cast("long").alias("n_tokens"),
+        F.col("__n").alias("n_tokens"),
         F.col("__weight").alias("weight"),
         F.col("__p").alias("probability"),
     )
