@@ -197,7 +197,7 @@ def _count_duplicates(df: DataFrame) -> int:
 
 
 def _padded_columns(facts: dict, columns: Sequence[str]) -> list[str]:
-    return [c for c in columns if facts.get("s" + c)]
+    return [c for c in columns if facts.get("padded:" + c)]
 
 
 def clean(
@@ -231,7 +231,7 @@ def clean(
     for i, c in enumerate(data.columns):
         exprs[f"v{i}"] = F.count(F.when(kept, col(c)))
     for c in text_columns(data):
-        exprs["s" + c] = F.bool_or(F.when(kept, strip_text(col(c)) != col(c)))
+        exprs["padded:" + c] = F.bool_or(F.when(kept, strip_text(col(c)) != col(c)))
     facts = wide_aggregate(data, exprs)
 
     out = data.where(kept)
@@ -287,7 +287,7 @@ def clean_automatically(df: DataFrame, columns: Sequence[str] | None = None) ->
         "sparse": F.count_if(~dense),
     }
     for c in text_columns(out):
-        exprs["s" + c] = F.bool_or(F.when(dense, strip_text(col(c)) != col(c)))
+        exprs["padded:" + c] = F.bool_or(F.when(dense, strip_text(col(c)) != col(c)))
     second = wide_aggregate(copies, exprs)
     report.add("remove_duplicates", second["duplicates"])
     report.add("remove_rows_many_missing", second["sparse"])

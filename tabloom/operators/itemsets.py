@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +37,26 @@ SCHEMA = "items array<string>, freq long, support double, length int"
 
 
 def automatic_length(n_items: int) -> int:
-    """Default longest itemset for a number of distinct items (or columns)."""
+    """Longest itemset of the guard policy for a number of distinct items (or columns)."""
     if n_items > MANY_ITEMS:
         return LENGTH_MANY_ITEMS
     return LENGTH_SOME_ITEMS if n_items > SOME_ITEMS else LENGTH_FEW_ITEMS
 
 
 def mining_limits(
-    n_columns: int, min_support: float, max_len: int | None, guard: bool = True
+    n_columns: int, min_support: float, max_len: int | None, guard: bool = False
 ) -> tuple[float, int | None]:
-    """Support and length limits really used; ``guard=False`` leaves them alone."""
+    """Support and length limits really used.
+
+    Only with ``guard`` are they tightened: lengths to :func:`automatic_length` or
+    ``LENGTH_CAP``, and for wide tables to the fixed support and length.
+    """
     if not guard:
         return min_support, max_len
-    if max_len is not None:
-        max_len = min(max_len, LENGTH_CAP)
+    max_len = automatic_length(n_columns) if max_len is None else min(max_len, LENGTH_CAP)
     if n_columns > WIDE_TABLE_COLUMNS:
         min_support = max(min_support, WIDE_TABLE_SUPPORT)
-        max_len = WIDE_TABLE_LENGTH if max_len is None else min(max_len, WIDE_TABLE_LENGTH)
+        max_len = min(max_len, WIDE_TABLE_LENGTH)
     return min_support, max_len
 
 
@@ -63,16 +66,13 @@ def item_frequencies(baskets: Baskets) -> DataFrame:
     )
 
 
-def count_items(baskets: Baskets) -> int:
-    return item_frequencies(baskets).count()
-
-
 def frequent_itemsets(
     baskets: Baskets, min_support: float = 0.1, max_len: int | None = None, algorithm: str = "apriori"
 ) -> DataFrame:
-    """``(items, freq, support, length)`` of all itemsets with at least ``min_support``."""
-    if max_len is None:
-        max_len = automatic_length(count_items(baskets))
+    """``(items, freq, support, length)`` of all itemsets with at least ``min_support``.
+
+    ``max_len=None`` sets no limit on the length.
+    """
     if algorithm == "apriori":
         return apriori(baskets, min_support, max_len)
     if algorithm == "fpgrowth":
@@ -80,7 +80,7 @@ def frequent_itemsets(
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
-def fp_growth(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:
+def fp_growth(baskets: Baskets, min_support: float, max_len: int | None = None) -> DataFrame:
     """FP-growth with an inclusive support threshold.
 
     The estimator rounds ``support × n`` up, which can lose an itemset exactly on the
@@ -102,13 +102,13 @@ def fp_growth(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:
             "freq",
             (F.col("freq") / F.lit(baskets.n)).alias("support"),
             F.size("items").alias("length"),
-        ).where((F.col("support") >= min_support) & (F.col("length") <= max_len))
-        return cut_lineage(found)
+        ).where(F.col("support") >= min_support)
+        return cut_lineage(found if max_len is None else found.where(F.col("length") <= max_len))
     finally:
         occupied.unpersist()
 
 
-def apriori(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:
+def apriori(baskets: Baskets, min_support: float, max_len: int | None = None) -> DataFrame:
     """Level-wise counting.
 
     Frequent items come from one aggregate.  Each further level forms candidates from
@@ -131,7 +131,7 @@ def apriori(baskets: Baskets, min_support: float, max_len: int) -> DataFrame:
     level = [s for s, _ in found]
     data = baskets.data.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for _ in range(2, max_len + 1):
+        for _ in count(2) if max_len is None else range(2, max_len + 1):
             candidates = _candidates(level)
             if candidates is None:
                 return fp_growth(baskets, min_support, max_len)

@@ -102,6 +102,14 @@ TREE_BINS = 128
 SVC_MAX_ITER = 100
 
 
+# Offered parameters that the distributed estimators cannot follow: any other value
+# than the default is refused, rather than stored with the model and ignored.
+WITHOUT_EFFECT = {
+    "min_samples_split": "trees stop by depth and by the size of the children only",
+    "solver": "the intercept is never penalised",
+}
+
+
 def model_parameters(model: str, params: dict[str, Any], strict: bool = False) -> dict[str, Any]:
     """Check names and values and fill in the defaults.
 
@@ -130,6 +138,9 @@ def model_parameters(model: str, params: dict[str, Any], strict: bool = False) -
                 raise ValueError(f"{model}: {name} must lie between 0 and 1")
         elif name != "alpha" and value <= 0 or value < 0:
             raise ValueError(f"{model}: {name} must be positive")
+    for name, reason in WITHOUT_EFFECT.items():
+        if full.get(name, DEFAULTS[name]) != DEFAULTS[name]:
+            raise ValueError(f"{model}: only {name}={DEFAULTS[name]!r} is supported, {reason}")
     return full
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 
 from ..operators.baskets import Baskets, column_baskets, text_baskets
 from ..operators.itemsets import (
-    automatic_length,
     frequent_itemsets,
     itemset_statistics,
     itemsets_by_length,
@@ -72,15 +71,14 @@ def analyze_associations(
     max_rules: int | None = MAX_RULES,
     target: str | None = None,
     algorithm: str = "apriori",
-    guard: bool = True,
+    guard: bool = False,
 ) -> Analysis:
     """Baskets, itemsets and rules of a table.
 
-    The target filter comes after the limit on the number of rules.
+    The target filter comes after the limit on the number of rules.  ``guard`` asks for
+    the cautious limits of :func:`mining_limits`; what was used stands in the result.
     """
     n_columns = len(item_columns) if item_columns else len(df.columns)
-    if guard and max_len is None:
-        max_len = automatic_length(len(df.columns))
     min_support, max_len = mining_limits(n_columns, min_support, max_len, guard)
     if transaction_column:
         baskets = text_baskets(df, transaction_column)

@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -47,10 +48,27 @@ class TrainedModel:
     preparation: Preparation
     fitted: Fitted
     split: Split
-    metrics: dict[str, float | None]
     key: list[str]
     file_used: str | None = None
     lineage: dict[str, Any] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
+
+    @cached_property
+    def metrics(self) -> dict[str, float | None]:
+        """Sizes and both sides' scores, measured when first asked for."""
+        measure = classification_metrics if self.task.kind == "classification" else regression_metrics
+        out: dict[str, float | None] = {
+            "train_size": self.split.n_train,
+            "test_size": self.split.n_test,
+        }
+        for part, rows in (("train", self.split.train), ("test", self.split.test)):
+            out.update(measure(self.fitted.predict(rows), part))
+        return out
+
+    def close(self) -> None:
+        """Release the rows kept for the fit; predictions and metrics compute them anew."""
+        for rows in self.held:
+            rows.unpersist()
 
     def metric_table(self) -> DataFrame:
         return as_metric_table(self.metrics, self.preparation.codes.sparkSession)
@@ -107,12 +125,12 @@ def train(
     file_used: str | None = None,
     **params: Any,
 ) -> TrainedModel:
-    """Prepare, split, fit and evaluate.
+    """Prepare, split and fit; the metrics are measured when they are asked for.
 
     ``key`` names the columns that identify a row; the split depends on them and the
     seed only.  Without a key, rows are numbered and the numbering is checkpointed.
     The prepared vectors are persisted while the split is found, the flagged rows while
-    the model is fitted and measured.
+    the model is fitted and measured; ``close()`` on the result releases both.
     """
     kind = "classification" if model in CLASSIFIER_PARAMETERS else "regression"
     if kind == "regression" and model not in REGRESSOR_PARAMETERS:
@@ -131,11 +149,9 @@ def train(
     flagged = split.data.coalesce(tasks) if tasks else split.data
     split.data = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_model(split.train, model, full, split.n_train, preparation.n_classes)
-    measure = classification_metrics if kind == "classification" else regression_metrics
-    metrics: dict[str, float | None] = {"train_size": split.n_train, "test_size": split.n_test}
-    for part, rows in (("train", split.train), ("test", split.test)):
-        metrics.update(measure(fitted.predict(rows), part))
-    return TrainedModel(task, model, full, preparation, fitted, split, metrics, list(key or []), file_used)
+    out = TrainedModel(task, model, full, preparation, fitted, split, list(key or []), file_used)
+    out.held = [vectors, split.data]
+    return out
 
 
 def check_prepared(df: DataFrame, preparation: Preparation) -> DataFrame:

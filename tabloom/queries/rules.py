@@ -266,6 +266,38 @@ def stored_analysis(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(load_mining(spark, path)[1]).select("rule", *_MEASURES)
 
 
+_LONG_SUPPORT = 0.002
+_LONG_COLUMNS = {
+    "flag": "l_returnflag",
+    "line": "CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END",
+    "price": "CASE WHEN l_extendedprice > 30000 THEN 'high' ELSE 'low' END",
+    "quantity": "CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END",
+    "rebate": "CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END",
+    "status": "l_linestatus",
+    "tax": "CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END",
+}
+
+
+def _itemsets_long(algorithm: str):
+    """Itemsets of any length over seven columns of every line."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        lines = table(spark, folder, "lineitem").selectExpr(*(f"{x} AS {c}" for c, x in _LONG_COLUMNS.items()))
+        found = itemsets.frequent_itemsets(
+            baskets.column_baskets(lines, list(_LONG_COLUMNS)), _LONG_SUPPORT, None, algorithm
+        )
+        return itemsets.itemset_text(found).select("itemset", "freq", "length")
+
+    return run
+
+
+_LONG_ITEMS = ", ".join(f"'{c}=' || {c}" for c in _LONG_COLUMNS)
+ITEMSETS_LONG = f"""WITH t AS (SELECT {", ".join(f"{x} AS {c}" for c, x in _LONG_COLUMNS.items())} FROM lineitem),
+g AS (SELECT list_sort(list_filter([{_LONG_ITEMS}], lambda x: x IS NOT NULL)) AS items, count(*) AS freq
+ FROM t GROUP BY CUBE ({", ".join(_LONG_COLUMNS)}))
+SELECT array_to_string(items, ', ') AS itemset, freq, len(items)::INT AS length FROM g
+WHERE len(items) > 0 AND freq >= {_LONG_SUPPORT}::DOUBLE * (SELECT count(*) FROM t)"""
+
 _TOP_SQL = f"WITH {_RULES} SELECT rule, {_MEASURES_SQL} FROM top"
 QUERIES = {
     "transactions_text": (transactions_text, TRANSACTIONS_TEXT),
@@ -278,6 +310,8 @@ QUERIES = {
     ),
     "itemsets_apriori": (_itemsets("apriori"), ITEMSETS),
     "itemsets_fpgrowth": (_itemsets("fpgrowth"), ITEMSETS),
+    "itemsets_long_apriori": (_itemsets_long("apriori"), ITEMSETS_LONG),
+    "itemsets_long_fpgrowth": (_itemsets_long("fpgrowth"), ITEMSETS_LONG),
     "itemset_statistics": (itemset_statistics, ITEMSET_STATISTICS),
     "itemsets_by_length": (itemsets_by_length, f"WITH {_SETS} SELECT length, count(*) AS n FROM f GROUP BY length"),
     "rules_all": (rules_all, f"WITH {_RULES} SELECT rule, {_MEASURES_SQL} FROM r"),

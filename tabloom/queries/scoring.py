@@ -218,12 +218,17 @@ _RECORD_FIELDS = ["o_orderkey", "o_totalprice", "o_orderpriority"]
 
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of a customer packed as a JSON array of new records, and unfolded again."""
-    return _records(spark, folder)
+    return _records(table(spark, folder, "orders"))
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
+def _new_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders with odd keys, as records that come in later."""
+    return _records(table(spark, folder, "orders").where("o_orderkey % 2 = 1"))
+
+
+def _records(orders: DataFrame) -> DataFrame:
     # Arrays are packed per order and line, so no array grows with a customer.
-    packed = table(spark, folder, "orders").where("o_orderkey % 2 = 1").select(
+    packed = orders.select(
         F.to_json(
             F.array(
                 F.struct(
@@ -242,7 +247,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 JSON_RECORDS = """SELECT o_orderstatus, o_orderkey::VARCHAR AS o_orderkey,
  CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE o_totalprice::VARCHAR END AS o_totalprice, o_orderpriority
-FROM orders WHERE o_orderkey % 2 = 1"""
+FROM orders"""
 
 
 def _original(spark: SparkSession, folder: str) -> DataFrame:
@@ -254,7 +259,7 @@ def _original(spark: SparkSession, folder: str) -> DataFrame:
 def align_new_records(spark: SparkSession, folder: str) -> DataFrame:
     original = _original(spark, folder)
     kinds = stored_kinds(original, ["o_orderstatus", *_RECORD_FIELDS])
-    return align_records(_records(spark, folder), kinds)
+    return align_records(_new_records(spark, folder), kinds)
 
 
 ALIGN = """SELECT o_orderstatus, o_orderkey::DOUBLE AS o_orderkey,
@@ -265,7 +270,7 @@ FROM orders WHERE o_orderkey % 2 = 1"""
 def append_new_records(spark: SparkSession, folder: str) -> DataFrame:
     original = _original(spark, folder)
     kinds = stored_kinds(original, ["o_orderstatus", *_RECORD_FIELDS])
-    return append_records(original, align_records(_records(spark, folder), kinds), kinds)
+    return append_records(original, align_records(_new_records(spark, folder), kinds), kinds)
 
 
 APPEND = """SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 13 = 0

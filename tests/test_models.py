@@ -180,3 +180,19 @@ def test_retrain_keeps_parameters(spark, tmp_path):
 def test_top_importance(spark):
     df = spark.createDataFrame([(0, "a", 0.1), (1, "b", -3.0), (2, "c", 2.0)], "position int, feature string, importance double")
     assert [r["feature"] for r in top_importance(df, 2).collect()] == ["b", "c"]
+
+
+@pytest.mark.parametrize("model, name, value", [("decision_tree", "min_samples_split", 5), ("logistic_regression", "solver", "liblinear")])
+def test_parameters_without_effect_are_refused(model, name, value):
+    with pytest.raises(ValueError, match=name):
+        model_parameters(model, {name: value})
+
+
+def test_metrics_are_measured_when_asked(spark):
+    df = spark.range(200).select("id", (F.col("id") % 7).alias("x"), (F.col("id") * 1.5).alias("y"))
+    trained = train(df, "y", ["x"], "linear_regression", ["id"])
+    assert "metrics" not in vars(trained)
+    first = trained.metrics
+    assert first["train_size"] + first["test_size"] == 200 and trained.metrics is first
+    trained.close()
+    assert predictions(trained).count() == first["test_size"]

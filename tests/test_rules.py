@@ -89,10 +89,26 @@ def test_relaxation(spark):
 
 def test_limits():
     assert [automatic_length(n) for n in (20, 21, 50, 51)] == [5, 4, 4, 3]
-    assert mining_limits(5, 0.01, 12) == (0.01, 8)
-    assert mining_limits(21, 0.01, None) == (0.2, 3)
-    assert mining_limits(21, 0.3, 2) == (0.3, 2)
-    assert mining_limits(21, 0.01, 12, guard=False) == (0.01, 12)
+    assert mining_limits(5, 0.01, 12, guard=True) == (0.01, 8)
+    assert mining_limits(5, 0.01, None, guard=True) == (0.01, 5)
+    assert mining_limits(21, 0.01, None, guard=True) == (0.2, 3)
+    assert mining_limits(21, 0.3, 2, guard=True) == (0.3, 2)
+    assert mining_limits(21, 0.01, 12) == (0.01, 12)
+    assert mining_limits(21, 0.01, None) == (0.01, None)
+
+
+def test_long_itemsets_and_wide_tables_are_not_cut(spark):
+    transactions = [list("abcdefgh")] * 3 + [list("abc"), ["z"], []]
+    expected = brute(transactions, 0.5, 8)
+    assert max(map(len, expected)) == 8
+    assert found(apriori(baskets(spark, transactions), 0.5)) == expected
+    assert found(fp_growth(baskets(spark, transactions), 0.5)) == expected
+    # A table of more than 20 columns, at a support the guard would not allow.
+    columns = [f"c{k}" for k in range(22)]
+    cells = [tuple("yes" if i % 15 == k % 15 else None for k in range(22)) for i in range(40)]
+    wide = spark.createDataFrame(cells, ", ".join(f"{c} string" for c in columns))
+    rows = [[f"c{k}=yes" for k in range(22) if i % 15 == k % 15] for i in range(40)]
+    assert found(frequent_itemsets(column_baskets(wide, columns), 0.05)) == brute(rows, 0.05, 3)
 
 
 def test_transactions(spark):
