@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..functions.sizing import collect_if_small, cut_lineage
+from ..functions.sizing import collect_if_small, cut_lineage, join_by_size
 from .baskets import Baskets
 
 # Automatic length limits by item count, and the guards.
@@ -28,8 +29,8 @@ WIDE_TABLE_COLUMNS = 20
 WIDE_TABLE_SUPPORT = 0.2
 WIDE_TABLE_LENGTH = 3
 
-# Candidates of one level that are counted by the level-wise method; more go to FP-growth.
-MAX_CANDIDATES = 2_000_000
+# Candidates of one level that are sent to the tasks as an array; more stay in tables.
+MAX_CANDIDATES = 100_000
 # Candidates whose bit columns are combined at once inside a task.
 STEP = 4_096
 
@@ -108,33 +109,45 @@ def fp_growth(baskets: Baskets, min_support: float, max_len: int | None = None)
         occupied.unpersist()
 
 
-def apriori(baskets: Baskets, min_support: float, max_len: int | None = None) -> DataFrame:
+def apriori(
+    baskets: Baskets, min_support: float, max_len: int | None = None, max_candidates: int = MAX_CANDIDATES
+) -> DataFrame:
     """Level-wise counting.
 
-    Frequent items come from one aggregate.  Each further level forms candidates from
-    the previous level's itemsets and counts them in one pass: a task turns its
-    transactions into one bit column per frequent item, combines the columns of each
-    candidate and sends a single partial count per candidate.  No item pairs of a
-    transaction are ever emitted.  A level with too many candidates to hold is mined
-    by FP-growth instead, which gives the same itemsets.
+    Frequent items come from one aggregate.  Each further level joins the previous
+    level's itemsets that share all but their last item and counts the result in one
+    pass.  While a level has at most ``max_candidates`` they travel to the tasks as an
+    array (:func:`_few_candidates`); otherwise itemsets, candidates and counts stay in
+    tables (:func:`_levels_in_tables`).  Both give the same itemsets.
     """
     spark = baskets.data.sparkSession
     if not baskets.n:
         return spark.createDataFrame([], SCHEMA)
-    rows = collect_if_small(
-        item_frequencies(baskets).where(F.col("freq") / F.lit(baskets.n) >= min_support).orderBy("item"),
-    )
-    if rows is None:
-        return fp_growth(baskets, min_support, max_len)
+    frequent = item_frequencies(baskets).where(F.col("freq") / F.lit(baskets.n) >= min_support)
+    rows = collect_if_small(frequent.orderBy("item"))
+    found = None if rows is None else _few_candidates(baskets, min_support, max_len, rows, max_candidates)
+    if found is None:
+        return _levels_in_tables(baskets, min_support, max_len, frequent)
+    return spark.createDataFrame([(s, f, f / baskets.n, len(s)) for s, f in found], SCHEMA)
+
+
+def _few_candidates(
+    baskets: Baskets, min_support: float, max_len: int | None, rows: list[Row], max_candidates: int
+) -> list[tuple[list[str], int]] | None:
+    """Itemsets with their counts, or ``None`` once a level has too many candidates.
+
+    A task turns its transactions into one bit column per frequent item, combines the
+    columns of each candidate and sends a single partial count per candidate.
+    """
     names = [r["item"] for r in rows]
     found: list[tuple[tuple[int, ...], int]] = [((i,), r["freq"]) for i, r in enumerate(rows)]
     level = [s for s, _ in found]
     data = baskets.data.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in count(2) if max_len is None else range(2, max_len + 1):
-            candidates = _candidates(level)
+            candidates = _candidates(level, max_candidates)
             if candidates is None:
-                return fp_growth(baskets, min_support, max_len)
+                return None
             if not len(candidates):
                 break
             counted = (
@@ -149,18 +162,81 @@ def apriori(baskets: Baskets, min_support: float, max_len: int | None = None) ->
             level = [s for s, _ in fresh]
     finally:
         data.unpersist()
-    return spark.createDataFrame(
-        [([names[i] for i in s], f, f / baskets.n, len(s)) for s, f in found], SCHEMA
+    return [([names[i] for i in s], f) for s, f in found]
+
+
+def _levels_in_tables(
+    baskets: Baskets, min_support: float, max_len: int | None, frequent: DataFrame
+) -> DataFrame:
+    """Level-wise counting without collecting anything.
+
+    Transactions are numbered and taken 64 at a time as a *word*; an itemset has one
+    row ``(parent, item, word, bits)`` for each word it occurs in.  Two itemsets with
+    the same parent meet on parent and word, never on the itemset alone, so an item
+    that is in every transaction is spread over all tasks; the bits they share are
+    counted before the shuffle.  Only words of frequent itemsets are written.
+    """
+    # Ids are given to checkpointed rows only: they come out the same when a task is repeated.
+    numbered = cut_lineage(frequent).withColumn("sid", F.monotonically_increasing_id())
+    level = numbered.select("sid", F.array("item").alias("items"), "freq")
+    known = numbered.select("item", F.col("sid").alias("id"))
+    n_known = known.count()
+    transactions = cut_lineage(baskets.data.select("items")).select(
+        F.monotonically_increasing_id().alias("tid"), "items"
+    )
+    cells = transactions.select("tid", F.explode("items").alias("item"))
+    words = cut_lineage(
+        join_by_size(cells, known, "item", "inner", n_known)
+        .groupBy(F.col("id").alias("sid"), F.expr("shiftright(tid, 6)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(tid & 63 AS INT))")).alias("bits"))
+        .select("sid", F.lit(-1).cast("bigint").alias("parent"), F.col("sid").alias("item"), "word", "bits")
+    )
+    levels = [level]
+    for _ in count(2) if max_len is None else range(2, max_len + 1):
+        left = words.select("parent", "word", F.col("sid").alias("a"), F.col("item").alias("ai"), "bits")
+        right = words.select("parent", "word", F.col("item").alias("b"), F.col("bits").alias("more"))
+        both = (
+            left.join(right, ["parent", "word"])
+            .where(F.col("ai") < F.col("b"))
+            .select("a", "b", "word", F.col("bits").bitwiseAND(F.col("more")).alias("bits"))
+            .where(F.col("bits") != 0)
+        )
+        fresh = cut_lineage(
+            both.groupBy("a", "b")
+            .agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
+            .where(F.col("freq") / F.lit(baskets.n) >= min_support)
+        ).withColumn("sid", F.monotonically_increasing_id())
+        n_fresh = fresh.count()
+        if not n_fresh:
+            break
+        texts = fresh.join(level.select(F.col("sid").alias("a"), "items"), "a").join(
+            known.select(F.col("id").alias("b"), "item"), "b"
+        )
+        level = texts.select("sid", F.concat("items", F.array("item")).alias("items"), "freq")
+        levels.append(level)
+        words = cut_lineage(
+            join_by_size(both, fresh.select("a", "b", "sid"), ["a", "b"], "inner", n_fresh).select(
+                "sid", F.col("a").alias("parent"), F.col("b").alias("item"), "word", "bits"
+            )
+        )
+    return reduce(DataFrame.unionAll, levels).select(
+        F.array_sort("items").alias("items"),
+        "freq",
+        (F.col("freq") / F.lit(baskets.n)).alias("support"),
+        F.size("items").alias("length"),
     )
 
 
-def _candidates(level: list[tuple[int, ...]]) -> np.ndarray | None:
-    """Join itemsets sharing all but their last item and keep those with frequent subsets."""
+def _candidates(level: list[tuple[int, ...]], most: int) -> np.ndarray | None:
+    """Join itemsets sharing all but their last item and keep those with frequent subsets.
+
+    ``None`` when the join has more than ``most`` rows, which is known before it is made.
+    """
     known = set(level)
     tails: dict[tuple[int, ...], list[int]] = defaultdict(list)
     for s in level:
         tails[s[:-1]].append(s[-1])
-    if sum(len(t) * (len(t) - 1) // 2 for t in tails.values()) > MAX_CANDIDATES:
+    if sum(len(t) * (len(t) - 1) // 2 for t in tails.values()) > most:
         return None
     out = []
     for prefix, ends in tails.items():

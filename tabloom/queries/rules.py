@@ -125,6 +125,12 @@ def _itemsets(algorithm: str):
     return run
 
 
+def itemsets_in_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The same itemsets when no level is taken to the driver."""
+    found = itemsets.apriori(_type_baskets(spark, folder), SUPPORT, MAX_LEN, max_candidates=0)
+    return itemsets.itemset_text(found).select("itemset", "freq", F.round("support", 9).alias("support"), "length")
+
+
 ITEMSETS = f"WITH {_SETS} SELECT itemset, freq, round(support, 9) AS support, length FROM f"
 
 
@@ -309,6 +315,7 @@ QUERIES = {
         f"WITH {_SETS} SELECT 'rows' AS method, any_value(n) AS transactions, count(*) AS distinct_items FROM f WHERE length = 1",
     ),
     "itemsets_apriori": (_itemsets("apriori"), ITEMSETS),
+    "itemsets_in_tables": (itemsets_in_tables, ITEMSETS),
     "itemsets_fpgrowth": (_itemsets("fpgrowth"), ITEMSETS),
     "itemsets_long_apriori": (_itemsets_long("apriori"), ITEMSETS_LONG),
     "itemsets_long_fpgrowth": (_itemsets_long("fpgrowth"), ITEMSETS_LONG),

@@ -47,9 +47,19 @@ def test_support_is_inclusive(spark):
         assert found(run(baskets(spark, rows), 0.07, 2)) == {("x",): 7, ("y",): 100, ("x", "y"): 7}
 
 
-def test_many_candidates_go_to_fp_growth(spark, monkeypatch):
-    monkeypatch.setattr(itemsets, "MAX_CANDIDATES", 2)
-    assert found(apriori(baskets(spark, BASKET), 0.1, 3)) == brute(BASKET, 0.1, 3)
+@pytest.mark.parametrize("limit", [0, 2])
+def test_many_candidates_stay_in_tables(spark, monkeypatch, limit):
+    monkeypatch.setattr(itemsets, "fp_growth", None)
+    assert found(apriori(baskets(spark, BASKET), 0.1, 3, limit)) == brute(BASKET, 0.1, 3)
+    assert found(apriori(baskets(spark, BASKET), 0.1, None, limit)) == brute(BASKET, 0.1, 5)
+
+
+def test_tables_count_over_many_words(spark):
+    """More than 64 transactions a task, one item in all of them, some without items."""
+    rows = ["a" + "".join(c for i, c in enumerate("bcdef") if not n % (i + 2)) for n in range(700)] + [""] * 60
+    assert found(apriori(baskets(spark, rows), 0.02, None, 0)) == brute(rows, 0.02, 6)
+    assert found(apriori(baskets(spark, ["", ""]), 0.5, None, 0)) == {}
+    assert found(apriori(baskets(spark, rows), 0.9, 1, 0)) == brute(rows, 0.9, 1)
 
 
 def test_rules_of_every_split(spark):
