@@ -189,20 +189,24 @@ def typed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(__c, whole, number, text, n)``: every value of every column with its count.
 
     ``__c`` is the position in ``columns``; a value sits in the field of its type, so
-    numbers are never turned into text before they are combined.  One shuffle serves
-    all columns, and equal values are combined before it.
+    numbers are never turned into text before they are combined.  Floats and decimals
+    have their size in ``number``, for the order, and their own digits in ``text``.
+    One shuffle serves all columns, and equal values are combined before it.
     """
     types = {f.name: f.dataType for f in df.schema}
     structs = []
     for i, c in enumerate(columns):
         whole = isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        number = isinstance(types[c], T.DoubleType)
+        number = isinstance(types[c], (T.DoubleType, T.FloatType, T.DecimalType))
+        digits = not whole and not isinstance(types[c], T.DoubleType)
+        # Adding zero makes a negative zero positive, as grouping does with numbers.
+        value = col(c) + F.lit(0.0).cast("float") if isinstance(types[c], T.FloatType) else col(c)
         structs.append(
             F.struct(
                 F.lit(i).alias("__c"),
                 (col(c) if whole else F.lit(None)).cast("bigint").alias("whole"),
-                (col(c) if number else F.lit(None)).cast("double").alias("number"),
-                (F.lit(None) if whole or number else col(c)).cast("string").alias("text"),
+                (value if number else F.lit(None)).cast("double").alias("number"),
+                (value if digits else F.lit(None)).cast("string").alias("text"),
             )
         )
     return (
@@ -218,7 +222,7 @@ def _column_name(columns: Sequence[str]) -> Column:
 
 
 def _value_text() -> Column:
-    return F.coalesce(F.col("whole").cast("string"), F.col("number").cast("string"), F.col("text"))
+    return F.coalesce("text", F.col("whole").cast("string"), F.col("number").cast("string"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

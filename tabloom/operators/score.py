@@ -28,13 +28,17 @@ FEW_ROWS = 5
 def row_key(df: DataFrame, key: Sequence[str] | None) -> DataFrame:
     """Add ``__id``: the key column, the joined key columns, or a fixed row number.
 
-    Row numbers depend on how the input is split, so they are checkpointed before use.
+    Separators inside joined parts are escaped and missing parts marked, so that different
+    keys never give the same text.  Row numbers depend on how the input is split, so
+    they are checkpointed before use.
     """
     if not key:
         return cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
     if len(key) == 1:
         return df.withColumn("__id", col(key[0]))
-    return df.withColumn("__id", F.concat_ws("|", *[col(k).cast("string") for k in key]))
+    parts = [col(k).cast("string") for k in key]
+    escaped = [F.coalesce(F.regexp_replace(p, r"([\\|])", r"\\$1"), F.lit(r"\N")) for p in parts]
+    return df.withColumn("__id", F.concat_ws("|", *escaped))
 
 
 def check_compatibility(df: DataFrame, preparation: Preparation) -> DataFrame:

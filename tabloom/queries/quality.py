@@ -242,6 +242,28 @@ TARGET_PROFILE = f"""WITH {_target_cte()} SELECT column_name, data_type, total_v
  n AS distinct_values, sample_values FROM p"""
 
 
+TYPED = {
+    "amount": "CAST(o_totalprice / 1000 AS DECIMAL(12, 2))",
+    "day": "CAST(o_orderdate AS DATE)",
+    "ratio": "CAST((o_orderkey % 90 - 15) / 4 AS FLOAT)",
+}
+
+
+def target_profile_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Decimals, dates and short floats in the order of their own type."""
+    data = table(spark, folder, "orders").selectExpr(*[f"{e} AS {n}" for n, e in TYPED.items()])
+    return target.target_profile(data).selectExpr(
+        "column_name", "valid_values", "distinct_values", "array_join(sample_values, '|') AS sample_values"
+    )
+
+
+TARGET_PROFILE_TYPES = " UNION ALL ".join(
+    f"""SELECT '{n}' AS column_name, (SELECT count(*) FROM orders) AS valid_values, count(*) AS distinct_values,
+ array_to_string(list(v::VARCHAR ORDER BY v)[1:10], '|') AS sample_values FROM (SELECT DISTINCT {e} AS v FROM orders)"""
+    for n, e in TYPED.items()
+)
+
+
 def target_compatibility(spark: SparkSession, folder: str) -> DataFrame:
     return _targets(spark, folder).select(
         "column_name",
@@ -305,6 +327,7 @@ QUERIES = {
     "column_types": (column_types, _types_sql()),
     "size_hints": (size_hints, SIZE_HINTS),
     "target_profile": (target_profile, TARGET_PROFILE),
+    "target_profile_types": (target_profile_types, TARGET_PROFILE_TYPES),
     "target_compatibility": (target_compatibility, TARGET_COMPATIBILITY),
     "target_recommendation": (target_recommendation, TARGET_RECOMMENDATION),
     "target_availability": (target_availability, TARGET_AVAILABILITY),

@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabloom.operators.models import fit_spark_model, model_parameters, top_importance
-from tabloom.operators.score import check_compatibility, score
+from tabloom.operators.score import check_compatibility, row_key, score
 from tabloom.operators.svr import fit_svr
 from tabloom.plans.training import predictions, retrain, train
 from tabloom.sources.registry import list_models, load_metadata, load_model, registry_name, save_model
@@ -196,3 +196,9 @@ def test_metrics_are_measured_when_asked(spark):
     assert first["train_size"] + first["test_size"] == 200 and trained.metrics is first
     trained.close()
     assert predictions(trained).count() == first["test_size"]
+
+
+def test_joined_keys_stay_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "b|c"), ("a\\|b", "c"), (None, "x"), ("\\N", "x"), ("", "x")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    assert row_key(df, ["p", "q"]).select("__id").distinct().count() == len(rows)

@@ -54,3 +54,16 @@ def test_smallest_values_sort_numbers_as_numbers(spark):
     df = spark.createDataFrame([(10, "b"), (9, "a"), (100, None)], "n int, s string")
     got = dict(map(tuple, smallest_values(df, ["n", "s"], 2).collect()))
     assert got == {"n": ["9", "10"], "s": ["a", "b"]}
+
+
+def test_values_keep_the_order_of_their_type(spark):
+    df = spark.sql(
+        "SELECT CAST(d AS DECIMAL(6, 2)) AS d, CAST(d AS FLOAT) AS f, DATE'2020-01-09' + INT(d) AS t"
+        " FROM VALUES (10), (9), (-3), (-20), (9) AS v(d)"
+    )
+    got = dict(map(tuple, smallest_values(df, ["d", "f", "t"], 3).collect()))
+    assert got["d"] == ["-20.00", "-3.00", "9.00"]
+    assert got["f"] == ["-20.0", "-3.0", "9.0"]
+    assert got["t"] == ["2019-12-20", "2020-01-06", "2020-01-18"]
+    zero = spark.sql("SELECT CAST(x AS FLOAT) AS f FROM VALUES ('-0.0'), ('0.0') AS v(x)")
+    assert [tuple(r) for r in value_counts(zero, ["f"]).collect()] == [("f", "0.0", 2)]
