@@ -69,6 +69,19 @@ CSV_DIALECTS = """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'la
  AS separator, 5 AS n_cols, count(*) AS rows FROM orders GROUP BY ALL"""
 
 
+def csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with line breaks, separators and quotes, in several files."""
+    path = f"{shared_folder(spark, 'csv')}/breaks"
+    write_csv(table(spark, folder, "orders").selectExpr("o_orderkey AS k", f"{BREAKS} AS note", "o_totalprice AS t"), path)
+    return read_csv_robust(spark, [path])
+
+
+BREAKS = (
+    "concat(o_orderstatus, ', \"', o_orderpriority, '\"', CASE WHEN o_orderkey % 3 = 0 THEN chr(10) ELSE ' ' END,"
+    " CASE WHEN o_orderkey % 5 = 0 THEN concat(chr(10), ';,|') ELSE '' END, 'end')"
+)
+
+
 def csv_most_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Decimal commas inside semicolon files: the rule of most columns finds the semicolon."""
     path = f"{shared_folder(spark, 'csv')}/decimals"
@@ -93,10 +106,9 @@ def csv_first_usable(spark: SparkSession, folder: str) -> DataFrame:
     base = shared_folder(spark, "csv")
     orders = table(spark, folder, "orders")
     joined = orders.select(F.concat_ws("~,~", "o_orderkey", "o_orderstatus").alias("only"))
-    joined.coalesce(1).write.csv(f"{base}/one", header=True, quote="\u0000", sep="|")
-    write_csv(orders.select("o_orderkey", "o_orderstatus").coalesce(1), f"{base}/two", ";")
-    paths = [f"{base}/none.csv", *list_files(spark, f"{base}/one/*.csv"), *list_files(spark, f"{base}/two/*.csv")]
-    return read_first_usable(spark, paths)[1]
+    joined.write.csv(f"{base}/one", header=True, quote="\u0000", sep="|")
+    write_csv(orders.select("o_orderkey", "o_orderstatus"), f"{base}/two", ";")
+    return read_first_usable(spark, [f"{base}/none.csv", f"{base}/one", f"{base}/two"])[1]
 
 
 def _candidates(spark: SparkSession, folder: str) -> list[str]:
@@ -104,9 +116,9 @@ def _candidates(spark: SparkSession, folder: str) -> list[str]:
     orders = table(spark, folder, "orders")
     narrow = orders.selectExpr("o_orderkey", "o_orderstatus AS `Estado  Final`")
     full = orders.selectExpr("o_orderkey", "o_orderstatus AS `Estado  Final`", "o_totalprice AS `Total General`", "o_custkey")
-    write_csv(narrow.coalesce(1), f"{base}/narrow", ";")
-    write_csv(full.coalesce(1), f"{base}/full", ";")
-    return [*list_files(spark, f"{base}/narrow/*.csv"), *list_files(spark, f"{base}/full/*.csv")]
+    write_csv(narrow, f"{base}/narrow", ";")
+    write_csv(full, f"{base}/full", ";")
+    return [f"{base}/narrow", f"{base}/full"]
 
 
 _REQUIRED = ["estado final", "total", "o_custkey"]
@@ -116,11 +128,13 @@ def csv_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Coverage of two candidates, next to the rows each holds."""
     files = _candidates(spark, folder)
     report = coverage_report(spark, files, _REQUIRED)
-    rows = spark.read.text(files).groupBy(F.col("_metadata.file_path").alias("uri")).agg(
-        (F.count(F.lit(1)) - 1).alias("rows")
+    # A header is the only line with column names in it.
+    candidate = F.regexp_extract("_metadata.file_path", "/(narrow|full)/[^/]*$", 1)
+    rows = spark.read.text(files).groupBy(candidate.alias("name")).agg(
+        F.count_if(~F.col("value").startswith("o_orderkey")).alias("rows")
     )
-    counted = rows.withColumn("path", F.regexp_replace("uri", "^file:/+", "/"))
-    return report.join(counted, "path").select(
+    named = report.withColumn("name", F.regexp_extract("path", "/(narrow|full)$", 1))
+    return named.join(rows, "name").select(
         "priority",
         F.array_join("found", ",").alias("found"),
         F.array_join("missing", ",").alias("missing"),
@@ -146,6 +160,7 @@ def csv_for_retraining(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, _MESSY_SQL),
     "csv_dialects": (csv_dialects, CSV_DIALECTS),
+    "csv_multiline": (csv_multiline, f"SELECT o_orderkey AS k, {BREAKS} AS note, o_totalprice AS t FROM orders"),
     "csv_most_columns": (
         csv_most_columns,
         "SELECT ';' AS separator, o_orderkey AS k, o_totalprice AS total, o_orderstatus AS s FROM orders",

@@ -2,7 +2,9 @@
 
 Two jobs answer for all files: a task per file reads whole leading lines until a
 handful of records is complete, and a split-parallel pass over all lines checks
-what only the whole text can tell (valid UTF-8, rows wider than the header).
+what only the whole text can tell (valid UTF-8, rows wider than the header).  Files
+with line breaks inside quotes cannot be judged by lines: a third job streams each
+of them, and they are read unsplit.  A path may also be a folder of such files.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -34,6 +37,10 @@ SAMPLE_ROWS = 5
 SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 HEAD_BYTES = 1 << 16
+# Leading bytes looked at, at most; a longer record is an error, not a dialect.
+MAX_HEAD_BYTES = 1 << 24
+# Width of a file that cannot be parsed under a separator: wider than any header.
+UNREADABLE = (1 << 31) - 1
 NAMES = ["comma", "semicolon", "tab", "pipe"]
 
 _HEAD_SCHEMA = (
@@ -54,6 +61,7 @@ class Dialect:
     sample_rows: int = 0
     attempts: int = 0
     reason: str | None = None
+    multiline: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -73,18 +81,39 @@ def _plain(path: str) -> str:
     return path
 
 
+def _is_data(name: str) -> bool:
+    """Spark's readers pass over names that start with a dot or an underscore."""
+    return not name.rsplit("/", 1)[-1].startswith((".", "_"))
+
+
 def _open(path: str):
-    """A binary stream for a plain path or any address Arrow's file systems know."""
+    """A binary stream for a plain path or any address Arrow's file systems know.
+
+    A folder stands for its largest file.
+    """
     if "://" not in path:
+        if os.path.isdir(path):
+            files = [e for e in os.scandir(path) if e.is_file() and _is_data(e.name)]
+            path = max(files, key=lambda e: (e.stat().st_size, e.name), default=None)
+            if path is None:
+                raise OSError("the folder has no files")
         return open(path, "rb")
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        files = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and _is_data(f.path)]
+        if not files:
+            raise OSError("the folder has no files")
+        inner = max(files, key=lambda f: (f.size, f.path)).path
     return system.open_input_stream(inner)
 
 
 def _leading_records(path: str) -> tuple[bytes, bool]:
-    """Whole lines from the start of a file, enough for a few records, and the end flag."""
+    """Whole lines from the start of a file, enough for a few records, and the end flag.
+
+    A quote that is never closed ends the search at ``MAX_HEAD_BYTES``.
+    """
     with _open(path) as stream:
         data, size = b"", HEAD_BYTES
         while True:
@@ -93,9 +122,12 @@ def _leading_records(path: str) -> tuple[bytes, bool]:
             if not more or len(more) < size:
                 return data, True
             lines = data.count(b"\n")
-            if lines > 4 * SAMPLE_ROWS and data.count(b'"') % 2 == 0:
+            full = len(data) >= MAX_HEAD_BYTES
+            if full and not lines:
+                raise OSError(f"a line is longer than {MAX_HEAD_BYTES} bytes")
+            if full or lines > 4 * SAMPLE_ROWS and data.count(b'"') % 2 == 0:
                 return data[: data.rindex(b"\n") + 1], False
-            size *= 2
+            size = min(2 * size, MAX_HEAD_BYTES)
 
 
 def _looks_utf8(data: bytes) -> bool:
@@ -108,6 +140,7 @@ def _looks_utf8(data: bytes) -> bool:
 
 def _describe(data: bytes, utf8: bool) -> dict:
     """Header, sampled rows and widths under each separator."""
+    csv.field_size_limit(MAX_HEAD_BYTES)
     text = data.decode("utf-8-sig" if utf8 else "latin-1")
     out = {"header": [], "rows": [], "widest": [], "first_cell": []}
     for separator in SEPARATORS:
@@ -158,10 +191,11 @@ def heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def whole_file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file, over all of its lines: valid UTF-8 and the widest row per separator.
+    """Per file, over all of its lines: valid UTF-8, the widest row per separator and
+    the number of lines that end inside quotes.
 
     Lines are combined per file before the shuffle.  Quoted stretches within a line
-    do not count as separators.
+    do not count as separators; a quote left over at the start of a cell is open.
     """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
     # Separators and quotes are single bytes in every encoding at hand; reading bytes as
@@ -172,7 +206,58 @@ def whole_file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.max(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1).alias(n)
         for s, n in zip(SEPARATORS, NAMES)
     ]
-    return lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), *widths)
+    return lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.count_if(bare.rlike('(^|[,;\t|])"')).alias("open"),
+        *widths,
+    )
+
+
+def _record_widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(MAX_HEAD_BYTES)
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            row = {"path": path}
+            for name, separator in zip(NAMES, SEPARATORS):
+                with _open(path) as stream:
+                    text = io.TextIOWrapper(io.BufferedReader(stream), "latin-1", newline="")
+                    try:
+                        row[name] = max(map(len, csv.reader(text, delimiter=separator)), default=0)
+                    except csv.Error:
+                        row[name] = UNREADABLE
+            out.append(row)
+        yield pd.DataFrame(out, columns=["path", *NAMES])
+
+
+def record_widths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Widest record per separator of files with line breaks inside quotes.
+
+    Such files have no safe split, so a task streams a whole file, holding one record.
+    """
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    schema = "path string, " + ", ".join(f"{n} int" for n in NAMES)
+    return listed.repartition(max(1, len(paths)), "path").mapInPandas(_record_widths, schema)
+
+
+def _facts(spark: SparkSession, paths: Sequence[str]) -> dict[str, dict]:
+    """What all lines tell of each path, the files of a folder taken together."""
+    per_file = {_plain(r["path"]): r.asDict() for r in whole_file_facts(spark, paths).collect()}
+    quoted = sorted(p for p, f in per_file.items() if f["open"])
+    if quoted:
+        for r in record_widths(spark, quoted).collect():
+            per_file[r["path"]].update({n: r[n] for n in NAMES})
+    out = {}
+    for path in paths:
+        own = _plain(path).rstrip("/")
+        parts = [f for p, f in per_file.items() if p == own or p.startswith(own + "/")]
+        if parts:
+            out[path] = {
+                "utf8": all(f["utf8"] for f in parts),
+                "open": sum(f["open"] for f in parts),
+                **{n: max(f[n] for f in parts) for n in NAMES},
+            }
+    return out
 
 
 def _choose(row, facts, rule: str) -> Dialect:
@@ -208,6 +293,7 @@ def _choose(row, facts, rule: str) -> Dialect:
     out.encoding = "utf-8" if utf8 else "latin-1"
     out.attempts = tried if utf8 else tried + len(order)
     out.separator = chosen
+    out.multiline = bool(facts and facts["open"])
     _, out.sample_rows, out.header = found[chosen]
     return out
 
@@ -218,7 +304,8 @@ def detect_dialects(
     """One :class:`Dialect` per path, in the given order.
 
     ``rule`` is ``first`` (first separator by preference) or ``max_columns``.
-    ``whole`` also looks at every line, which decides the encoding for certain.
+    ``whole`` also looks at every line, which decides the encoding for certain and
+    finds line breaks inside quotes.
     Results are one row per named file.
     """
     if rule not in ("first", "max_columns"):
@@ -228,7 +315,7 @@ def detect_dialects(
     if whole:
         readable = [r["path"] for r in rows if not r["error"]]
         if readable:
-            facts = {_plain(r["path"]): r for r in whole_file_facts(spark, readable).collect()}
+            facts = _facts(spark, readable)
     return [_choose(r, facts.get(r["path"]), rule) for r in rows]
 
 

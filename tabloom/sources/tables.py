@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
@@ -56,18 +57,22 @@ PRIORITY_NAME_PARTS = ["datos_", "archivo_"]
 
 
 def read_dialects(
-    spark: SparkSession, dialects: Sequence[Dialect], mode: str = "PERMISSIVE", multiline: bool = False
+    spark: SparkSession, dialects: Sequence[Dialect], mode: str = "PERMISSIVE", multiline: bool | None = None
 ) -> DataFrame:
-    """All files as text columns: one scan per encoding, separator and header."""
+    """All files as text columns: one scan per encoding, separator, header and splitting.
+
+    ``multiline=None`` reads unsplit only the files that were seen to need it.
+    """
     groups: dict[tuple, list[str]] = defaultdict(list)
     for d in dialects:
-        groups[d.encoding, d.separator, tuple(d.columns)].append(d.path)
+        unsplit = d.multiline if multiline is None else multiline
+        groups[d.encoding, d.separator, tuple(d.columns), unsplit].append(d.path)
     frames = []
     reader = spark.read
     if mode != "PERMISSIVE":
         # Whether a row fits the header shows only when all of its columns are parsed.
         reader = reader.option("columnPruning", "false")
-    for (encoding, separator, columns), paths in groups.items():
+    for (encoding, separator, columns, unsplit), paths in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         frames.append(
             reader.csv(
@@ -79,7 +84,7 @@ def read_dialects(
                 quote='"',
                 escape='"',
                 mode=mode,
-                multiLine=multiline,
+                multiLine=unsplit,
             )
         )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -93,11 +98,12 @@ def read_csv_robust(
     rule: str = "first",
     infer: bool = True,
     mode: str = "PERMISSIVE",
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
-    """Read CSV files of unknown dialect into one table.
+    """Read CSV files, or folders of them, of unknown dialect into one table.
 
-    Files may differ in encoding, separator and header.  A file that no dialect fits
+    Files may differ in encoding, separator and header, and cells may hold line breaks
+    (``multiline`` forces or forbids them).  A file that no dialect fits
     is an error.  With ``infer`` missing-value texts become null and columns take the
     narrowest type that holds all of their values.
     """
@@ -225,7 +231,8 @@ def read_for_retraining(
     """Read the stored training source again; half of the columns must be there.
 
     When the strict reading finds no usable file, rows that do not fit the header are
-    dropped and the files are judged by their leading records alone.
+    dropped, with a warning of how many, and the files are judged by their leading
+    records alone.
     """
     try:
         return read_by_coverage(spark, paths, expected, RETRAINING_COVERAGE)
@@ -233,7 +240,10 @@ def read_for_retraining(
         for d in detect_dialects(spark, list(paths), rule="max_columns"):
             found = match_names([clean_name(e) for e in expected], d.columns)
             if d.reason is None and 100.0 * len(found) >= RETRAINING_COVERAGE * len(expected):
-                raw = infer_types(read_dialects(spark, [d], mode="DROPMALFORMED"))
+                kept = read_dialects(spark, [d], mode="DROPMALFORMED")
+                dropped = read_dialects(spark, [d]).count() - kept.count()
+                warnings.warn(f"{d.path}: {dropped} rows that do not fit the header are dropped", stacklevel=2)
+                raw = infer_types(kept)
                 renamed = {old: new for new, old in found.items()}
                 return d.path, raw.toDF(*unique_names(renamed.get(c, c) for c in raw.columns))
         raise

@@ -115,7 +115,8 @@ def test_choice_of_source(spark, tmp_path):
     with pytest.raises(ValueError):
         read_by_coverage(spark, [narrow], required)
     broken = write(tmp_path, "broken.csv", "IDIOMAS I;x\n" + "1;2\n" * 30 + "1;2;3;4\n")
-    assert read_for_retraining(spark, [broken], required)[1].count() == 30
+    with pytest.warns(UserWarning, match="1 rows that do not fit"):
+        assert read_for_retraining(spark, [broken], required)[1].count() == 30
     assert read_first_usable(spark, [str(tmp_path / "no.csv"), narrow])[0] == narrow
 
 
@@ -126,3 +127,45 @@ def test_preview_and_structure(spark):
     assert check_structure(df).first()["is_valid"]
     assert not check_structure(df.limit(0)).first()["is_valid"]
     assert not check_structure(df.select("n")).first()["is_valid"]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    text = "id;note;n\n" + "".join(f'{i};"line {i};a\nand ""b"" | ,,;,\n\nend";{i}\n' for i in range(50))
+    path = write(tmp_path, "breaks.csv", text)
+    (d,) = detect_dialects(spark, [path], whole=True)
+    assert (d.separator, d.multiline) == (";", True)
+    got = read_csv_robust(spark, [path, write(tmp_path, "plain.csv", "id,note,n\n90,x,1\n")])
+    rows = {r["id"]: (r["note"], r["n"]) for r in got.collect()}
+    assert rows == {i: (f'line {i};a\nand "b" | ,,;,\n\nend', i) for i in range(50)} | {90: ("x", 1)}
+
+
+def test_record_wider_than_header_behind_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "wide_breaks.csv", 'a,b\n1,"x\ny"\n' + "2,z\n" * 40 + "1,2,3\n")
+    with pytest.raises(ValueError, match="no separator"):
+        read_csv_robust(spark, [path])
+
+
+def test_stray_quote_inside_a_cell(spark, tmp_path):
+    path = write(tmp_path, "inch.csv", "id,size\n" + '0,5" pipe\n' + "".join(f"{i},p{i}\n" for i in range(1, 20_000)))
+    (d,) = detect_dialects(spark, [path], whole=True)
+    assert (d.separator, d.multiline) == (",", False)
+    out = read_csv_robust(spark, [path])
+    assert out.count() == 20_000 and out.where("id = 0").first()["size"] == '5" pipe'
+
+
+def test_huge_lines(spark, tmp_path):
+    path = write(tmp_path, "long.csv", "id,t\n" + "1," + "x" * 1_000_000 + "\n2,y\n")
+    assert read_csv_robust(spark, [path]).where("length(t) = 1000000").count() == 1
+    path = write(tmp_path, "endless.csv", "y" * 40_000_000)
+    assert "longer than" in detect_dialects(spark, [path])[0].reason
+
+
+def test_folder_as_source(spark, tmp_path):
+    for name, n in (("p0.csv", 2), ("p1.csv", 30)):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        write(tmp_path / "d", name, "id;t\n" + "1;x\n" * n)
+    (tmp_path / "d" / "_SUCCESS").write_bytes(b"")
+    assert read_csv_robust(spark, [str(tmp_path / "d")]).count() == 32
+    (tmp_path / "none").mkdir()
+    path, out = read_first_usable(spark, [str(tmp_path / "none"), str(tmp_path / "d")])
+    assert path == str(tmp_path / "d") and out.columns == ["id", "t"]
