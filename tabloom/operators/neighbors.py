@@ -1,8 +1,9 @@
 """Exact k nearest neighbours as a partitioned join.
 
-Training rows are assigned to the nearest of a few pivots.  A query row can only
-find neighbours in cells whose distance ring reaches its current bound (triangle
-inequality), so it is sent to those cells alone.  Cells are cut into blocks of a
+Training rows are assigned to the nearest of a number of pivots that grows with the
+table.  A query row is first answered by its home cell, which gives its true k-th
+distance there; nearer rows can only be in cells whose distance ring reaches that
+ball (triangle inequality), so it is sent to those cells alone.  Cells are cut into blocks of a
 bounded number of rows and the queries of a cell into chunks of a bounded number
 of rows; each task meets one block with one chunk as two matrices and returns only
 the k best per query.  A cell or query group of any size is therefore split, no
@@ -11,7 +12,7 @@ pair of rows is ever a record, and no group is larger than its bound.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.sizing import cut_lineage
 from .models import read_json, write_json
 
 # Numbers (rows × features) per block or chunk: 32 MB of doubles.
 BLOCK_NUMBERS = 4_000_000
 MAX_BLOCK_ROWS = 50_000
-MAX_PIVOTS = 256
+# Pivots travel to every task: 4,096 x 64 features are 2 MB.  Cells only grow beyond
+# MAX_PIVOTS x ROWS_PER_PIVOT rows, and are cut into blocks as ever.
+MAX_PIVOTS = 4_096
 ROWS_PER_PIVOT = 20_000
 # Cells of the distance matrix held at once inside a task.
 MATRIX_CELLS = 8_000_000
@@ -158,7 +162,6 @@ def nearest_neighbors(
 
     Ties in distance go to the smaller ``__id``.
     """
-    spark = train.sparkSession
     facts = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__x")).alias("d")).first()
     n, d = facts["n"], facts["d"]
     if not n:
@@ -168,20 +171,42 @@ def nearest_neighbors(
     id_type = train.schema["__id"].dataType.simpleString()
     q_type = queries.schema["__q"].dataType.simpleString()
 
-    if n_pivots == 1:
-        placed = train.withColumn("__cell", F.lit(0))
-        sizes = {0: n}
-        sent = queries.withColumn("__cell", F.lit(0))
+    types = f"__q {q_type}, __d double, __id {id_type}, label double"
+    routes = _route(train, n_pivots, k) if n_pivots > 1 else None
+    if routes is None:
+        whole = F.lit(0).alias("__cell")
+        best = _search(train.select("*", whole), {0: n}, queries.select("*", whole), k, block_rows, types)
     else:
-        placed, sizes, sent = _route(train, queries, k, n_pivots)
+        sent = queries.select("*", routes.home("__x").alias("__cell"))
+        # At most k rows for each query, read for the bound and for the answer.
+        first = cut_lineage(_search(routes.placed, routes.sizes, sent, k, block_rows, types))
+        first = first.withColumn("__n", F.row_number().over(_nearest_first())).where(F.col("__n") <= k)
+        bound = first.where(F.col("__n") == k).select("__q", F.col("__d").alias("__bound"))
+        others = (
+            sent.withColumnRenamed("__cell", "__home")
+            .join(bound, "__q")
+            .select("__q", "__x", F.explode(routes.reach("__x", "__bound", "__home")).alias("__cell"))
+        )
+        more = _search(routes.placed, routes.sizes, cut_lineage(others), k, block_rows, types)
+        best = first.drop("__n").unionByName(more)
+    return best.withColumn("rank", F.row_number().over(_nearest_first())).where(F.col("rank") <= k)
+
+
+def _nearest_first():
+    return Window.partitionBy("__q").orderBy("__d", "__id")
+
 
-    blocks = {c: -(-size // block_rows) for c, size in sizes.items()}
+def _search(
+    placed: DataFrame, sizes: dict[int, int], sent: DataFrame, k: int, block_rows: int, types: str
+) -> DataFrame:
+    """The k nearest rows of each block for each query sent to its cell."""
+    spark = placed.sparkSession
     waiting = {r["__cell"]: r["n"] for r in sent.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = {c: max(1, -(-waiting.get(c, 0) // block_rows)) for c in sizes}
-    # One row per pivot: a table of at most MAX_PIVOTS rows.
+    # One row per pivot that has queries: a table of at most MAX_PIVOTS rows.
     plan = F.broadcast(
         spark.createDataFrame(
-            [(c, blocks[c], chunks[c]) for c in sizes], "__cell int, __blocks long, __chunks long"
+            [(c, -(-sizes[c] // block_rows), -(-n // block_rows)) for c, n in waiting.items()],
+            "__cell int, __blocks long, __chunks long",
         )
     )
     part = lambda key, of: F.pmod(F.xxhash64(col(key)), F.col(of))
@@ -198,17 +223,23 @@ def nearest_neighbors(
         .select("__cell", "__block", "__chunk", "__q", "__x")
     )
     keys = ["__cell", "__block", "__chunk"]
-    best = (
-        block_side.groupBy(*keys)
-        .cogroup(chunk_side.groupBy(*keys))
-        .applyInPandas(_best_of_block(k), f"__q {q_type}, __d double, __id {id_type}, label double")
+    return (
+        block_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInPandas(_best_of_block(k), types)
     )
-    order = Window.partitionBy("__q").orderBy("__d", "__id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _route(train: DataFrame, queries: DataFrame, k: int, n_pivots: int):
-    """Assign training rows to pivots and queries to the cells they must look into."""
+@dataclass
+class _Routes:
+    """Training rows with their cell, cell sizes, and where a query has to look."""
+
+    placed: DataFrame
+    sizes: dict[int, int]
+    home: Callable
+    reach: Callable
+
+
+def _route(train: DataFrame, n_pivots: int, k: int) -> _Routes | None:
+    """Assign training rows to pivots; ``None`` when no cell has k rows."""
     # The pivots are the rows with the smallest id hashes: at most MAX_PIVOTS vectors.
     pivots = np.array(
         [r["__x"] for r in train.orderBy(F.xxhash64("__id"), "__id").select("__x").limit(n_pivots).collect()]
@@ -228,36 +259,32 @@ def _route(train: DataFrame, queries: DataFrame, k: int, n_pivots: int):
     rings = placed.groupBy("__cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("__r").alias("near"), F.max("__r").alias("far")
     ).collect()  # one row per pivot
-    closest = Window.partitionBy("__cell").orderBy("__r")
-    # k radii per pivot; the ranking is cut to k per partition before the shuffle.
-    inner = (
-        placed.select("__cell", "__r")
-        .withColumn("__k", F.row_number().over(closest))
-        .where(F.col("__k") <= k)
-        .collect()
-    )
-    cells = np.array([r["__cell"] for r in rings])
+    cells = np.array([r["__cell"] for r in rings], dtype=np.int32)
     near = np.array([r["near"] for r in rings])
     far = np.array([r["far"] for r in rings])
     centres = pivots[cells]
-    place_of = {c: i for i, c in enumerate(cells)}
-    inner_cell = np.array([place_of[r["__cell"]] for r in inner])
-    inner_radius = np.array([r["__r"] for r in inner])
-    take = min(k, len(inner_radius))
+    # Only a cell with k rows gives a k-th distance.
+    homes = np.array([r["__cell"] for r in rings if r["n"] >= k], dtype=np.int32)
+    if not len(homes):
+        return None
+
+    @F.pandas_udf("int")
+    def home(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        return pd.Series(homes[_distances(_matrix(x), pivots[homes]).argmin(axis=1)])
 
     @F.pandas_udf("array<int>")
-    def reach(x: pd.Series) -> pd.Series:
+    def reach(x: pd.Series, bound: pd.Series, own: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
         dist = _distances(_matrix(x), centres)
-        upper = dist[:, inner_cell] + inner_radius[None, :]
-        bound = np.partition(upper, take - 1, axis=1)[:, take - 1 : take]
-        bound = bound * (1 + 1e-9) + 1e-12
-        hit = (dist - far[None, :] <= bound) & (near[None, :] - dist <= bound)
+        wide = bound.to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + dist)
+        hit = (dist - far[None, :] <= wide) & (near[None, :] - dist <= wide)
+        hit &= cells[None, :] != own.to_numpy()[:, None]
         return pd.Series([cells[row].tolist() for row in hit])
 
-    sent = queries.withColumn("__cell", F.explode(reach("__x")))
-    return placed.drop("__r"), {r["__cell"]: r["n"] for r in rings}, sent
+    return _Routes(placed.drop("__r"), {r["__cell"]: r["n"] for r in rings}, home, reach)
 
 
 def _weight(weights: str):

@@ -35,6 +35,26 @@ def test_matches_brute_force(spark, block_rows, rows_per_pivot):
     assert got == brute(train, queries, 4)
 
 
+def test_dense_cell_and_far_queries(spark):
+    """Most rows in one tight cell; queries inside it, between cells and far outside."""
+    rng = np.random.default_rng(8)
+    train = np.vstack([rng.normal(0, 0.01, (600, 4)), rng.normal(0, 30, (300, 4))])
+    queries = np.vstack([rng.normal(0, 0.01, (40, 4)), rng.normal(0, 30, (40, 4)), rng.normal(0, 900, (10, 4))])
+    t, q = frames(spark, train, queries)
+    got = {}
+    for r in nearest_neighbors(t, q, 6, 100, 20).orderBy("__q", "rank").collect():
+        got.setdefault(r["__q"], []).append((r["__id"], r["__d"]))
+    assert got == brute(train, queries, 6)
+
+
+def test_no_cell_with_k_rows(spark):
+    rng = np.random.default_rng(9)
+    train, queries = rng.normal(0, 1, (40, 2)), rng.normal(0, 1, (5, 2))
+    t, q = frames(spark, train, queries)
+    got = nearest_neighbors(t, q, 39, 10, 1).groupBy("__q").count().collect()
+    assert {r["count"] for r in got} == {39}
+
+
 def test_votes(spark):
     near = spark.createDataFrame(
         [
