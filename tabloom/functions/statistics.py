@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from .columns import col, quoted
 from .sizing import SMALL_ROWS, collect_if_small
 
-# Rows up to which the in-buffer percentile is used.
-DIRECT_ROWS = 2_000_000
+# Rows of all columns together up to which the in-buffer percentile is used: the one
+# final buffer then holds some 100 MB at most, however wide the table is.
+DIRECT_ROWS = 4_000_000
 # Expressions per aggregate; wider requests are split over several passes.
 WIDE = 400
 
@@ -57,7 +58,7 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation; all-null columns give ``None``.
 
-    Up to ``direct_rows`` rows this is one aggregate.  Beyond, a sketch brackets
+    Up to ``direct_rows`` values in all columns this is one aggregate.  Beyond, a sketch brackets
     each wanted order statistic, one aggregate per round counts what lies below
     and inside the brackets and sketches again inside them, and once a bracket has
     few distinct values they are counted and walked.  No round moves more than the
@@ -67,7 +68,7 @@ def exact_quantiles(
     if not columns:
         return {}
     counts = wide_aggregate(df, {c: F.expr(f"count({quoted(c)})") for c in columns})
-    if max(counts.values()) <= direct_rows:
+    if sum(counts.values()) <= direct_rows:
         probs = "array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")"
         got = wide_aggregate(
             df,

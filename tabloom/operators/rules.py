@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ranked
+
 # Defaults and the relaxation of the confidence threshold.
 MIN_CONFIDENCE = 0.6
 MAX_RULES = 100
@@ -155,17 +157,18 @@ def lift_band(rules: DataFrame) -> DataFrame:
     return rules.withColumn("lift_band", band)
 
 
-def export_rules(rules: DataFrame) -> DataFrame:
+def export_rules(rules: DataFrame, rows: int | None = None) -> DataFrame:
     """The flat export table, numbered by quality.
 
-    Numbering ranks all rules in one task, which is meant for the chosen (limited) rules.
+    ``rows`` is a known bound on the number of rules, such as the ``max_rules`` they
+    were chosen by.
     """
-    number = F.row_number().over(Window.orderBy(*_by_quality()))
     columns = [
-        number,
+        F.col("__rank").cast("int"),
         F.col("antecedents_text"),
         F.col("consequents_text"),
         *[F.round(m, 4) for m in ("support", "confidence", "lift", "leverage")],
         F.when(F.col("conviction") == float("inf"), F.col("conviction")).otherwise(F.round("conviction", 4)),
     ]
-    return rules.select(*[c.alias(name) for c, name in zip(columns, EXPORT_COLUMNS)])
+    numbered = ranked(rules, *_by_quality(), rows=rows)
+    return numbered.select(*[c.alias(name) for c, name in zip(columns, EXPORT_COLUMNS)])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.ranking import ranked
 from ..functions.sizing import join_by_size
 
 # Minimum size, size bands, test share and seed.
@@ -80,21 +81,21 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.where(col(label).isNotNull()).groupBy(col(label)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_quotas(sizes: DataFrame, label: str, n_rows: int, n_test: int) -> DataFrame:
+def class_quotas(
+    sizes: DataFrame, label: str, n_rows: int, n_test: int, n_classes: int | None = None
+) -> DataFrame:
     """Proportional test quota per class, remainders to the largest fractions.
 
-    ``sizes`` has one row per class, so the unpartitioned ranking is over classes,
-    never over rows.
+    ``sizes`` has one row per class; ``n_classes`` is their number where known.
     """
     share = F.col("n") * F.lit(n_test)
     base = (share - share % F.lit(n_rows)) / F.lit(n_rows)
     parts = sizes.withColumn("base", base.cast("bigint")).withColumn("rest", share % F.lit(n_rows))
-    spare = F.lit(n_test) - F.sum("base").over(Window.partitionBy())
-    order = Window.orderBy(F.col("rest").desc(), col(label))
-    return parts.select(
+    given = parts.agg(F.coalesce(F.sum("base"), F.lit(0))).first()[0]
+    return ranked(parts, F.col("rest").desc(), col(label), rows=n_classes).select(
         col(label),
         "n",
-        (F.col("base") + (F.row_number().over(order) <= spare).cast("int")).alias("quota"),
+        (F.col("base") + (F.col("__rank") <= F.lit(n_test - given)).cast("int")).alias("quota"),
     )
 
 
@@ -163,7 +164,7 @@ def train_test_split(
     stratified = label is not None and classes <= n_test and classes <= n - n_test
     if stratified:
         kept = sizes.where(F.col("n") >= 2)
-        quotas = class_quotas(kept, label, n, n_test)
+        quotas = class_quotas(kept, label, n, n_test, classes)
         data = flag_smallest(df, label, quotas, key, seed, n, classes)
     else:
         one = df.withColumn("__all", F.lit(0))

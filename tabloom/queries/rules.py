@@ -230,7 +230,7 @@ LIFT_BANDS = f"""WITH {_RULES} SELECT CASE WHEN lift >= 2 THEN 'excellent' WHEN
 
 
 def rules_export(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.export_rules(_analysis(spark, folder).rules)
+    return rules.export_rules(_analysis(spark, folder).rules, N_RULES)
 
 
 RULES_EXPORT = f"""WITH {_RULES} SELECT row_number() OVER (ORDER BY confidence DESC, lift DESC, support DESC, rule)::INT
