@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.sizing import cut_lineage
+from tabloom.llm.places import by_place
 
 REST = "rest"
 MAX_CELLS = 1_000_000
@@ -129,13 +130,15 @@ def _cell(column: Column, named) -> Column:
     return F.when(column.isin(*named), column).otherwise(F.lit(REST))
 
 
-def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]], text: str) -> DataFrame:
-    """``docs`` with a struct column ``__cell`` of the dimensions' values."""
-    own = {"topic": topic(text)}
-    return docs.withColumn(
-        "__cell",
-        F.struct(*(_cell(own.get(d, F.col(d)), shares).alias(d) for d, shares in targets.items())),
-    )
+def with_cells(
+    docs: DataFrame, targets: dict[str, dict[str, float]], text: str, names: dict[str, str] | None = None
+) -> DataFrame:
+    """``docs`` with a struct column ``__cell`` of the dimensions' values.
+
+    ``names`` tells the column of a dimension that is not called like it.
+    """
+    at = lambda d: topic(text) if d == "topic" else F.col((names or {}).get(d, d))
+    return docs.withColumn("__cell", F.struct(*(_cell(at(d), shares).alias(d) for d, shares in targets.items())))
 
 
 def fit(
@@ -183,9 +186,11 @@ def sampled(
     seed: int = SEED,
 ) -> DataFrame:
     """The sampled rows of ``docs``, columns unchanged."""
-    mix = fit(docs, targets, text, budget)
-    out = marked(with_cells(docs, targets, text), mix)
-    return out.filter(draw(F.col(doc_id), seed) < F.col("__p")).drop("__cell", "__weight", "__p")
+    rows, (key, body, *places) = by_place(docs, doc_id, text, *targets)
+    celled = with_cells(rows, targets, body, dict(zip(targets, places)))
+    mix = _fit_cells(celled.select("__cell", tokens(body).alias("__n")), targets, budget)
+    out = marked(celled, mix).filter(draw(F.col(key), seed) < F.col("__p"))
+    return out.drop("__cell", "__weight", "__p").toDF(*docs.columns)
 
 
 def report(docs: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text", budget=BUDGET, seed=SEED):
@@ -193,9 +198,10 @@ def report(docs: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str =
 
     The texts are read once: ids, cells and counts are kept in a checkpoint.
     """
+    rows, (key, body, *places) = by_place(docs, doc_id, text, *targets)
     counted = cut_lineage(
-        with_cells(docs, targets, text).select(
-            F.col(doc_id).alias("__id"), "__cell", tokens(text).cast("long").alias("__n")
+        with_cells(rows, targets, body, dict(zip(targets, places))).select(
+            F.col(key).alias("__id"), "__cell", tokens(body).cast("long").alias("__n")
         )
     )
     mix = _fit_cells(counted, targets, budget)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.sizing import cut_lineage
 from tabloom.llm.matches import literal, matches
+from tabloom.llm.places import by_place
 
 # The kinds and what the base recognisers accept.  Possessive repeats and
 # the guards at the start keep long runs linear without changing what is found.
@@ -265,6 +266,8 @@ def redacted(
     Overlapping spans of several kinds become one mark, that of the first.  ``n_chars``
     is set anew where a text changed; null texts stay null.
     """
+    named = docs.columns
+    docs, (doc_id, text, n_chars) = by_place(docs, doc_id, text, n_chars)
     found = spans(docs, doc_id, text, **limits).filter("size(all_spans) > 0")
     found = found.select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("all_spans").alias("__spans")
@@ -294,4 +297,4 @@ def redacted(
             )
         else:
             columns.append(F.col(f"`{name}`"))
-    return out.select(*columns)
+    return out.select(*columns).toDF(*named)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tabloom.llm.places import by_place
 from tabloom.llm.ship import ship
 
 # Words that are sorted at once, unless a single text has more.
@@ -200,5 +201,6 @@ def with_verdict(
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``docs`` without the rows that the rules reject; columns stay as they are."""
-    marked = with_verdict(docs, text, "__quality", **limits)
-    return marked.filter("__quality.kept").drop("__quality")
+    rows, (body,) = by_place(docs, text)
+    marked = with_verdict(rows, body, "__quality", **limits)
+    return marked.filter("__quality.kept").drop("__quality").toDF(*docs.columns)

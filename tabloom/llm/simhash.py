@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tabloom.functions.sizing import cut_lineage
+from tabloom.llm.places import by_place
 from tabloom.llm.ship import ship
 
 # Fingerprints in one tile; a task holds two tiles (2 x 1 MB) and what links them.
@@ -330,6 +331,8 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     Rows that repeat that id are told apart by their text hash and then by a number
     given within the (few) rows that share both.  Columns stay as they are.
     """
+    columns = docs.columns
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
     found = near_duplicates(docs, doc_id, text, **options)
     best = found.groupBy("group_root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("best"),
@@ -356,4 +359,4 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     first = rest.groupBy(F.col(doc_id).alias("__id"), "__fp").agg(
         F.first(F.struct(*(F.col(c) for c in names))).alias("__row")
     )
-    return once.union(first.select("__row.*"))
+    return once.union(first.select("__row.*")).toDF(*columns)

@@ -407,3 +407,25 @@ def test_pipeline_against_single_steps(spark):
         back = library.decode(ids, skip_special_tokens=False)
         want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert got == want
+
+
+HELPERS = [
+    "__quality", "__measures", "__fingerprint", "__fp", "__keep_id", "__keep_fp", "__row", "__id", "__key", "__own",
+    "__spans", "__new", "__cell", "__n", "__p", "__weight", "__index", "fp", "root", "key", "found", "kind", "rows",
+    "copies", "best", "base", "quality", "a.b", "doc id", "c0", "c1",
+]
+
+
+@pytest.mark.parametrize(
+    "stage", [repetition.keep_good, simhash.keep_one_each, pii.redacted, mixing.sampled], ids=lambda f: f.__name__
+)
+def test_columns_named_like_helpers_pass_through(spark, stage):
+    prose = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, f"{prose} {k} a{k}@b.org" if k % 3 else prose, "en", "src1", 9) for k in range(30)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string, source string, n_chars int")
+    wide = docs.select(*[F.lit(c).alias(c) for c in HELPERS], "*")
+    out = stage(wide)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert got and all(tuple(r)[: len(HELPERS)] == tuple(HELPERS) for r in got)
+    assert sorted(tuple(r)[len(HELPERS) :] for r in got) == sorted(map(tuple, stage(docs).collect()))
