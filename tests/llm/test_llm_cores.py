@@ -225,6 +225,18 @@ def test_mixing_plan_keeps_rest():
     assert mixing.plan([], targets).probability.shape == (3, 2)
 
 
+def test_mixing_plan_reaches_targets_and_budget():
+    # A value of 2% is to have 30%: at most 2.5% without repeated rows.
+    targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.5, "y": 0.5}}
+    made = mixing.plan([("a", "x", 10), ("a", "y", 10), ("b", "x", 90), ("b", "y", 890)], targets)
+    drawn = made.mass * made.copies
+    assert np.isclose(drawn.sum(), mixing.BUDGET * 1000) and made.copies.max() > 1
+    assert all(np.isclose(after, goal, atol=1e-6) for _, _, _, goal, after in made.reached())
+    with pytest.warns(UserWarning, match="contradict"):
+        made = mixing.plan([("a", "x", 10), ("b", "y", 90)], targets)
+    assert made.copies.max() <= 1 and np.isclose((made.mass * made.copies).sum(), 80)
+
+
 @pytest.fixture(scope="module")
 def counter():
     return token_counts.Counter(BYTES, public_tokenizers.PATTERN)

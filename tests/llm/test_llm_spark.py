@@ -215,6 +215,19 @@ def test_mixing(spark, odd, empty):
         mixing.fit(odd, {k: {str(v): 1.0 for v in range(2000)} for k in ("lang", "source")})
 
 
+def test_mixing_reaches_targets_of_the_query(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.report(docs).cache()
+    total = docs.agg(F.sum(mixing.tokens("text"))).first()[0]
+    assert abs(rows.agg(F.sum("n_tokens")).first()[0] / total - mixing.BUDGET) < 0.02
+    for r in mixing.reached(rows).collect():
+        assert abs(r["share"] - mixing.TARGETS[r["dimension"]][r["value"]]) < 0.012, r
+    counts = lambda df: {tuple(r) for r in df.groupBy("doc_id").count().collect()}
+    assert counts(mixing.sampled(docs)) == counts(rows)
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 3)
+    assert sorted(mixing.report(docs).collect()) == sorted(rows.collect())
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
