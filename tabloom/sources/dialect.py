@@ -4,7 +4,8 @@ Two jobs answer for all files: a task per file reads whole leading lines until a
 handful of records is complete, and a split-parallel pass over all lines checks
 what only the whole text can tell (valid UTF-8, rows wider than the header).  Files
 with line breaks inside quotes cannot be judged by lines: a third job streams each
-of them, and they are read unsplit.  A path may also be a folder of such files.
+of them, and they are read unsplit.  A path may also be a folder of such files, each of
+which has its own dialect.
 """
 
 from __future__ import annotations
@@ -51,7 +52,11 @@ _HEAD_SCHEMA = (
 
 @dataclass
 class Dialect:
-    """How one file is to be read."""
+    """How one file is to be read; a folder also has the dialects of its files as ``parts``.
+
+    A folder's encoding and separator are those of its largest file, its header the columns
+    of all files.
+    """
 
     path: str
     priority: int
@@ -62,6 +67,11 @@ class Dialect:
     attempts: int = 0
     reason: str | None = None
     multiline: bool = False
+    parts: list[Dialect] = field(default_factory=list)
+
+    @property
+    def files(self) -> list[Dialect]:
+        return self.parts or [self]
 
     @property
     def columns(self) -> list[str]:
@@ -87,28 +97,40 @@ def _is_data(name: str) -> bool:
 
 
 def _open(path: str):
-    """A binary stream for a plain path or any address Arrow's file systems know.
-
-    A folder stands for its largest file.
-    """
+    """A binary stream for a plain path or any address Arrow's file systems know."""
     if "://" not in path:
         if os.path.isdir(path):
-            files = [e for e in os.scandir(path) if e.is_file() and _is_data(e.name)]
-            path = max(files, key=lambda e: (e.stat().st_size, e.name), default=None)
-            if path is None:
-                raise OSError("the folder has no files")
+            raise OSError("the folder has no files")
         return open(path, "rb")
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
     if system.get_file_info(inner).type == fs.FileType.Directory:
-        files = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and _is_data(f.path)]
-        if not files:
-            raise OSError("the folder has no files")
-        inner = max(files, key=lambda f: (f.size, f.path)).path
+        raise OSError("the folder has no files")
     return system.open_input_stream(inner)
 
 
+def _folder_files(path: str) -> list[str]:
+    """The data files of a folder, the largest first; none if the path is no folder."""
+    try:
+        if "://" not in path:
+            if not os.path.isdir(path):
+                return []
+            found = [(e.stat().st_size, e.path) for e in os.scandir(path) if e.is_file() and _is_data(e.name)]
+        else:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(path)
+            if system.get_file_info(inner).type != fs.FileType.Directory:
+                return []
+            listed = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and _is_data(f.path)]
+            found = [(f.size, f"{path.rstrip('/')}/{f.base_name}") for f in listed]
+    except (OSError, ValueError):
+        # Reading its head tells what is wrong with the path.
+        return []
+    return [p for _, p in sorted(found, reverse=True)]
+
+
 def _leading_records(path: str) -> tuple[bytes, bool]:
     """Whole lines from the start of a file, enough for a few records, and the end flag.
 
@@ -241,23 +263,13 @@ def record_widths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _facts(spark: SparkSession, paths: Sequence[str]) -> dict[str, dict]:
-    """What all lines tell of each path, the files of a folder taken together."""
+    """What all lines tell of each file."""
     per_file = {_plain(r["path"]): r.asDict() for r in whole_file_facts(spark, paths).collect()}
     quoted = sorted(p for p, f in per_file.items() if f["open"])
     if quoted:
         for r in record_widths(spark, quoted).collect():
             per_file[r["path"]].update({n: r[n] for n in NAMES})
-    out = {}
-    for path in paths:
-        own = _plain(path).rstrip("/")
-        parts = [f for p, f in per_file.items() if p == own or p.startswith(own + "/")]
-        if parts:
-            out[path] = {
-                "utf8": all(f["utf8"] for f in parts),
-                "open": sum(f["open"] for f in parts),
-                **{n: max(f[n] for f in parts) for n in NAMES},
-            }
-    return out
+    return {path: per_file[_plain(path)] for path in paths if _plain(path) in per_file}
 
 
 def _choose(row, facts, rule: str) -> Dialect:
@@ -306,17 +318,47 @@ def detect_dialects(
     ``rule`` is ``first`` (first separator by preference) or ``max_columns``.
     ``whole`` also looks at every line, which decides the encoding for certain and
     finds line breaks inside quotes.
-    Results are one row per named file.
+    Results are one per named path; a folder's holds those of its files.
     """
     if rule not in ("first", "max_columns"):
         raise ValueError(f"unknown rule {rule!r}")
-    rows = sorted(heads(spark, paths).collect(), key=lambda r: r["priority"])
+    # A folder's files take its place; the folder itself stays where it has none.
+    spread = [(i, p) for i, path in enumerate(paths) for p in _folder_files(path) or [path]]
+    rows = sorted(heads(spark, [p for _, p in spread]).collect(), key=lambda r: r["priority"])
     facts = {}
     if whole:
         readable = [r["path"] for r in rows if not r["error"]]
         if readable:
             facts = _facts(spark, readable)
-    return [_choose(r, facts.get(r["path"]), rule) for r in rows]
+    chosen: list[list[tuple]] = [[] for _ in paths]
+    for (i, _), r in zip(spread, rows):
+        chosen[i].append((_choose(r, facts.get(r["path"]), rule), r))
+    return [_gathered(path, i, found) for i, (path, found) in enumerate(zip(paths, chosen))]
+
+
+def _gathered(path: str, priority: int, found: list[tuple]) -> Dialect:
+    """The dialect of a path from those of its files, which come with their heads."""
+    if len(found) == 1 and found[0][0].path == path:
+        found[0][0].priority = priority
+        return found[0][0]
+    # Files without a record, empty or of a header alone, add no rows to the others.
+    bare = lambda d, r: d.reason and (d.reason == "the file is empty" or not r["error"] and not max(r["rows"], default=0))
+    parts = [d for d, r in found if not bare(d, r)] or [found[0][0]]
+    first = parts[0]
+    columns = list(dict.fromkeys(c for d in parts for c in d.columns))
+    bad = next((d for d in parts if d.reason), None)
+    return Dialect(
+        path,
+        priority,
+        first.encoding,
+        first.separator,
+        first.header if len({tuple(d.columns) for d in parts}) == 1 else columns,
+        first.sample_rows,
+        first.attempts,
+        bad and f"{bad.path.rsplit('/', 1)[-1]}: {bad.reason}",
+        any(d.multiline for d in parts),
+        parts,
+    )
 
 
 def dialect_report(

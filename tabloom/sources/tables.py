@@ -64,7 +64,7 @@ def read_dialects(
     ``multiline=None`` reads unsplit only the files that were seen to need it.
     """
     groups: dict[tuple, list[str]] = defaultdict(list)
-    for d in dialects:
+    for d in (f for d in dialects for f in d.files):
         unsplit = d.multiline if multiline is None else multiline
         groups[d.encoding, d.separator, tuple(d.columns), unsplit].append(d.path)
     frames = []
@@ -108,12 +108,12 @@ def read_csv_robust(
     narrowest type that holds all of their values.
     """
     dialects = detect_dialects(spark, list(paths), rule, whole=True)
-    for d in dialects:
+    for d in (f for d in dialects for f in d.files):
         if separator and d.separator != separator:
             d.reason = d.reason or f"not a table under separator {separator!r}"
         if encoding and d.encoding and d.encoding != encoding:
             d.encoding = encoding if encoding in SPARK_ENCODING else "latin-1"
-    bad = [f"{d.path}: {d.reason}" for d in dialects if d.reason]
+    bad = [f"{f.path}: {f.reason}" for d in dialects for f in d.files if f.reason]
     if bad:
         raise ValueError("; ".join(bad))
     raw = read_dialects(spark, dialects, mode, multiline)

@@ -169,3 +169,29 @@ def test_folder_as_source(spark, tmp_path):
     (tmp_path / "none").mkdir()
     path, out = read_first_usable(spark, [str(tmp_path / "none"), str(tmp_path / "d")])
     assert path == str(tmp_path / "d") and out.columns == ["id", "t"]
+
+
+def test_folder_of_differing_files(spark, tmp_path):
+    folder = tmp_path / "d"
+    folder.mkdir()
+    write(folder, "a.csv", "id;t;n\n" + "1;año;5\n" * 30, "latin-1")
+    write(folder, "b.csv", "t;id\nñu;2\nñu;2\n")
+    write(folder, "c.csv", "n,id,t\n7,3,x\n8,3,y\n")
+    write(folder, "d.csv", "")
+    got = read_csv_robust(spark, [str(folder)])
+    rows = sorted(map(tuple, got.select("id", "t", "n").collect()), key=str)
+    assert rows == [(1, "año", 5)] * 30 + [(2, "ñu", None)] * 2 + [(3, "x", 7), (3, "y", 8)]
+    (d,) = detect_dialects(spark, [str(folder)], whole=True)
+    assert (d.path, d.encoding, d.separator, d.columns) == (str(folder), "latin-1", ";", ["id", "t", "n"])
+    assert read_by_coverage(spark, [str(folder)], ["id", "t", "n"])[1].count() == 34
+    write(folder, "e.csv", "a,b;c\n1;2,3,4;5\n")
+    with pytest.raises(ValueError, match="e.csv"):
+        read_csv_robust(spark, [str(folder)])
+
+
+def test_folder_with_parts_of_a_header_alone(spark, tmp_path):
+    folder = tmp_path / "one"
+    folder.mkdir()
+    write(folder, "p0.csv", "only\n")
+    write(folder, "p1.csv", "only\nx\ny\n")
+    assert read_csv_robust(spark, [str(folder)]).count() == 2
