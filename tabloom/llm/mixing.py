@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.sizing import cut_lineage
+from tabloom.llm.pii import MARKS
 from tabloom.llm.places import by_place
 
 REST = "rest"
@@ -62,12 +63,15 @@ def tokens(text: str) -> Column:
 
 
 def topic(text: str) -> Column:
-    """A coarse topic by rules: contact data, code or secrets, lists, else prose."""
+    """A coarse topic by rules: contact data, code or secrets, lists, else prose.
+
+    The marks that redaction leaves count as the contact data they stand for.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Plain searches for single signs cost far less than patterns over whole texts.
     has = lambda signs: reduce(or_, (F.contains(body, F.lit(s)) for s in signs))
     return (
-        F.when(has("@") | (has("+") & body.rlike(r"\+[0-9]")), "contact")
+        F.when(has("@") | (has("+") & body.rlike(r"\+[0-9]")) | (has("[") & has(MARKS)), "contact")
         .when(has("{};="), "code")
         .when(has("|*#"), "list")
         .otherwise("prose")

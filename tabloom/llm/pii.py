@@ -29,6 +29,8 @@ from tabloom.llm.places import by_place
 # The kinds and what the base recognisers accept.  Possessive repeats and
 # the guards at the start keep long runs linear without changing what is found.
 KINDS = ("email", "ip", "card", "phone")
+# What a redacted span is replaced by.
+MARKS = tuple(f"[{k.upper()}]" for k in KINDS)
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
@@ -276,7 +278,7 @@ def redacted(
     joined = keyed.join(
         found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left"
     )
-    names = f"array({', '.join(repr('[' + k.upper() + ']') for k in KINDS)})"
+    names = f"array({', '.join(map(repr, MARKS))})"
     source = f"`{text}`"
     by_start = "array_sort(transform(__spans, s -> struct(s.start as start, s.kind as kind, s.end as end)))"
     new = (

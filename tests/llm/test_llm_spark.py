@@ -228,6 +228,17 @@ def test_mixing_reaches_targets_of_the_query(spark, monkeypatch):
     assert sorted(mixing.report(docs).collect()) == sorted(rows.collect())
 
 
+def test_redaction_keeps_contact_topic(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    contact = docs.filter(mixing.topic("text") == "contact")
+    assert contact.count() > 10
+    clean = pii.redacted(contact, n_chars=None)
+    assert clean.filter(mixing.topic("text") != "contact").count() == 0
+    assert clean.filter("contains(text, '[EMAIL]') and not contains(text, '@')").count() > 0
+    with pytest.warns(UserWarning, match="without tokens.*topic contact"):
+        mixing.plan([("src0", "en", "prose", 9)], mixing.TARGETS)
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
