@@ -1,13 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in SQL functions only.
 
 1. Base recognisers give seed spans (e-mail, IP address, card, phone), exactly.
-2. Candidates are runs of words that hold a digit or an at sign.  The two words before
-   one, and the words on either side of it, are its lexical patterns.
+2. Base spans are cut out.  Candidates are the spans themselves, each remaining word that
+   holds a digit or an at sign, and runs of such words that together have the shape of a
+   phone or card and hold none that is long enough alone.  The two words before one, and
+   the words on either side of it, are its lexical patterns; a base span or a number among
+   them counts as a word, the same for all of a kind.
 3. The graph of patterns and candidate strings is scored in rounds: a pattern by the
    share of its strings that are known identifiers of a kind, a string by the patterns
    it stands in.
-4. Patterns of high confidence and support mark further candidates of a fitting shape
-   that no base span touches.
+4. Patterns of high confidence and support mark further candidates of a fitting shape.
+   They are looked up with spans and numbers as words and without.  Of candidates that
+   overlap the surest stays, then that of the most usual number of digits.
 
 Base spans always stay.  Positions are code points, ends exclusive.  All passes after
 the first read a checkpoint that holds spans and candidates, not the texts.
@@ -37,10 +41,20 @@ PATTERNS = {
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# From a word's first digit or at sign; what the word has before it is added afterwards.
-CANDIDATE = (
-    r"[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)*+"
-)
+# A word from its first digit or at sign, and the blank after it; what it has before is added
+# afterwards.
+WORD = r"[0-9@][^\x20\x09-\x0D]*+\x20?+"
+# Words of a run that are tried as one identifier, and the digits a word has that is one alone.
+RUN_WORDS = 19
+WHOLE_DIGITS = 9
+# Digits that identifiers of a kind usually have.
+USUAL_DIGITS = {"card": 16, "phone": 10}
+# Contexts are taken from blocks of so many code points, as finding a place in a long text is slow.
+BLOCK = 4096
+# Where a base span is cut out it leaves a mark: a private-use sign for its kind.
+_CUT = [chr(0xE000 + n) for n in range(len(KINDS))]
+# What numbers in a context are read as.
+_NUMBER = chr(0xE000 + len(KINDS))
 # Code points on either side in which context words are looked for.
 CONTEXT = 96
 # Rounds over the graph; confidence and distinct known strings a pattern must reach.
@@ -90,6 +104,24 @@ def _shape_fits(kind: str, x: str) -> str:
     }[kind]
 
 
+def _far(x: str) -> str:
+    """How far the digits of ``x`` are from the usual number; a one before ten is a country's."""
+    digits = _digits(x)
+    return (
+        f"case kind when {KINDS.index('card')} then abs(length({digits}) - {USUAL_DIGITS['card']})"
+        f" when {KINDS.index('phone')} then if({digits} like '1__________', 0, abs(length({digits}) - {USUAL_DIGITS['phone']})) else 0 end"
+    )
+
+
+# Spans by start: one that overlaps the last kept takes its place if it is better or as good and longer.
+_SPAN = "array<struct<kind:int,start:int,end:int>>"
+_SWEEP = f"""aggregate(more, struct(cast(array() as {_SPAN}) as kept, cast(null as struct<start:int,end:int,best:struct<conf:double,near:int,minus:int>>) as last),
+  (a, s) -> if(a.last is null or s.start >= a.last.end,
+    struct(if(a.last is null, a.kept, concat(a.kept, array(struct(-a.last.best.minus as kind, a.last.start as start, a.last.end as end)))) as kept, s as last),
+    struct(a.kept as kept, if((s.best.conf, s.best.near, s.end - s.start) > (a.last.best.conf, a.last.best.near, a.last.end - a.last.start), s, a.last) as last)),
+  a -> if(a.last is null, a.kept, concat(a.kept, array(struct(-a.last.best.minus as kind, a.last.start as start, a.last.end as end)))))"""
+
+
 def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, key, base, candidates``: one pass over the texts."""
     df = docs.select(
@@ -104,40 +136,97 @@ def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             f" s -> struct({number} as kind, s.start as start, s.end as end))"
         )
     df = df.withColumn("base", F.expr(f"concat({', '.join(parts)})"))
-    df = matches(df, "txt", "spots", CANDIDATE, None)
+    # The text with base spans cut out: line breaks that end every run, and the kind's mark.
+    marks = f"array({', '.join(repr(c) for c in _CUT)})"
+    by_start = "array_sort(transform(base, s -> struct(s.start as start, s.kind as kind, s.end as end)))"
+    cut = "concat('\\n', element_at({}, s.kind + 1), repeat('\\n', s.end - s.start - 2))".format(marks)
+    rest = "repeat('\\n', greatest(s.end - a.at, 0))"
+    df = df.withColumn(
+        "cut",
+        F.expr(
+            f"if(size(base) = 0, txt, aggregate({by_start}, struct(0 as at, cast(array() as array<string>) as out), (a, s) ->"
+            f" struct(greatest(a.at, s.end) as at, concat(a.out, if(s.start >= a.at,"
+            f" array(substr(txt, a.at + 1, s.start - a.at), {cut}), array({rest}))) as out),"
+            " a -> concat(array_join(a.out, ''), substr(txt, a.at + 1))))"
+        ),
+    )
+    df = matches(df, "cut", "spots", WORD, None)
+    df = df.withColumn("blocks", F.expr(f"transform(sequence(0, length(cut), {BLOCK}), i -> substr(cut, i + 1, {BLOCK}))"))
+    before = _from_blocks(f"greatest(s.start - {CONTEXT}, 0)", f"least(s.start, {CONTEXT})")
     df = df.withColumn(
         "spots",
         F.expr(
-            "transform(transform(spots, s -> struct(s.start as start, s.end as end, s.found as found,"
-            f" regexp_extract(substr(txt, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})),"
-            " '[^\\\\x20\\\\x09-\\\\x0D]*$', 0) as head)),"
-            " s -> struct(s.start - length(s.head) as start, s.end as end, concat(s.head, s.found) as found))"
+            "transform(transform(transform(spots, s -> struct(s.start as start, rtrim(s.found) as found, s.found rlike '[0-9()./+-] $' as blank,"
+            f" regexp_extract({before}, '[^\\\\x20\\\\x09-\\\\x0D]*$', 0) as head)),"
+            " s -> struct(s.start - length(s.head) as start, concat(s.head, s.found) as found, s.blank as blank)),"
+            f" s -> struct(s.start as start, s.start + length(s.found) as end, s.found as found, s.blank as blank,"
+            f" length({_digits('s.found')}) as digits, s.found rlike '^[^0-9A-Za-z@]*[0-9()./+-]+[^0-9A-Za-z@]*$' and length({_digits('s.found')}) < {WHOLE_DIGITS} as part))"
         ),
     )
+    # Runs of several words: parts with one blank between them, not more digits than a card has.
+    words = f"transform(sequence(i, least(i + {RUN_WORDS}, size(spots)) - 1), k -> get(spots, k))"
+    grown = (
+        f"aggregate({words}, struct(true as go, 0 as digits, 0 as end, cast(array() as array<struct<start:int,end:int,found:string>>) as runs,"
+        " '' as found), (a, w) -> if(a.go and w.part and (a.found = '' or w.start = a.end + 1) and a.digits + w.digits <= 19,"
+        " struct(w.blank as go, a.digits + w.digits as digits, w.end as end,"
+        " if(a.found = '' or a.digits + w.digits < 7, a.runs, concat(array(struct(s.start as start, w.end as end,"
+        " concat(a.found, ' ', w.found) as found)), a.runs)) as runs,"
+        " if(a.found = '', w.found, concat(a.found, ' ', w.found)) as found),"
+        " struct(false as go, a.digits as digits, a.end as end, a.runs as runs, a.found as found)), a -> a.runs)"
+    )
+    single = "array(struct(s.start as start, s.end as end, s.found as found))"
+    # Only the longest that starts at a word tells something of its patterns.
+    pieces = (
+        f"flatten(transform(spots, (s, i) -> transform(if(s.part and s.blank, concat({grown}, {single}), {single}),"
+        " (x, j) -> struct(x.start as start, x.end as end, x.found as found, j = 0 as tells))))"
+    )
     # The candidate without the punctuation around it.
     lead = "length(regexp_extract(s.found, '^[^0-9A-Za-z+(]*', 0))"
     tail = "length(regexp_extract(s.found, '[^0-9A-Za-z)]*$', 0))"
     clean = (
-        f"transform(spots, s -> struct(s.start + {lead} as start, s.end - {tail} as end,"
-        f" substr(s.found, {lead} + 1, length(s.found) - {lead} - {tail}) as found,"
-        f" substr(txt, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})) as left,"
-        f" substr(txt, s.end + 1, {CONTEXT}) as right))"
+        f"transform({pieces}, s -> struct(s.start + {lead} as start, s.end - {tail} as end,"
+        f" substr(s.found, {lead} + 1, length(s.found) - {lead} - {tail}) as found, -1 as kind, s.tells as tells))"
     )
-    word = "regexp_replace(lower({}), '[^\\\\p{{L}}]+', ' ')"
-    left = f"split(trim({word.format('s.left')}), ' ')"
-    right = f"split(trim({word.format('s.right')}), ' ')"
-    seeds = "filter(base, b -> b.start < s.end and s.start < b.end)"
-    known = ", ".join(f"exists({seeds}, b -> b.kind = {n})" for n in range(len(KINDS)))
-    two = f"concat('2|', array_join(slice({left}, greatest(size({left}) - 1, 1), 2), ' '))"
-    around = f"concat('1|', element_at({left}, -1), '|', element_at({right}, 1))"
+    several = " or ".join(_shape_fits(k, "s.found") for k in ("phone", "card"))
+    own = f"filter({clean}, s -> s.end > s.start and (s.found not like '% %' or {several}))"
+    seeds = "transform(base, s -> struct(s.start as start, s.end as end, substr(txt, s.start + 1, s.end - s.start) as found, s.kind as kind, true as tells))"
+    df = df.withColumn("own", F.expr(f"concat({seeds}, {own})"))
+    around = (
+        f"transform(own, s -> struct(s.start as start, s.end as end, s.found as found, s.kind as kind, s.tells as tells, {before} as left,"
+        f" {_from_blocks('s.end', str(CONTEXT))} as right))"
+    )
+    known = ", ".join(f"s.kind = {n}" for n in range(len(KINDS)))
+    letters = {"seen": f"\\\\p{{L}}{_NUMBER}{''.join(_CUT)}", "bare": "\\\\p{L}"}
+    split = ", ".join(
+        f"split(trim(regexp_replace(regexp_replace(lower(s.{side}), '[0-9]+', '{_NUMBER}'), '[^{of}]+', ' ')), ' ') as {name}_{side}"
+        for name, of in letters.items()
+        for side in ("left", "right")
+    )
+    worded = f"transform({around}, s -> struct(s.start as start, s.end as end, s.found as found, s.kind as kind, s.tells as tells, {split}))"
     candidates = (
-        f"transform(filter({clean}, s -> s.end > s.start), s -> struct(s.start as start, s.end as end,"
-        f" lower(s.found) as found, array({known}) as known, array({two}, {around}) as patterns))"
+        f"transform({worded}, s -> struct(s.start as start, s.end as end,"
+        f" lower(s.found) as found, array({known}) as known, if(s.tells, {_patterns('seen')}, cast(array() as array<string>)) as patterns,"
+        f" if(s.kind < 0, array_distinct(concat({_patterns('seen')}, {_patterns('bare')})), cast(array() as array<string>)) as looks))"
     )
     return df.withColumn("candidates", F.expr(candidates)).select("doc_id", "key", "base", "candidates")
 
 
-def pattern_scores(spots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _from_blocks(start: str, n: str) -> str:
+    """SQL of ``n`` code points, at most a block, after the first ``start`` of the text."""
+    block = lambda more: f"coalesce(get(blocks, int(({start}) div {BLOCK}) + {more}), '')"
+    return f"substr(concat({block(0)}, {block(1)}), int(({start}) % {BLOCK}) + 1, {n})"
+
+
+def _patterns(words: str) -> str:
+    """SQL array of the patterns of ``s`` from the words on its sides."""
+    left, right = f"s.{words}_left", f"s.{words}_right"
+    two = f"concat('2|', array_join(slice({left}, greatest(size({left}) - 1, 1), 2), ' '))"
+    return f"array({two}, concat('1|', element_at({left}, -1), '|', element_at({right}, 1)))"
+
+
+def pattern_scores(
+    spots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT
+) -> DataFrame:
     """``pattern`` and for each kind ``conf_<kind>`` and ``hits_<kind>``.
 
     ``spots`` holds one row per candidate: ``found, known, patterns``.
@@ -169,12 +258,12 @@ def pattern_scores(spots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if turn == rounds - 1:
             return patterns
         strong = patterns.filter(
-            " or ".join(f"(conf_{k} >= {CONFIDENCE} and hits_{k} >= {SUPPORT})" for k in KINDS)
+            " or ".join(f"(conf_{k} >= {confidence} and hits_{k} >= {support})" for k in KINDS)
         )
         # A string is an identifier unless all of its strong patterns are wrong.
         doubt = {
             k: F.when(
-                (F.col(f"conf_{k}") >= CONFIDENCE) & (F.col(f"hits_{k}") >= SUPPORT) & fits[k],
+                (F.col(f"conf_{k}") >= confidence) & (F.col(f"hits_{k}") >= support) & fits[k],
                 F.log(1 - F.least(F.col(f"conf_{k}"), F.lit(0.99))),
             ).otherwise(0.0)
             for k in KINDS
@@ -207,7 +296,7 @@ def spans(
     spots = table.select("doc_id", "key", F.explode("candidates").alias("c")).select(
         "doc_id", "key", "c.*"
     )
-    scored = pattern_scores(spots.select("found", "known", "patterns"), rounds)
+    scored = pattern_scores(spots.select("found", "known", "patterns"), rounds, confidence, support)
     strong = scored.select(
         "pattern",
         F.explode(
@@ -223,18 +312,20 @@ def spans(
             )
         ).alias("x"),
     ).select("pattern", "x.*").filter((F.col("conf") >= confidence) & (F.col("hits") >= support))
-    # Only candidates that hold no base span are looked up.
+    # Base spans need no looking up.
     unseen = spots.filter("not exists(known, k -> k)").select(
-        "doc_id", "key", "start", "end", "found", F.explode("patterns").alias("pattern")
+        "doc_id", "key", "start", "end", "found", F.explode("looks").alias("pattern")
     )
     fits = F.expr("case kind " + " ".join(f"when {n} then {_shape_fits(k, 'found')}" for n, k in enumerate(KINDS)) + " end")
     found = (
         unseen.join(strong, "pattern")
         .filter(fits)
+        .withColumn("far", F.expr(_far("found")))
         .groupBy("doc_id", "key", "start", "end")
-        .agg(F.max(F.struct("conf", (-F.col("kind")).alias("minus"))).alias("best"))
+        .agg(F.max(F.struct("conf", (-F.col("far")).alias("near"), (-F.col("kind")).alias("minus"))).alias("best"))
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct((-F.col("best.minus")).alias("kind"), "start", "end")).alias("more"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "best"))).alias("more"))
+        .withColumn("more", F.expr(_SWEEP))
         .select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "more")
     )
     joined = table.join(

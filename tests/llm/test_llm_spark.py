@@ -367,6 +367,21 @@ def test_pii_finds_unseen(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_pii_finds_unseen_beside_numbers_and_base_spans(spark):
+    rows = [(i, f"lorem ipsum please call us at +1 (555) {i}-1234 today ok") for i in range(100, 130)]
+    rows += [(i, f"the contact jane{i}@x{i}.com +1 (555) {i}-4321 holds") for i in range(130, 160)]
+    tails = {
+        200: ("dolor call us at ", "555-123-4567", " 10 x2"), 201: ("dolor call us at ", "555-123-4567", " 4013"),
+        202: ("sit call us at ", "(555) 123-4567", " soon"), 203: ("call us at bob@y.org ", "555-123-4567", " soon"),
+        204: ("the contact bob@y.org ", "555-123-4567", " holds"), 205: ("call us at ", "555 123 4567", " 12"),
+    }
+    rows += [(i, "".join(parts)) for i, parts in tails.items()]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.span_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (left, phone, _) in tails.items():
+        assert got[i][-1] == f"phone:{len(left)}:{len(left) + len(phone)}", (i, got[i])
+        assert len(got[i]) == 1 + ("@" in left)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 200
     rows = [
