@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat, langid, mixing, pii, repetition, simhash, token_counts, topk, warc
+from tabloom.llm import (
+    bpe,
+    chat,
+    collocations,
+    langid,
+    lexical,
+    mixing,
+    pii,
+    repetition,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from tabloom.llm.matches import matches
 
 # Edits that the count query applies: runs of digits are masked, runs of blanks cut.
@@ -175,6 +189,62 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+
+
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS all_terms FROM d WHERE len(terms) > 0),
+t AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY row, term),
+q AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM f, s GROUP BY term),
+scored AS (SELECT item_id, row, any_value(doc_id) AS doc_id,
+  sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // all_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, row),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {lexical.TOP}
+"""
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP12 = f"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM (
+  SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, size, words[i:i + size - 1] AS ws FROM p, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS size),
+  unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS u(i) WHERE len(words) >= size),
+f AS (SELECT lang, any_value(size) AS size, ws, count(*) AS a FROM g GROUP BY lang, ws HAVING count(*) >= {collocations.MIN_COUNT}),
+c AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS phrase FROM f WHERE size > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n,
+  ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN totals USING (lang), unnest(range(1, size)) AS u(k)
+  JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM least s WHERE NOT EXISTS (SELECT 1 FROM c longer
+  WHERE longer.lang = s.lang AND longer.a = s.a AND length(longer.phrase) > length(s.phrase) AND contains(longer.phrase, s.phrase)))
+SELECT lang, rank::INTEGER AS rank, trim(phrase, ' ') AS phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= {collocations.TOP}
+"""
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 QUERIES = {
     "op1_topk_search": (op1_topk_search, OP1),
     "op2_chat_format": (op2_chat_format, OP2),
@@ -186,4 +256,7 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_pii": (op9_pii, None),
     "op10_warc": (op10_warc, OP10),
+    "op11_lexical_search": (op11_lexical_search, OP11),
+    "op12_collocations": (op12_collocations, OP12),
+    "op13_toxicity": (op13_toxicity, None),
 }
