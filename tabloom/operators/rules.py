@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked
+from ..functions.sizing import cut_lineage
 
 # Defaults and the relaxation of the confidence threshold.
 MIN_CONFIDENCE = 0.6
@@ -34,29 +35,69 @@ EXPORT_COLUMNS = [
 ]
 
 
-def all_rules(itemsets: DataFrame, n: int) -> DataFrame:
-    """Every split of every itemset into antecedent and consequent, with its measures.
+def _with_confidence(splits: DataFrame, itemsets: DataFrame, min_confidence: float) -> DataFrame:
+    """Splits whose antecedent is known and predicts its itemset well enough.
 
-    Subsets are numbered by bit masks and built inside one projection; an itemset has
-    at most ``2^length − 2`` of them and lengths are limited by mining.  The supports of
-    both sides come from joins back to the itemsets.
+    ``splits`` has the itemset, its count and the places of the consequent's items.
     """
-    splits = (
-        itemsets.where("length >= 2")
-        .select("items", "freq", F.explode(F.expr("sequence(1, cast(shiftleft(1, length) as int) - 2)")).alias("mask"))
-        .select(
-            "freq",
-            F.expr("filter(items, (x, i) -> (mask & shiftleft(1, i)) != 0)").alias("antecedents"),
-            F.expr("filter(items, (x, i) -> (mask & shiftleft(1, i)) = 0)").alias("consequents"),
-        )
+    sides = splits.select(
+        "items",
+        "freq",
+        "places",
+        F.filter("items", lambda x, i: ~F.array_contains("places", i)).alias("antecedents"),
     )
     left = itemsets.select(F.col("items").alias("antecedents"), F.col("freq").alias("freq_a"))
+    return sides.join(left, "antecedents").where(F.col("freq") / F.col("freq_a") >= min_confidence)
+
+
+def _grown(itemsets: DataFrame, min_confidence: float) -> DataFrame:
+    """``antecedents, consequents, freq, freq_a`` of all rules of the wanted confidence.
+
+    An item moved from the antecedent to the consequent never raises the confidence, so
+    a consequent is tried only when both consequents it overlaps from were good enough.
+    Each level is a table; no subset of an itemset is made that the level before did not
+    lead to.
+    """
+    longer = itemsets.where("length >= 2")
+    longest = longer.agg(F.max("length")).first()[0] or 0
+    single = longer.select(
+        "items", "freq", F.explode(F.expr("transform(items, (x, i) -> array(i))")).alias("places")
+    )
+    level = cut_lineage(_with_confidence(single, itemsets, min_confidence))
+    rules = level
+    for size in range(2, longest):
+        if level.isEmpty():
+            break
+        begin = level.where(F.size("items") > size).select(
+            "items", "freq", F.slice("places", 1, size - 2).alias("shared"), F.element_at("places", -1).alias("last")
+        )
+        other = begin.select("items", "shared", F.col("last").alias("next"))
+        tried = begin.join(other, ["items", "shared"]).where("last < next").select(
+            "items", "freq", F.concat("shared", F.array("last", "next")).alias("places")
+        )
+        level = cut_lineage(_with_confidence(tried, itemsets, min_confidence))
+        rules = rules.unionByName(level)
+    return rules.select(
+        "antecedents",
+        F.filter("items", lambda x, i: F.array_contains("places", i)).alias("consequents"),
+        "freq",
+        "freq_a",
+    )
+
+
+def all_rules(itemsets: DataFrame, n: int, min_confidence: float = 0.0) -> DataFrame:
+    """Rules of at least ``min_confidence`` with their measures; by default every split.
+
+    Consequents grow level by level (see :func:`_grown`).  ``itemsets`` holds the parts
+    of its itemsets, as mining gives it; where parts are missing, rules are found as far
+    as consequents grow through known antecedents and are known themselves.
+    """
     right = itemsets.select(F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
     total = F.lit(float(n))
     confidence = F.col("freq") / F.col("freq_a")
     support_c = F.col("freq_c") / total
     return (
-        splits.join(left, "antecedents")
+        _grown(itemsets, min_confidence)
         .join(right, "consequents")
         .select(
             "antecedents",
@@ -107,20 +148,31 @@ def generate_rules(
     """The best ``max_rules`` rules, relaxing the confidence when there are too few.
 
     Rules are ranked by confidence first, so trying lower thresholds one after the
-    other is the same as taking the top of the lowest threshold once.
+    other is the same as taking the top of the lowest threshold needed.  The rules of
+    single consequents, which every growth begins with, tell how low that is at most.
     """
-    rules = all_rules(itemsets, n)
-    if max_rules is None:
-        return RuleSet(rules.where(F.col("confidence") >= min_confidence), min_confidence, min_confidence)
     if max_rules == 0:
-        return RuleSet(rules.limit(0), min_confidence, min_confidence)
+        return RuleSet(all_rules(itemsets.limit(0), n), min_confidence, min_confidence)
+    if max_rules is None:
+        return RuleSet(all_rules(itemsets, n, min_confidence), min_confidence, min_confidence)
     tried = relaxed_thresholds(min_confidence)
-    counts = rules.agg(
-        *[F.count_if(F.col("confidence") >= t).alias(f"t{i}") for i, t in enumerate(tried)]
-    ).first()
-    used = next((t for i, t in enumerate(tried) if counts[f"t{i}"] >= max_rules), tried[-1])
-    chosen = rules.where(F.col("confidence") >= tried[-1]).orderBy(*_by_quality()).limit(max_rules)
-    return RuleSet(chosen, min_confidence, used)
+    whole = itemsets.where("length >= 2").select("items", F.col("freq").alias("of"))
+    singles = whole.select(
+        "of", F.posexplode("items").alias("place", "item"), F.col("items").alias("all")
+    ).select("of", F.filter("all", lambda x, i: i != F.col("place")).alias("items"))
+    enough = _reached(singles.join(itemsets, "items").select((F.col("of") / F.col("freq")).alias("confidence")), tried)
+    low = next((t for i, t in enumerate(tried) if enough[i] >= max_rules), tried[-1])
+    rules = cut_lineage(all_rules(itemsets, n, low))
+    tried = [t for t in tried if t >= low]
+    counts = _reached(rules, tried)
+    used = next((t for i, t in enumerate(tried) if counts[i] >= max_rules), tried[-1])
+    return RuleSet(rules.orderBy(*_by_quality()).limit(max_rules), min_confidence, used)
+
+
+def _reached(rules: DataFrame, thresholds: list[float]) -> list[int]:
+    """How many rules reach each threshold."""
+    counts = [F.count_if(F.col("confidence") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)]
+    return list(rules.agg(*counts).first())
 
 
 def rules_for_target(rules: DataFrame, target: str) -> DataFrame:

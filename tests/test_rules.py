@@ -3,7 +3,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import itemsets
+from tabloom.operators import itemsets, rules
 from tabloom.operators.baskets import Baskets, column_baskets, item_columns, row_baskets, text_baskets
 from tabloom.operators.itemsets import apriori, automatic_length, fp_growth, frequent_itemsets, mining_limits
 from tabloom.operators.rules import all_rules, generate_rules, relaxed_thresholds, top_rules
@@ -161,3 +161,41 @@ def test_analysis(spark):
     assert out.sample_transactions.count() == 5
     with pytest.raises(ValueError):
         frequent_itemsets(out.baskets, algorithm="other")
+
+
+def test_consequents_grow_as_far_as_confidence_holds(spark, monkeypatch):
+    """Itemsets of twelve items, of which only some splits are ever made."""
+    rows = ["abcdefghijkl"] * 90 + ["abcdef"] * 6 + ["ghijkl", "abc", "l", "kl"]
+    sets = spark.createDataFrame(
+        [(list(c), f, len(c)) for c, f in brute(rows, 0.01, 4).items()], "items array<string>, freq long, length int"
+    ).repartition(4)
+    freq = {tuple(r["items"]): r["freq"] for r in sets.collect()}
+    made = []
+    plain = rules._with_confidence
+    monkeypatch.setattr(rules, "_with_confidence", lambda s, i, c: made.append(s.count()) or plain(s, i, c))
+    some = [s for s in freq if len(s) >= 2]
+    got = {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in all_rules(sets, 100, 0.97).collect()}
+    expected = {
+        (a, tuple(x for x in s if x not in a))
+        for s in some
+        for k in range(1, len(s))
+        for a in combinations(s, k)
+        if freq[s] / freq[a] >= 0.97
+    }
+    assert got == expected and 0 < len(got) < sum(made) < sum(2 ** len(s) - 2 for s in some)
+    strict = generate_rules(sets, 100, 0.97, None).rules
+    assert strict.count() == len(got)
+
+
+def test_rules_of_very_long_itemsets(spark):
+    """Thirty-three and forty items, where bit masks of machine words end."""
+    for length in (33, 40):
+        items = [f"i{k:02}" for k in range(length)]
+        parts = [items] + [[x for x in items if x != i] for i in items] + [[i] for i in items]
+        freqs = [9] + [10 if k < 5 else 9 for k in range(length)] + [20] * length
+        sets = spark.createDataFrame(
+            [(p, f, len(p)) for p, f in zip(parts, freqs)], "items array<string>, freq long, length int"
+        )
+        got = {(tuple(r["antecedents"]), tuple(r["consequents"])): r["confidence"] for r in all_rules(sets, 30, 0.95).collect()}
+        assert got == {(tuple(x for x in items if x != i), (i,)): 1.0 for i in items[5:]}
+        assert generate_rules(sets, 30, 0.95, length).threshold == pytest.approx(0.85)
