@@ -8,35 +8,27 @@ model here and in the sibling modules offers ``predict(df)``, ``importance()`` a
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    DecisionTreeClassificationModel,
     LinearSVC,
     LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
     OneVsRest,
     OneVsRestModel,
-    RandomForestClassifier,
-    RandomForestClassificationModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
     LinearRegression,
     LinearRegressionModel,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .split import SEED
+from .trees import TreeModel, fit_trees
 
 # Parameters offered per model, with the values offered for each.
 CLASSIFIER_PARAMETERS: dict[str, dict[str, list]] = {
@@ -95,17 +87,12 @@ DEFAULTS = {
 }
 LOGISTIC_MAX_ITER = 1000
 
-# ``spark.ml`` trees go down to depth 30; "no limit" means that here.
-DEEPEST = 30
-# Candidate thresholds per feature; ``spark.ml`` bins, where an exact search would try all.
-TREE_BINS = 128
 SVC_MAX_ITER = 100
 
 
 # Offered parameters that the distributed estimators cannot follow: any other value
 # than the default is refused, rather than stored with the model and ignored.
 WITHOUT_EFFECT = {
-    "min_samples_split": "trees stop by depth and by the size of the children only",
     "solver": "the intercept is never penalised",
 }
 
@@ -171,8 +158,6 @@ class SparkModel:
         return out.drop("rawPrediction")
 
     def importance(self) -> list[float] | None:
-        if hasattr(self.model, "featureImportances"):
-            return [float(x) for x in self.model.featureImportances.toArray()]
         if self.name in REGRESSOR_PARAMETERS and hasattr(self.model, "coefficients"):
             return [float(x) for x in self.model.coefficients.toArray()]
         return None
@@ -194,36 +179,31 @@ class SparkModel:
 
 
 _READERS = {
-    "decision_tree": DecisionTreeClassificationModel,
-    "random_forest": RandomForestClassificationModel,
     "logistic_regression": LogisticRegressionModel,
     "svm": LinearSVCModel,
     "linear_regression": LinearRegressionModel,
     "ridge_regression": LinearRegressionModel,
     "lasso_regression": LinearRegressionModel,
     "elastic_net": LinearRegressionModel,
-    "decision_tree_regressor": DecisionTreeRegressionModel,
-    "random_forest_regressor": RandomForestRegressionModel,
 }
 
 
-def _depth(p: dict) -> int:
-    return DEEPEST if p["max_depth"] is None else min(int(p["max_depth"]), DEEPEST)
+TREES = ("decision_tree", "decision_tree_regressor", "random_forest", "random_forest_regressor")
 
 
-def _tree(kind: Callable, p: dict):
-    return kind(
-        maxDepth=_depth(p), minInstancesPerNode=int(p["min_samples_leaf"]), maxBins=TREE_BINS, seed=SEED
-    )
-
-
-def _forest(kind: Callable, p: dict, subset: str):
-    return kind(
-        numTrees=int(p["n_estimators"]),
-        maxDepth=_depth(p),
-        featureSubsetStrategy=subset,
-        maxBins=TREE_BINS,
-        seed=SEED,
+def fit_tree_model(train: DataFrame, name: str, p: dict[str, Any], n_classes: int) -> TreeModel:
+    """Fit a tree, or a forest of trees on drawn rows; classifying ones draw features too."""
+    forest = name.startswith("random_forest")
+    return fit_trees(
+        train,
+        name,
+        n_classes if name in CLASSIFIER_PARAMETERS else 0,
+        n_trees=int(p["n_estimators"]) if forest else 1,
+        wanted="sqrt" if name == "random_forest" else "all",
+        drawn=forest,
+        max_depth=p["max_depth"],
+        min_samples_split=p["min_samples_split"],
+        min_samples_leaf=1 if forest else p["min_samples_leaf"],
     )
 
 
@@ -248,20 +228,14 @@ def _penalised(l1: float, l2: float, y_std: float, intercept: bool):
 
 def fit_spark_model(
     train: DataFrame, name: str, p: dict[str, Any], n_train: int, n_classes: int
-) -> SparkModel:
-    """Fit one of the ``spark.ml`` backed models on ``features``/``label``."""
+) -> SparkModel | TreeModel:
+    """Fit a tree model or one of the ``spark.ml`` backed models on ``features``/``label``."""
+    if name in TREES:
+        return fit_tree_model(train, name, p, n_classes)
     y_std = 1.0
     if name in ("ridge_regression", "elastic_net"):
         y_std = train.agg(F.stddev_samp("label")).first()[0] or 1.0
-    if name == "decision_tree":
-        est = _tree(DecisionTreeClassifier, p)
-    elif name == "decision_tree_regressor":
-        est = _tree(DecisionTreeRegressor, p)
-    elif name == "random_forest":
-        est = _forest(RandomForestClassifier, p, "sqrt")
-    elif name == "random_forest_regressor":
-        est = _forest(RandomForestRegressor, p, "all")
-    elif name == "logistic_regression":
+    if name == "logistic_regression":
         est = LogisticRegression(
             regParam=1.0 / (p["C"] * n_train),
             elasticNetParam=0.0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "cleaning", "preparation", "models", "closed_forms", "scoring", "rules", "sources"]
+MODULES = ["quality", "cleaning", "preparation", "models", "trees", "closed_forms", "scoring", "rules", "sources"]
 
 
 def registered() -> dict:

@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.models import CLASSIFIER_PARAMETERS, SparkModel
+from ..operators.models import CLASSIFIER_PARAMETERS, TREES, SparkModel
 from ..operators.naive_bayes import GaussianNaiveBayes
 from ..operators.neighbors import Neighbors
 from ..operators.prepare import Preparation
 from ..operators.svr import LinearSVR
+from ..operators.trees import TreeModel
 
 METADATA_SCHEMA = (
     "model_name string, model_type string, task_type string, created_at string, status string,"
@@ -76,6 +77,8 @@ def load_model(spark: SparkSession, root: str, name: str):
         fitted = Neighbors.load(spark, path)
     elif kind == "naive_bayes":
         fitted = GaussianNaiveBayes.load(spark, path)
+    elif kind in TREES:
+        fitted = TreeModel.load(spark, kind, path)
     elif kind == "svr":
         fitted = LinearSVR.load(spark, path)
     else:
