@@ -13,12 +13,8 @@ from dataclasses import dataclass
 from typing import Any, Protocol
 
 from pyspark.ml.classification import (
-    LinearSVC,
-    LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
-    OneVsRest,
-    OneVsRestModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -87,7 +83,6 @@ DEFAULTS = {
 }
 LOGISTIC_MAX_ITER = 1000
 
-SVC_MAX_ITER = 100
 
 
 # Offered parameters that the distributed estimators cannot follow: any other value
@@ -172,15 +167,12 @@ class SparkModel:
         self.model.write().save(path)
 
     @staticmethod
-    def load(name: str, path: str, multiclass: bool = False) -> SparkModel:
-        if name == "svm" and multiclass:
-            return SparkModel(name, OneVsRestModel.load(path))
+    def load(name: str, path: str) -> SparkModel:
         return SparkModel(name, _READERS[name].load(path))
 
 
 _READERS = {
     "logistic_regression": LogisticRegressionModel,
-    "svm": LinearSVCModel,
     "linear_regression": LinearRegressionModel,
     "ridge_regression": LinearRegressionModel,
     "lasso_regression": LinearRegressionModel,
@@ -243,12 +235,6 @@ def fit_spark_model(
             maxIter=LOGISTIC_MAX_ITER,
             tol=1e-8,
         )
-    elif name == "svm":
-        est = LinearSVC(
-            regParam=1.0 / (p["C"] * n_train), standardization=False, maxIter=SVC_MAX_ITER, tol=1e-6
-        )
-        if n_classes > 2:
-            est = OneVsRest(classifier=est, parallelism=4)
     elif name == "linear_regression":
         est = _penalised(0.0, 0.0, y_std, p["fit_intercept"])
     elif name == "ridge_regression":

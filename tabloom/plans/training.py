@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.columns import quoted
 from ..functions.names import Task, tidy_columns
 from ..operators.evaluate import classification_metrics, regression_metrics
+from ..operators.margins import fit_svc, fit_svr
 from ..operators.models import (
     CLASSIFIER_PARAMETERS,
     REGRESSOR_PARAMETERS,
@@ -30,7 +31,6 @@ from ..operators.prepare import Preparation, check_complete, fit_preparation
 from ..operators.retrain import align_records, append_records, stored_kinds
 from ..operators.score import as_metric_table, row_key
 from ..operators.split import SEED, Split, train_test_split
-from ..operators.svr import fit_svr
 
 # Rows a task should have in an iterative fit, and the size up to which one shuffle
 # for it is cheap.  Larger tables keep the partitions of their input splits.
@@ -106,6 +106,8 @@ def fit_model(train: DataFrame, model: str, params: dict[str, Any], n_train: int
         )
     if model == "svr":
         return fit_svr(train, params["C"])
+    if model == "svm":
+        return fit_svc(train, params["C"], n_classes)
     return fit_spark_model(train, model, params, n_train, n_classes)
 
 

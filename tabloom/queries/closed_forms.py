@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.margins import fit_svc, fit_svr
 from ..operators.models import (
     coefficient_table,
     fit_spark_model,
@@ -21,7 +22,6 @@ from ..operators.models import (
     model_parameters,
     top_importance,
 )
-from ..operators.svr import fit_svr
 from .inputs import table
 
 
@@ -239,7 +239,7 @@ UNION ALL SELECT 1, round(1 / (1 + exp(-b - w)), 4) FROM it WHERE k = 50"""
 def svc_groups(spark: SparkSession, folder: str) -> DataFrame:
     """With a weak penalty the hinge loss is least at the majority of either side."""
     rows = _rows(spark, folder, BINARY, BINARY_LABEL)
-    out = _fit(rows, "svm", 2, C=1.0).predict(rows.dropDuplicates(["x"]))
+    out = fit_svc(rows, C=1.0).predict(rows.dropDuplicates(["x"]))
     return out.select(F.col("x").cast("int").alias("x"), F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -265,6 +265,67 @@ w AS (SELECT max(m) - min(m) AS w FROM m)
 SELECT count(*) AS n, round((sum(greatest(abs(y - m) - 0.1, 0)) + 0.5 * any_value(w * w)) / count(*), 2) AS loss
 FROM src JOIN m USING (x), w"""
 
+
+# --- support vectors on three features --------------------------------------------------
+
+# Features of two values, so that SQL searches on eight kinds of rows.
+THREE = {
+    "x1": "CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0.0 END",
+    "x2": "CASE WHEN l_linenumber > 3 THEN 1.0 ELSE -1.0 END",
+    "x3": "CASE WHEN l_discount > 0.04 THEN 2.0 ELSE 0.0 END",
+}
+THREE_CLASS = "CASE WHEN l_returnflag = 'R' OR l_linenumber = 5 THEN 1 WHEN l_quantity > 33 THEN 1 ELSE 0 END"
+THREE_VALUE = "floor(l_extendedprice / 8000)"
+# The weight of the loss shrinks with the rows, so that the penalty counts at any size.
+THREE_C = 2.0
+
+
+def _three_margins(fit, label: str):
+    """Objective of the fit per unit of loss weight, and whether its gap is closed."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = _rows(spark, folder, THREE, label)
+        n = rows.count()
+        gap, objective = fit(rows, THREE_C / n)
+        return spark.createDataFrame([(n, round(objective, 3), gap < 1e-4)], "n bigint, objective double, closed boolean")
+
+    return run
+
+
+def _svc_three(rows: DataFrame, C: float) -> tuple[float, float]:
+    fitted = fit_svc(rows, C)
+    w = F.array(*[F.lit(float(c)) for c in fitted.weights[0, :-1]])
+    dot = F.aggregate(F.zip_with(F.array(*THREE), w, lambda a, b: a * b), F.lit(float(fitted.weights[0, -1])), lambda a, v: a + v)
+    hinge = F.greatest(F.lit(0.0), 1 - (2 * F.col("label") - 1) * dot)
+    return fitted.gap, 0.5 * float((fitted.weights[0, :-1] ** 2).sum()) + C * rows.agg(F.sum(hinge)).first()[0]
+
+
+def _svr_three(rows: DataFrame, C: float) -> tuple[float, float]:
+    fitted = fit_svr(rows, C)
+    return fitted.gap, fitted.objective
+
+
+def _three_sql(label: str, loss: str, rounds: int = 160) -> str:
+    """A search on a grid that closes in: all 81 neighbours, then half the distance."""
+    grid = "range(-1, 2) a(d1), range(-1, 2) b(d2), range(-1, 2) c(d3), range(-1, 2) d(d0)"
+    return f"""WITH RECURSIVE src AS (SELECT {", ".join(f"{e} AS {n}" for n, e in THREE.items())}, ({label})::DOUBLE AS y FROM lineitem),
+kinds AS (SELECT x1, x2, x3, y, count(*)::DOUBLE AS n FROM src GROUP BY ALL), total AS (SELECT sum(n) AS n FROM kinds),
+packed AS (SELECT list({{'x1': x1, 'x2': x2, 'x3': x3, 'y': y, 'n': {THREE_C} * kinds.n / total.n}} ORDER BY x1, x2, x3, y) AS ks FROM kinds, total),
+near AS (SELECT d1, d2, d3, d0 FROM {grid}),
+spot AS (SELECT 0 AS k, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS b, 2.0::DOUBLE AS s
+ UNION ALL
+ SELECT k + 1, m.w1, m.w2, m.w3, m.b, CASE WHEN m.still THEN s / 2 ELSE s END FROM (
+  SELECT k, s, arg_min({{'w1': v1, 'w2': v2, 'w3': v3, 'b': v0, 'still': still}}, {{'o': o, 'm': NOT still}}) AS m FROM (
+   SELECT k, s, v1, v2, v3, v0, still, 0.5 * (v1 * v1 + v2 * v2 + v3 * v3) + list_sum(list_transform(ks, lambda r: r.n * {loss})) AS o FROM (
+    SELECT k, s, w1 + s * d1 AS v1, w2 + s * d2 AS v2, w3 + s * d3 AS v3, b + s * d0 AS v0,
+     d1 = 0 AND d2 = 0 AND d3 = 0 AND d0 = 0 AS still FROM spot, near WHERE k < {rounds}), packed) GROUP BY k, s)),
+best AS (SELECT w1 AS v1, w2 AS v2, w3 AS v3, b AS v0 FROM spot WHERE k = {rounds})
+SELECT total.n::BIGINT AS n, round(0.5 * (v1 * v1 + v2 * v2 + v3 * v3) + list_sum(list_transform(ks, lambda r: r.n * {loss})), 3) AS objective,
+ true AS closed FROM best, packed, total"""
+
+
+_FIELD = "(v1 * r.x1 + v2 * r.x2 + v3 * r.x3 + v0)"
+
 QUERIES = {
     "tree_split": (_one_split("decision_tree", 3, SPLIT_CLASS), SPLIT_CLASS_SQL),
     "tree_regressor_split": (_one_split("decision_tree_regressor", 0, SPLIT_PRICE), SPLIT_PRICE_SQL),
@@ -279,4 +340,12 @@ QUERIES = {
     "logistic_penalised": (logistic_penalised, LOGISTIC_SQL),
     "svc_groups": (svc_groups, SVC_GROUPS),
     "svr_groups": (svr_groups, SVR_GROUPS),
+    "svc_three": (
+        _three_margins(_svc_three, THREE_CLASS),
+        _three_sql(THREE_CLASS, f"greatest(0, 1 - (2 * r.y - 1) * {_FIELD})"),
+    ),
+    "svr_three": (
+        _three_margins(_svr_three, THREE_VALUE),
+        _three_sql(THREE_VALUE, f"greatest(0, abs(r.y - {_FIELD}) - 0.1)"),
+    ),
 }

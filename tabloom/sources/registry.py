@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.models import CLASSIFIER_PARAMETERS, TREES, SparkModel
+from ..operators.margins import LinearSVC, LinearSVR
+from ..operators.models import TREES, SparkModel
 from ..operators.naive_bayes import GaussianNaiveBayes
 from ..operators.neighbors import Neighbors
 from ..operators.prepare import Preparation
-from ..operators.svr import LinearSVR
 from ..operators.trees import TreeModel
 
 METADATA_SCHEMA = (
@@ -81,9 +81,10 @@ def load_model(spark: SparkSession, root: str, name: str):
         fitted = TreeModel.load(spark, kind, path)
     elif kind == "svr":
         fitted = LinearSVR.load(spark, path)
+    elif kind == "svm":
+        fitted = LinearSVC.load(spark, path)
     else:
-        multiclass = kind in CLASSIFIER_PARAMETERS and (meta["n_classes"] or 0) > 2
-        fitted = SparkModel.load(kind, path, multiclass)
+        fitted = SparkModel.load(kind, path)
     return fitted, Preparation.load(spark, f"{base}/preparation"), meta
 
 

@@ -6,9 +6,10 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tabloom.operators import margins
+from tabloom.operators.margins import fit_svc, fit_svr
 from tabloom.operators.models import fit_spark_model, model_parameters, top_importance
 from tabloom.operators.score import check_compatibility, row_key, score
-from tabloom.operators.svr import fit_svr
 from tabloom.plans.training import predictions, retrain, train
 from tabloom.sources.registry import list_models, load_metadata, load_model, registry_name, save_model
 
@@ -89,6 +90,42 @@ def test_svr_reaches_the_minimum(spark):
     assert ours <= best * 1.002
 
 
+def test_svr_takes_the_flattest_line(spark):
+    """Labels on a line of slope 3: the tube lets the slope fall, its gap says how far."""
+    x = np.arange(5.0)[:, None]
+    fitted = fit_svr(vectors(spark, x, 3 * x[:, 0]), C=1.0)
+    assert fitted.gap <= 1e-5 and fitted.coefficients[0] == pytest.approx(2.95, abs=1e-3)
+    assert fitted.objective == pytest.approx(0.5 * 2.95**2, rel=1e-4)
+
+
+@pytest.mark.parametrize("task_numbers", [1_000_000, 0])
+def test_pairs_of_classes(spark, monkeypatch, task_numbers):
+    """Every pair's line reaches its gap, in one task and in rounds; votes decide."""
+    monkeypatch.setattr(margins, "TASK_NUMBERS", task_numbers)
+    rng = np.random.default_rng(4)
+    centres = np.array([[0, 0, 1], [3, 0, 0], [0, 3, 0], [3, 3, 5]], float)
+    y = rng.integers(0, 4, 300)
+    x = centres[y] + rng.normal(0, 0.8, (300, 3))
+    fitted = fit_svc(vectors(spark, x, y).repartition(3), C=0.5, classes=4)
+    assert fitted.pairs == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)] and fitted.gap <= 1e-5 and fitted.rounds < 200
+    votes = np.zeros((300, 4))
+    for (low, high), w in zip(fitted.pairs, fitted.weights):
+        side = x @ w[:3] + w[3]
+        votes[np.arange(300), np.where(side > 0, high, low)] += 1
+        rows = (y == low) | (y == high)
+        sign = np.where(y[rows] == high, 1, -1)
+
+        def loss(v):
+            return 0.5 * v[:3] @ v[:3] + 0.5 * np.maximum(0, 1 - sign * (x[rows] @ v[:3] + v[3])).sum()
+
+        for _ in range(200):
+            assert loss(w + rng.normal(0, 0.02, 4)) > loss(w) * (1 - 1e-5)
+    got = [r["prediction"] for r in fitted.predict(vectors(spark, x, y)).collect()]
+    assert got == votes.argmax(axis=1).tolist() and np.mean(got == y) > 0.85
+    lone = fit_svc(vectors(spark, x[y == 2], y[y == 2]), classes=4)
+    assert {r["prediction"] for r in lone.predict(vectors(spark, x[:5], y[:5])).collect()} == {2.0}
+
+
 def test_parameters():
     assert model_parameters("knn", {})["n_neighbors"] == 5
     assert model_parameters("random_forest", {"max_depth": None})["n_estimators"] == 100
