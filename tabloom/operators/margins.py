@@ -83,7 +83,7 @@ class Line:
     def take(self, sums: np.ndarray, C: float, gap: float) -> None:
         """Judge the tried point by its sums and choose the next one."""
         d = self.width
-        rounded, loss, n_up, n_down, gain_up, gain_down, squares = sums[:7]
+        rounded, loss, n_up, n_down, gain_up, gain_down, squares = map(float, sums[:7])
         up, down = sums[7 : 7 + d], sums[7 + d : 7 + 2 * d]
         self.rounds += 1
         norm = 0.5 * float(self.tried[:d] @ self.tried[:d])

@@ -32,8 +32,12 @@ from pyspark.storagelevel import StorageLevel
 
 from .split import SEED
 
-# Rows up to which a node's subtree is grown in one task.
-SMALL_ROWS = 20_000
+# Rows, and numbers of all their features, up to which one task grows a node's subtree.
+SMALL_ROWS = 100_000
+SMALL_NUMBERS = 6_400_000
+# Rows a task should have, and the rows up to which one shuffle for it is cheap.
+ROWS_PER_TASK = 25_000
+SPREAD_ROWS = 10_000_000
 # Bins of a feature and of a bin that is cut again.
 BINS = 256
 # Deepest level; "no limit" means that here, as node numbers double with each level.
@@ -290,19 +294,31 @@ class Interval:
     low: float
     high: float
     n_before: float
+    q_before: float
     before: np.ndarray
 
 
 @dataclass
 class _Large:
-    """A large node while its split is sought."""
+    """A large node while its split is sought.
+
+    ``best`` has score, feature, the values at both sides, and the left side's weight,
+    squares and sums.
+    """
 
     tree: int
     node: int
     n: float
     sums: np.ndarray
+    squares: float
     best: tuple | None = None
 
+    def children(self) -> list[tuple]:
+        """``(tree, node, n, sums, squares)`` of both sides of the split."""
+        n, squares, sums = self.best[4], self.best[5], np.array(self.best[6])
+        left = (self.tree, 2 * self.node, n, sums, squares)
+        return [left, (self.tree, 2 * self.node + 1, self.n - n, self.sums - sums, self.squares - squares)]
+
 
 def _batches(batches: Iterator[pa.RecordBatch], growth: Growth):
     for batch in batches:
@@ -397,7 +413,7 @@ def _cells(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[In
 
 
 _FOUND = (
-    "slot int, feature int, low double, high double, score double, again boolean, n_before double, before array<double>"
+    "slot int, feature int, low double, high double, score double, again boolean, n double, q double, sums array<double>"
 )
 
 
@@ -407,7 +423,7 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
     def judge(group: pa.Table) -> pa.Table:
         slot = group["slot"][0].as_py()
         node = large[slot]
-        best = node.best or (-np.inf, growth.features, np.inf, np.inf)
+        best = node.best or (-np.inf, growth.features, np.inf, np.inf, 0.0, 0.0, [])
         column = {c: group[c].to_numpy() for c in ("interval", "bin", "cls", "n", "s", "q", "low", "high")}
         order = np.lexsort((column["bin"], column["interval"]))
         column = {c: v[order] for c, v in column.items()}
@@ -428,7 +444,8 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
             if fits.any():
                 score = np.where(fits, split_gain(left[:-1], n_left[:-1], node.sums, node.n), -np.inf)
                 k = int(np.argmax(score))
-                new = (float(score[k]), at.feature, float(high[k]), float(low[k + 1]))
+                q_left = at.q_before + float(squares[: k + 1].sum())
+                new = (float(score[k]), at.feature, float(high[k]), float(low[k + 1]), float(n_left[k]), q_left, left[k].tolist())
                 if (-new[0], new[1], new[2]) < (-best[0], best[1], best[2]):
                     best = new
             # What a split inside a bin can reach at most.
@@ -436,12 +453,16 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
             after, n_after = node.sums - left, node.n - n_left
             reach = squares + _share(before, n_before) + _share(after, n_after)
             may = (low < high) & (n_left > growth.min_leaf) & (node.n - n_before > growth.min_leaf)
-            bounds += [(reach[k], at.feature, low[k], high[k], n_before[k], before[k]) for k in np.flatnonzero(may)]
-        out = [(slot, best[1], best[2], best[3], best[0], False, 0.0, [])] if best[0] > -np.inf else []
+            q_before = at.q_before + np.cumsum(squares) - squares
+            bounds += [
+                (reach[k], at.feature, low[k], high[k], n_before[k], q_before[k], before[k].tolist()) for k in np.flatnonzero(may)
+            ]
+        out = [(slot, *best[1:4], best[0], False, *best[4:])] if best[0] > -np.inf else []
         # Sums of doubles differ in the last digits between ways of adding them up.
         again = [b for b in bounds if b[0] >= best[0] - 1e-12 * abs(best[0])]
-        out += [(slot, f, lo, hi, r, True, nb, list(b)) for r, f, lo, hi, nb, b in again]
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.list_(pa.float64())]
+        out += [(slot, f, lo, hi, r, True, *rest) for r, f, lo, hi, *rest in again]
+        wide = pa.float64()
+        kinds = [pa.int32(), pa.int32(), wide, wide, wide, pa.bool_(), wide, wide, pa.list_(wide)]
         names = [c.split()[0] for c in _FOUND.split(", ")]
         return pa.table({c: pa.array([o[k] for o in out], t) for k, (c, t) in enumerate(zip(names, kinds))})
 
@@ -456,7 +477,7 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
     """Find the best split of each large node, ``best`` of (score, feature, low, high)."""
     nothing = np.zeros(growth.width)
     waiting = [
-        (np.inf, Interval(slot, int(f), -np.inf, np.inf, 0.0, nothing))
+        (np.inf, Interval(slot, int(f), -np.inf, np.inf, 0.0, 0.0, nothing))
         for slot, g in enumerate(large)
         for f in node_features(g.tree, g.node, growth.features, growth.wanted)
     ]
@@ -466,10 +487,10 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
             part = [i for _, i in waiting[at : at + CELLS // BINS]]
             for r in _judged(_cells(rows, done, large, part, edges, growth), large, part, growth).collect():
                 if r["again"]:
-                    inner = Interval(r["slot"], r["feature"], r["low"], r["high"], r["n_before"], np.array(r["before"]))
+                    inner = Interval(r["slot"], r["feature"], r["low"], r["high"], r["n"], r["q"], np.array(r["sums"]))
                     later.append((r["score"], inner))
                 else:
-                    large[r["slot"]].best = (r["score"], r["feature"], r["low"], r["high"])
+                    large[r["slot"]].best = (r["score"], r["feature"], r["low"], r["high"], r["n"], r["q"], r["sums"])
         # Another part of the round may have found what these cannot reach.
         tops = [g.best[0] if g.best else -np.inf for g in large]
         waiting = [(reach, i) for reach, i in later if reach >= tops[i.slot] - 1e-12 * abs(tops[i.slot])]
@@ -479,47 +500,31 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
 # --- the fit ------------------------------------------------------------------------
 
 
-def _sums(rows: DataFrame, done: Trees | None, wanted: set[tuple[int, int]], growth: Growth) -> dict:
-    """``(n, sums, squares)`` of the wanted nodes; without trees, of all roots and of all rows (-1)."""
+def _sums(rows: DataFrame, growth: Growth) -> dict[int, tuple[float, np.ndarray, float]]:
+    """``(n, sums, squares)`` of the rows of every tree, and of all rows once (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, keys in _batches(batches, growth):
-            for tree in sorted({t for t, _ in wanted}):
+            cls = y.astype(np.int64) if growth.classes else np.zeros(len(y), np.int64)
+            for tree in range(-1, growth.trees):
                 w = _weights(keys, tree, growth) if tree >= 0 else np.ones(len(keys))
-                if done is None:
-                    node = np.ones(len(x), np.int64)
-                else:
-                    node = done.node[done.leaves(x, done.roots[np.searchsorted(done.tree[done.roots], tree)])]
-                    mine = np.array(sorted(n for t, n in wanted if t == tree))
-                    w = np.where(np.isin(node, mine), w, 0.0)
-                cls = y.astype(np.int64) if growth.classes else np.zeros(len(y), np.int64)
-                names, spot = np.unique(node * growth.width + cls, return_inverse=True)
-                n = np.bincount(spot, w)
-                label = n if growth.classes else np.bincount(spot, w * y)
-                square = n if growth.classes else np.bincount(spot, w * y * y)
+                n = np.bincount(cls, w)
                 held = np.flatnonzero(n)
-                yield pa.record_batch(
-                    {
-                        "tree": pa.array(np.full(len(held), tree)),
-                        "node": names[held] // growth.width,
-                        "cls": names[held] % growth.width,
-                        "n": n[held],
-                        "s": label[held],
-                        "q": square[held],
-                    }
-                )
+                label = n if growth.classes else np.bincount(cls, w * y)
+                square = n if growth.classes else np.bincount(cls, w * y * y)
+                tree_column = pa.array(np.full(len(held), tree))
+                yield pa.record_batch({"tree": tree_column, "cls": held, "n": n[held], "s": label[held], "q": square[held]})
 
     found = (
-        rows.mapInArrow(run, "tree long, node long, cls long, n double, s double, q double")
-        .groupBy("tree", "node", "cls")
+        rows.mapInArrow(run, "tree long, cls long, n double, s double, q double")
+        .groupBy("tree", "cls")
         .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     )
     out: dict = {}
     for r in found.collect():
-        n, sums, squares = out.get((r["tree"], r["node"]), (0.0, np.zeros(growth.width), 0.0))
-        sums = sums.copy()
+        n, sums, squares = out.get(r["tree"], (0.0, np.zeros(growth.width), 0.0))
         sums[r["cls"]] += r["s"]
-        out[r["tree"], r["node"]] = (n + r["n"], sums, squares + r["q"])
+        out[r["tree"]] = (n + r["n"], sums, squares + r["q"])
     return out
 
 
@@ -598,11 +603,19 @@ def fit_trees(
         vector_to_array("features").alias("x"),
         F.col("label").cast("double").alias("y"),
         (key if drawn else F.lit(0).cast("long")).alias("key"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    placed = rows.select("x", F.spark_partition_id().alias("part"))
+    facts = placed.agg(
+        F.max(F.size("x")).alias("features"), F.count("*").alias("n"), F.count_distinct("part").alias("parts")
+    ).first()
+    features, n = facts["features"], facts["n"]
+    if not features:
+        raise ValueError("no rows or no features to grow trees on")
+    tasks = -(-n // ROWS_PER_TASK)
+    if n <= SPREAD_ROWS and facts["parts"] < tasks:
+        rows = rows.repartition(tasks)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        features = rows.agg(F.max(F.size("x"))).first()[0]
-        if not features:
-            raise ValueError("no rows or no features to grow trees on")
         part = math.isqrt(features - 1) + 1 if wanted == "sqrt" else features
         depth = DEEPEST if max_depth is None else min(int(max_depth), DEEPEST)
         growth = Growth(classes, features, n_trees, part, drawn, depth, min_samples_split, min_samples_leaf)
@@ -612,22 +625,25 @@ def fit_trees(
 
 
 def _grown(rows: DataFrame, growth: Growth) -> Trees:
-    known = _sums(rows, None, {(t, 1) for t in range(-1, growth.trees)}, growth)
-    whole = known.pop((-1, 1))
+    known = _sums(rows, growth)
     records: dict[tuple[int, int], tuple] = {}
     small: set[tuple[int, int]] = set()
+    small_rows = min(SMALL_ROWS, SMALL_NUMBERS // growth.features)
     edges = None
-    frontier = [(t, 1, *known.get((t, 1), whole)) for t in range(growth.trees)]
+    # A tree that no row was drawn for is one leaf of all rows.
+    empty = [t for t in range(growth.trees) if t not in known]
+    records |= {(t, 1): (t, 1, -1, 0.0, *known[-1][:2]) for t in empty}
+    frontier = [(t, 1, *known[t]) for t in range(growth.trees) if t in known]
     while frontier:
         large = []
         for tree, node, n, sums, squares in frontier:
             records[tree, node] = (tree, node, -1, 0.0, n, sums)
-            if (tree, node) not in known or growth.ends(node, n, sums, squares):
+            if growth.ends(node, n, sums, squares):
                 continue
-            if n <= SMALL_ROWS:
+            if n <= small_rows:
                 small.add((tree, node))
             else:
-                large.append(_Large(tree, node, n, sums))
+                large.append(_Large(tree, node, n, sums, squares))
         if not large:
             break
         if edges is None:
@@ -635,16 +651,12 @@ def _grown(rows: DataFrame, growth: Growth) -> Trees:
             cuts = [F.percentile_approx(F.col("x")[f], shares, 10_000).alias(f"f{f}") for f in range(growth.features)]
             edges = [np.unique(held) for held in rows.agg(*cuts).first()]
         _split_large(rows, _flat(list(records.values())), large, edges, growth)
-        children = []
+        frontier = []
         for g in large:
             if g.best:
-                _, feature, low, high = g.best
-                records[g.tree, g.node] = (g.tree, g.node, feature, halfway(low, high), g.n, g.sums)
-                children += [(g.tree, 2 * g.node), (g.tree, 2 * g.node + 1)]
-        for tree, node in children:
-            records[tree, node] = (tree, node, -1, 0.0, 1.0, np.zeros(growth.width))
-        known = _sums(rows, _flat(list(records.values())), set(children), growth) if children else {}
-        frontier = [(t, n, *known[t, n]) for t, n in children]
+                threshold = halfway(g.best[2], g.best[3])
+                records[g.tree, g.node] = (g.tree, g.node, g.best[1], threshold, g.n, g.sums)
+                frontier += g.children()
     if small:
         for record in _grow_small(rows, _flat(list(records.values())), small, growth):
             records[record[0], record[1]] = record
