@@ -44,7 +44,7 @@ HELD_OUT = 1
 TOXIC_FROM = 0.7
 # Labelled documents that are learned from at most, and entries of a lexicon.
 LEARN_ROWS = 100_000
-MAX_ENTRIES = 50_000
+MAX_ENTRIES = 20_000
 # Letters of a word's beginning that can be an entry.
 STEMS = range(4, 9)
 # An entry needs so many toxic documents, odds (log) and odds in standard deviations; an
@@ -58,7 +58,7 @@ EXCEPTION_ODDS = 1.0
 # Words added to a text's length, so that one finding in a short text is not all of it.
 EXTRA_WORDS = 15
 # Distinct patterns that a task counts before it hands them on.
-HELD_PATTERNS = 400_000
+HELD_PATTERNS = 300_000
 
 # Look-alikes of Latin letters in the Cyrillic and Greek alphabets, and
 # what digits and signs inside words stand for.
@@ -166,30 +166,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(rows @ self.curve, -30, 30)))
 
 
-def odds(toxic: float, clean: float, all_toxic: int, all_clean: int) -> tuple[float, float]:
-    """Log odds of holding a pattern, toxic against clean, and the same in deviations."""
-    lo = np.log((toxic + 0.1) / (all_toxic - toxic + 0.1)) - np.log((clean + 0.1) / (all_clean - clean + 0.1))
-    return float(lo), float(lo / np.sqrt(1 / (toxic + 0.1) + 1 / (clean + 0.5)))
-
-
-def weighed(counts: Iterable[tuple[str, int, int]], all_toxic: int, all_clean: int) -> Lexicon:
-    """The lexicon of ``(pattern, toxic, clean)`` document counts; the surest entries first."""
-    counts = list(counts)
-    entries = []
-    for pattern, toxic, clean in counts:
-        if toxic >= MIN_DOCS:
-            lo, sigmas = odds(toxic, clean, all_toxic, all_clean)
-            if lo >= MIN_ODDS and sigmas >= MIN_SIGMAS:
-                entries.append((-sigmas, pattern, min(lo, MAX_WEIGHT)))
-    weights = {p: w for _, p, w in sorted(entries)[:MAX_ENTRIES]}
-    exceptions = []
-    for pattern, toxic, clean in counts:
-        if clean >= EXCEPTION_DOCS and pattern not in weights and pattern.endswith(" "):
-            word = pattern[:-1]
-            begins = any(word[: k + 1] in weights for k in STEMS if k < len(word))
-            if begins and odds(toxic, clean, all_toxic, all_clean)[0] < EXCEPTION_ODDS:
-                exceptions.append(pattern)
-    return Lexicon(weights, sorted(exceptions))
+def odds(toxic, clean, all_toxic: int, all_clean: int):
+    """Log odds of holding a pattern, toxic against clean, and the same in deviations.
+
+    The document counts are columns.
+    """
+    lo = F.log((toxic + 0.1) / (all_toxic - toxic + 0.1)) - F.log((clean + 0.1) / (all_clean - clean + 0.1))
+    return lo, lo / F.sqrt(1 / (toxic + 0.1) + 1 / (clean + 0.5))
 
 
 def logistic(rows: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -234,8 +217,8 @@ def _counted(learn: DataFrame, patterns) -> DataFrame:
         for batch in batches:
             for half, toxic, text in zip(*(batch[c].to_pylist() for c in ("half", "toxic", "text"))):
                 held.setdefault((half, toxic), Counter()).update(patterns(half, fold(text)))
-            if sum(map(len, held.values())) >= HELD_PATTERNS:
-                yield from emptied()
+                if sum(map(len, held.values())) >= HELD_PATTERNS:
+                    yield from emptied()
         yield from emptied()
 
     return (
@@ -288,13 +271,8 @@ def fit(
 
     counted = _written(_counted(learn, lambda half, folded: _patterns(set(folded.split()))))
     both = counted.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-    def rows(df: DataFrame) -> list[tuple[str, int, int]]:
-        # Entries need toxic documents; an exception begins like one that has them.
-        return _of_interest(df.filter((F.col("toxic") >= MIN_DOCS) | (F.col("clean") >= EXCEPTION_DOCS)))
-
-    whole = weighed(rows(both), sum(toxic), sum(clean))
-    halves = [weighed(rows(counted.filter(F.col("half") == h)), toxic[h], clean[h]) for h in (0, 1)]
+    whole = _lexicon(both, sum(toxic), sum(clean))
+    halves = [_lexicon(counted.filter(F.col("half") == h), toxic[h], clean[h]) for h in (0, 1)]
     lexicons = [halves[1], halves[0], whole]
 
     def pairs(half: int, folded: str) -> set[str]:
@@ -310,17 +288,10 @@ def fit(
                 out.add(folded[start : after + 1])
         return out
 
-    phrases = [
-        r["pattern"]
-        for r in _counted(learn, pairs)
-        .groupBy("pattern")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("clean") >= EXCEPTION_DOCS)
-        .orderBy(F.desc("clean"), "pattern")
-        .limit(MAX_ENTRIES)
-        .collect()
-        if odds(r["toxic"], r["clean"], sum(toxic), sum(clean))[0] < EXCEPTION_ODDS
-    ]
+    around = _counted(learn, pairs).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    lo, _ = odds(F.col("toxic"), F.col("clean"), sum(toxic), sum(clean))
+    harmless = around.filter((F.col("clean") >= EXCEPTION_DOCS) & (lo < EXCEPTION_ODDS))
+    phrases = [r["pattern"] for r in harmless.orderBy(F.desc("clean"), "pattern").limit(MAX_ENTRIES).collect()]
     phrases += [f for f in (fold(e) for e in exceptions) if len(f) > 1]
     lexicons = [Lexicon(x.weights, sorted({*x.exceptions, *phrases} - x.weights.keys())) for x in lexicons]
 
@@ -335,34 +306,32 @@ def fit(
     return Model(lexicons[2], curve)
 
 
-def _of_interest(some: DataFrame) -> list[tuple[str, int, int]]:
-    """Counts of possible entries, and of whole words that begin like one of them."""
-    ratio = (F.col("toxic") + 0.1) / (F.col("clean") + 0.1)
-    entries = (
-        some.filter(F.col("toxic") >= MIN_DOCS).orderBy(ratio.desc(), F.desc("toxic"), "pattern").limit(4 * MAX_ENTRIES)
-    )
-    found = [(r["pattern"], r["toxic"], r["clean"]) for r in entries.collect()]
-    stems = [p for p, *_ in found if not p.endswith(" ")]
+def _lexicon(counted: DataFrame, all_toxic: int, all_clean: int) -> Lexicon:
+    """The lexicon of counted patterns; only what it may hold reaches the driver."""
+    lo, sigmas = odds(F.col("toxic"), F.col("clean"), all_toxic, all_clean)
+    sure = (F.col("toxic") >= MIN_DOCS) & (lo >= MIN_ODDS) & (sigmas >= MIN_SIGMAS)
+    entries = counted.filter(sure).orderBy(sigmas.desc(), "pattern").limit(MAX_ENTRIES)
+    weights = {r["pattern"]: min(r["odds"], MAX_WEIGHT) for r in entries.select("pattern", lo.alias("odds")).collect()}
+    stems = [(p,) for p in weights if not p.endswith(" ")]
     if not stems:
-        return found
-    spark = some.sparkSession
-    begins = spark.createDataFrame([(s,) for s in stems], "stem string")
-    words = some.filter(F.col("pattern").endswith(" ") & (F.col("clean") >= EXCEPTION_DOCS))
-    ways = [
-        words.filter(F.length("pattern") > k + 1).withColumn("stem", F.substring("pattern", 1, k + 1)) for k in STEMS
-    ]
-    spread = ways[0]
-    for more in ways[1:]:
-        spread = spread.union(more)
-    extended = (
-        spread.join(F.broadcast(begins), "stem", "left_semi")
-        .select("pattern", "toxic", "clean")
+        return Lexicon(weights)
+    begins = F.broadcast(counted.sparkSession.createDataFrame(stems, "stem string"))
+    words = counted.filter(
+        F.col("pattern").endswith(" ") & (F.col("clean") >= EXCEPTION_DOCS) & (lo < EXCEPTION_ODDS)
+    )
+    # The beginnings of each word, with the blank before it.
+    held = F.filter(F.array(*[F.lit(k) for k in STEMS]), lambda k: k <= F.length("pattern") - 2)
+    spread = words.select("pattern", "clean", F.explode(held).alias("k")).withColumn(
+        "stem", F.expr("substring(pattern, 1, k + 1)")
+    )
+    found = (
+        spread.join(begins, "stem", "left_semi")
+        .select("pattern", "clean")
         .distinct()
         .orderBy(F.desc("clean"), "pattern")
-        .limit(4 * MAX_ENTRIES)
+        .limit(MAX_ENTRIES)
     )
-    have = {p for p, *_ in found}
-    return found + [(r["pattern"], r["toxic"], r["clean"]) for r in extended.collect() if r["pattern"] not in have]
+    return Lexicon(weights, sorted({r["pattern"] for r in found.collect()} - weights.keys()))
 
 
 def scores(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
