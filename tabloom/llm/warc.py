@@ -32,13 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.sizing import shared_folder
+from tabloom.functions.sizing import cut_lineage, join_by_size, shared_folder
 from tabloom.llm.ship import ship
 
 REVISIT_BYTES = 1000
 # Plain bytes after which a frame ends, compressed bytes after which a bundle ends.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+# Plain bytes of frames that a task reads back.
+TASK_BYTES = 64 << 20
 LEVEL = 1
 # Fixed values of the seekable format and of the records.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -66,7 +68,11 @@ def roles(pages: DataFrame, page_id: str, payload: str, url: str | None, least:
         .filter("copies > 1")
         .select(F.col("digest").alias("d"), "first_id")
     )
-    joined = rows.join(whole, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
+    # Only digests that occur again are joined; a known small number of them leaves the
+    # payloads where they are.
+    whole = cut_lineage(whole)
+    on = (F.col("digest") == F.col("d")) & (F.col("bytes") >= least)
+    joined = join_by_size(rows, whole, on, "left", whole.count())
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return joined.select(
         "id",
@@ -272,26 +278,40 @@ def write(
 
 
 def read(index: DataFrame) -> DataFrame:
-    """``RECORDS`` of every record of the index's bundles, frame by frame."""
+    """``RECORDS`` of every record of the index's bundles, frame by frame.
+
+    Frames are dealt to tasks of about ``TASK_BYTES`` plain bytes, neighbours together.
+    """
     ship(index.sparkSession)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        for batch in batches:
-            for uri, number in zip(batch["bundle"].to_pylist(), batch["frame"].to_pylist()):
-                bundle = Bundle(uri)
-                try:
+        bundle, held = None, None
+        try:
+            for batch in batches:
+                for uri, number in zip(batch["bundle"].to_pylist(), batch["frame"].to_pylist()):
+                    if uri != held:
+                        if bundle is not None:
+                            bundle.close()
+                        bundle, held = Bundle(uri), uri
                     data, at, rows = bundle.frame(number), 0, []
-                finally:
-                    bundle.close()
-                while at < len(data):
-                    head, block, at = parse(data, at)
-                    rows.append(described(head, block))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    frames = index.select("bundle", "frame").distinct()
-    return frames.mapInArrow(records, RECORDS)
+                    while at < len(data):
+                        head, block, at = parse(data, at)
+                        rows.append(described(head, block))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        finally:
+            if bundle is not None:
+                bundle.close()
+
+    frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("bytes"))
+    size = frames.agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes")).first()
+    # Tasks by the plain bytes to read, not by the few bytes that name a frame.
+    wanted = max(-(-(size["bytes"] or 0) // TASK_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, min(size["frames"], wanted))
+    together = max(1, size["frames"] // (4 * tasks))
+    dealt = frames.repartition(tasks, "bundle", F.floor(F.col("frame") / together))
+    return dealt.sortWithinPartitions("bundle", "frame").select("bundle", "frame").mapInArrow(records, RECORDS)
 
 
 def fetch(index: DataFrame, ids: list[str]) -> list[tuple[dict[str, str], bytes]]:

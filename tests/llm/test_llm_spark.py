@@ -402,6 +402,18 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_with_a_hot_payload(spark, tmp_path):
+    """A third of the pages share one payload; reading takes several tasks."""
+    rows = [(i, "u", "<hot>" * 300 if i % 3 == 0 else f"<p>{i}</p>" * 150) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    index = warc.write(df, str(tmp_path / "w"), frame_bytes=20_000, bundle_bytes=60_000)
+    found = warc.read(index)
+    assert found.rdd.getNumPartitions() == 8
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
+    got = {int(r["record_id"]): (r["record_type"], r["refers_to"]) for r in found.collect()}
+    assert got == {i: ("revisit", "897") if i % 3 == 0 and i != 897 else ("response", None) for i in range(900)}
+
+
 def test_pipeline_stages(spark, odd, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for docs in (odd, empty):
