@@ -108,7 +108,9 @@ def raw_predictions(
 
 def present_regression(raw: DataFrame) -> DataFrame:
     """Input columns, prediction, and a band of one population deviation of all predictions."""
-    # The deviation of the batch is one number; it is computed first and used as a literal.
+    # Predictions are made once: the deviation of the batch, which is one number, and the
+    # output both read the written ones.
+    raw = cut_lineage(raw)
     spread = raw.agg(F.stddev_pop("prediction")).first()[0]
     return raw.select(
         "__row.*",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from datetime import datetime
+from itertools import chain, count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Take a name by creating its claim file, which succeeds for one writer only."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(place)
+
+
 def save_model(spark: SparkSession, root: str, trained: Any, name: str | None = None, now: datetime | None = None) -> str:
-    """Write a trained model below ``root`` and return the name it got."""
+    """Write a trained model below ``root`` and return the name it got.
+
+    A taken name gets the time behind it, and a number if that is taken too.
+    """
     now = now or datetime.now()
-    final = registry_name(name, trained.model, trained.task.kind, now)
-    if _exists(spark, f"{root}/{final}/metadata"):
-        final = f"{final}_{now.strftime(STAMP)}"
+    plain = registry_name(name, trained.model, trained.task.kind, now)
+    stamped = f"{plain}_{now.strftime(STAMP)}"
+    final = next(
+        n
+        for n in chain([plain, stamped], (f"{stamped}_{k}" for k in count(2)))
+        if not _exists(spark, f"{root}/{n}/metadata") and _claimed(spark, f"{root}/{n}")
+    )
     base = f"{root}/{final}"
     trained.fitted.save(f"{base}/artefact/model")
     trained.preparation.save(f"{base}/artefact/preparation")

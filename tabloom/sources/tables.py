@@ -57,11 +57,16 @@ PRIORITY_NAME_PARTS = ["datos_", "archivo_"]
 
 
 def read_dialects(
-    spark: SparkSession, dialects: Sequence[Dialect], mode: str = "PERMISSIVE", multiline: bool | None = None
+    spark: SparkSession,
+    dialects: Sequence[Dialect],
+    mode: str = "PERMISSIVE",
+    multiline: bool | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """All files as text columns: one scan per encoding, separator, header and splitting.
 
-    ``multiline=None`` reads unsplit only the files that were seen to need it.
+    ``multiline=None`` reads unsplit only the files that were seen to need it.  A column
+    ``corrupt``, where asked for, holds the text of rows that do not fit the header.
     """
     groups: dict[tuple, list[str]] = defaultdict(list)
     for d in (f for d in dialects for f in d.files):
@@ -69,11 +74,11 @@ def read_dialects(
         groups[d.encoding, d.separator, tuple(d.columns), unsplit].append(d.path)
     frames = []
     reader = spark.read
-    if mode != "PERMISSIVE":
+    if mode != "PERMISSIVE" or corrupt:
         # Whether a row fits the header shows only when all of its columns are parsed.
         reader = reader.option("columnPruning", "false")
     for (encoding, separator, columns, unsplit), paths in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, *([corrupt] if corrupt else []))])
         frames.append(
             reader.csv(
                 paths,
@@ -85,6 +90,7 @@ def read_dialects(
                 escape='"',
                 mode=mode,
                 multiLine=unsplit,
+                columnNameOfCorruptRecord=corrupt,
             )
         )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -225,6 +231,15 @@ def read_by_coverage(
     return best["path"], df.toDF(*unique_names(renamed.get(c, c) for c in df.columns))
 
 
+def _malformed(spark: SparkSession, dialect: Dialect) -> int:
+    """How many rows do not fit the header, in one reading."""
+    rows = read_dialects(spark, [dialect], corrupt="__corrupt")
+    # The reader wants another column beside that of the corrupt rows.
+    whole = F.count_if(F.col("__corrupt").isNull() & F.coalesce(F.col(rows.columns[0]), F.lit("")).isNotNull())
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), whole.alias("whole")).first()
+    return counts["rows"] - counts["whole"]
+
+
 def read_for_retraining(
     spark: SparkSession, paths: Sequence[str], expected: Sequence[str]
 ) -> tuple[str, DataFrame]:
@@ -241,7 +256,7 @@ def read_for_retraining(
             found = match_names([clean_name(e) for e in expected], d.columns)
             if d.reason is None and 100.0 * len(found) >= RETRAINING_COVERAGE * len(expected):
                 kept = read_dialects(spark, [d], mode="DROPMALFORMED")
-                dropped = read_dialects(spark, [d]).count() - kept.count()
+                dropped = _malformed(spark, d)
                 warnings.warn(f"{d.path}: {dropped} rows that do not fit the header are dropped", stacklevel=2)
                 raw = infer_types(kept)
                 renamed = {old: new for new, old in found.items()}

@@ -200,6 +200,11 @@ def test_registry_names_and_listing(spark, tmp_path):
     assert save_model(spark, str(tmp_path), trained, "m", now) == "m_20240102_030405"
     listed = list_models(spark, str(tmp_path)).collect()
     assert [r["model_name"] for r in listed] == ["m_20240102_030405", "m"]
+    # A name that another writer has claimed but not yet filled is taken as well.
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "claim").touch()
+    assert save_model(spark, str(tmp_path), trained, "n", now) == "n_20240102_030405"
+    assert save_model(spark, str(tmp_path), trained, "n", now) == "n_20240102_030405_2"
     assert listed[0]["created_at_formatted"] == "02/01/2024 03:04"
 
 
