@@ -235,9 +235,8 @@ def _malformed(spark: SparkSession, dialect: Dialect) -> int:
     """How many rows do not fit the header, in one reading."""
     rows = read_dialects(spark, [dialect], corrupt="__corrupt")
     # The reader wants another column beside that of the corrupt rows.
-    whole = F.count_if(F.col("__corrupt").isNull() & F.coalesce(F.col(rows.columns[0]), F.lit("")).isNotNull())
-    counts = rows.agg(F.count(F.lit(1)).alias("rows"), whole.alias("whole")).first()
-    return counts["rows"] - counts["whole"]
+    beside = F.count(F.col(rows.columns[0])).alias("beside")
+    return rows.agg(F.count_if(F.col("__corrupt").isNotNull()).alias("malformed"), beside).first()["malformed"]
 
 
 def read_for_retraining(
