@@ -6,8 +6,9 @@ margin.  Decoding adds the logistic loss of every codeword's bits, each bit weig
 how well its classifier did on documents it was not fitted on, takes the codeword of
 least loss, and flags the text as ambiguous where the runner-up is close.
 
-Counts come from every learning document; only ``languages x buckets`` sums reach the
-driver.  A language is learned from non-null ``lang`` of documents outside the held-out
+Counts come from every learning document and are weighed into the bits' two sides on
+Spark; only ``buckets x bits`` sums reach the driver, and bits grow with the logarithm of
+the languages, of which there is no fixed bound.  A language is learned from non-null ``lang`` of documents outside the held-out
 fold; ids choose the fold and are no input of a prediction.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, also when
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tabloom.functions.sizing import shared_folder
 from tabloom.llm.ship import ship
 
-# Hash buckets of the n-grams; languages that one model can tell apart.
+# Hash buckets of the n-grams.
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 64
 FOLDS = 5
 UNKNOWN = "und"
 # Best codeword's share of the likelihood below which a text is ambiguous.
@@ -112,7 +113,8 @@ def codewords(languages: int, seed: int = 42) -> np.ndarray:
     rng = np.random.default_rng(seed)
     length = int(np.ceil(10 * np.log2(languages)))
     best, best_gap = None, -1.0
-    for _ in range(200):
+    # Every try compares all pairs of languages.
+    for _ in range(max(4, min(200, 20_000 // languages))):
         code = rng.choice([-1.0, 1.0], size=(languages, length))
         flat = np.abs(code.sum(axis=0)) == languages
         code[0, flat] *= -1
@@ -135,22 +137,36 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and its share of the likelihood."""
-        loss = np.zeros((len(margins), len(self.languages)))
-        for k, word in enumerate(self.code):
-            loss[:, k] = np.logaddexp(0, -margins * word) @ self.trust
+        up, down = (np.logaddexp(0, side * margins) * self.trust for side in (-1, 1))
+        loss = up @ (self.code > 0).T + down @ (self.code < 0).T
         best = loss.argmin(axis=1)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss).sum(axis=1)
         return best, 1 / share
 
 
-def classifiers(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Log odds per bucket and bit from n-gram counts per language."""
-    rate = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
-    out = np.zeros((counts.shape[1], code.shape[1]), np.float32)
-    for bit in range(code.shape[1]):
-        on = code[:, bit] > 0
-        out[:, bit] = np.log(rate[on].mean(axis=0)) - np.log(rate[~on].mean(axis=0))
-    return out
+def classifiers(grams: DataFrame, languages: list[str], totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log odds per bucket and bit, each side of a bit the mean rate of its languages.
+
+    ``grams`` has ``lang, bucket, n``; ``totals`` are the n-grams of each language.
+    """
+    spark, bits = grams.sparkSession, code.shape[1]
+    size = totals + 0.5 * BUCKETS
+    rows = [(name, float(1 / t), [bool(x > 0) for x in word]) for name, t, word in zip(languages, size, code)]
+    shares = spark.createDataFrame(rows, "lang string, share double, word array<boolean>")
+    rate = F.col("n") * F.col("share")
+    on = [F.sum(F.when(F.col("word")[b], rate)).alias(f"b{b}") for b in range(bits)]
+    summed = grams.join(shares, "lang").groupBy("bucket").agg(F.sum(rate).alias("all"), *on).toArrow()
+    place = summed["bucket"].to_numpy()
+    whole, sides = np.zeros((BUCKETS, 1)), np.zeros((BUCKETS, bits))
+    whole[place, 0] = summed["all"].to_numpy()
+    for b in range(bits):
+        sides[place, b] = summed[f"b{b}"].fill_null(0.0).to_numpy()
+    # Half an n-gram more in every bucket.
+    above = code > 0
+    smooth_on, smooth_off = ((0.5 / size) @ side for side in (above, ~above))
+    rate_on = (sides + smooth_on) / above.sum(axis=0)
+    rate_off = (np.maximum(whole - sides, 0) + smooth_off) / (~above).sum(axis=0)
+    return (np.log(rate_on) - np.log(rate_off)).astype(np.float32)
 
 
 def _lowered(text: str):
@@ -193,33 +209,24 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 }
             )
 
-    languages = [r[0] for r in learn.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    folder = shared_folder(docs.sparkSession, "langid")
+    learn.mapInArrow(count, "checks boolean, lang string, bucket int, n long").groupBy("checks", "lang", "bucket").agg(
+        F.sum("n").alias("n")
+    ).write.parquet(folder)
+    grams = docs.sparkSession.read.parquet(folder)
+    sizes = {(r["checks"], r["lang"]): r["n"] for r in grams.groupBy("checks", "lang").agg(F.sum("n").alias("n")).collect()}
+    languages = [r[0] for r in learn.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return None
-    summed = (
-        learn.mapInArrow(count, "checks boolean, lang string, bucket int, n long")
-        .groupBy("checks", "lang", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
     place = {name: k for k, name in enumerate(languages)}
-    counts = np.zeros((2, len(languages), BUCKETS))
-    np.add.at(
-        counts,
-        (
-            summed["checks"].to_numpy().astype(int),
-            np.array([place[x] for x in summed["lang"].to_pylist()], int),
-            summed["bucket"].to_numpy(),
-        ),
-        summed["n"].to_numpy(),
-    )
+    counts = np.array([[sizes.get((checks, name), 0) for name in languages] for checks in (False, True)], float)
     code = codewords(len(languages))
     bits = code.shape[1]
-    model = Model(languages, code, classifiers(counts.sum(axis=0), code), np.ones(bits))
+    every = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    model = Model(languages, code, classifiers(every, languages, counts.sum(axis=0), code), np.ones(bits))
     if bits and counts[1].sum() and counts[0].sum():
-        trial = Model(languages, code, classifiers(counts[0], code), np.ones(bits))
+        first = grams.filter(~F.col("checks"))
+        trial = Model(languages, code, classifiers(first, languages, counts[0], code), np.ones(bits))
 
         @arrow_udf("array<double>")
         def margins(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

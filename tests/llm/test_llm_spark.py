@@ -259,6 +259,35 @@ def test_language_id(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.predictions(odd, None).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """Ninety languages, and the weights of their classifiers recomputed from the texts."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{k:02}": ["".join(rng.choice(letters, 4)) for _ in range(12)] for k in range(90)}
+    rows = [(i, " ".join(rng.choice(words[f"l{i % 90:02}"], 30)), f"l{i % 90:02}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 90 and model.code.shape == (90, 65)
+    got = langid.predictions(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(got) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    counts = np.zeros((90, langid.BUCKETS))
+    learned = {r[0] for r in docs.filter(langid.fold("doc_id") != 0).select("doc_id").collect()}
+    for i, text, lang in rows:
+        if i in learned:
+            for bucket, _ in langid._grams_by_text([text.encode()]):
+                counts[int(lang[1:])] += np.bincount(bucket, minlength=langid.BUCKETS)
+    rate = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * langid.BUCKETS)
+    for bit in (0, 30, 64):
+        on = model.code[:, bit] > 0
+        expected = np.log(rate[on].mean(axis=0)) - np.log(rate[~on].mean(axis=0))
+        np.testing.assert_allclose(model.weights[:, bit], expected, rtol=1e-4, atol=1e-5)
+
+
+def test_one_language(spark):
+    docs = spark.createDataFrame([(i, "un deux trois", "fr") for i in range(20)], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in langid.predictions(docs, langid.fit(docs)).collect()} == {("fr", 1.0)}
+
+
 def test_quality(spark, odd, empty):
     rows = repetition.with_verdict(odd, out="quality").select("doc_id", "text", "quality.*").collect()
     assert len(rows) == 10
