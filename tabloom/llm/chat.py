@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.ship import ship
@@ -205,9 +205,12 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def log_of_turns(table: DataFrame) -> DataFrame:
-    """The log of a table of finished turns ``conv_id, turn, role, text``.
+    """A log of a table of finished turns ``conv_id, turn, role, text`` that folds to it.
 
     A learned turn is opened empty and streamed in deltas, any other turn opened whole.
+    By the hash of the text, one turn in four was first said otherwise: a learned one
+    streams a draft and is regenerated, another is opened with its draft and edited; and
+    one learned turn in four breaks off after its first delta and is edited to the end.
     Turns with the same number are ordered by role and text hash.
     """
     rows = table.select(
@@ -217,13 +220,26 @@ def log_of_turns(table: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("mark", F.xxhash64("text"))
-    whole = F.array(F.struct(F.lit("open").alias("kind"), F.col("text").alias("said")))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("said"))
+
+    said, nothing = F.col("text"), F.lit("")
+    draft = F.concat(F.reverse(F.substring("text", 1, DELTA_CHARS)), F.lit(f" {END}{OPEN}"))
     deltas = F.transform(
-        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)),
-        lambda x: F.struct(F.lit("delta").alias("kind"), x.alias("said")),
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)), lambda x: event("delta", x)
+    )
+    way = F.pmod("mark", F.lit(4))
+    learned = (
+        F.when(
+            way == 0,
+            F.concat(F.array(event("open", nothing), event("delta", draft), event("regenerate", nothing)), deltas),
+        )
+        .when(way == 1, F.concat(F.array(event("open", nothing)), F.slice(deltas, 1, 1), F.array(event("edit", said))))
+        .otherwise(F.concat(F.array(event("open", nothing)), deltas))
     )
-    opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("said")))
-    events = F.when(F.col("role") == LEARNED, F.concat(opened, deltas)).otherwise(whole)
+    other = F.when(way == 0, F.array(event("open", draft), event("edit", said))).otherwise(F.array(event("open", said)))
+    events = F.when(F.col("role") == LEARNED, learned).otherwise(other)
     return rows.select("conv_id", "turn", "role", "mark", "row", F.posexplode(events).alias("seq", "e")).select(
         "conv_id", "turn", "mark", "row", "seq", F.col("e.kind").alias("kind"), "role", F.col("e.said").alias("text")
     )

@@ -106,6 +106,27 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.formatted(log.limit(0), ["no"])).count() == 0
 
 
+def test_derived_log_edits_and_regenerates(spark):
+    """Drafts of all kinds fold back to the table; columns that clash do not matter."""
+    rows = [
+        (c, t, ["user", "assistant", None][t % 3], None if (c, t) == (3, 1) else f"said {c} {t} </s> " * (t * 7), 1, "x")
+        for c in range(40)
+        for t in range(8)
+    ]
+    rows += [rows[9], (None, 0, "assistant", "é" * 900, 1, "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, seq int, kind string")
+    log = chat.log_of_turns(table.repartition(5))
+    kinds = {(r["kind"], r["role"] == "assistant"): r["count"] for r in log.groupBy("kind", "role").count().collect()}
+    assert min(kinds[k] for k in [("edit", True), ("edit", False), ("regenerate", True), ("delta", True), ("open", False)]) > 5
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.formatted(log, chat.MESSAGE_ORDER)).collect()}
+    by_conv = {}
+    for c, t, role, text, *_ in rows:
+        by_conv.setdefault(c, []).append((t, role or "", text or ""))
+    assert got == {c: chat_digest([(role, text) for _, role, text in sorted(said)]) for c, said in by_conv.items()}
+    empty = spark.createDataFrame([], table.schema)
+    assert chat.log_of_turns(empty).count() == 0
+
+
 def test_chat_long_conversation_in_parts(spark, monkeypatch):
     turns = [(1, k, ["user", "assistant", "system"][k % 3], f"t{k} " * (k % 50)) for k in range(2000)]
     turns += [(1, 7, "user", "same"), (1, 7, "user", "same"), (2, 0, None, None)]
