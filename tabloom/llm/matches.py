@@ -34,6 +34,31 @@ def _placed(found: str, gaps: str) -> str:
     return f"if(size({found}) > 0, {outer}, {empty})"
 
 
+def in_blocks(text: str, size: int) -> str:
+    """SQL array of a text's code points in blocks of ``size``, made in one walk over the text."""
+    return f"regexp_extract_all({text}, {literal(f'(?s).{{1,{size}}}+')}, 0)"
+
+
+def piece(blocks: str, start: str, n: str, size: int) -> str:
+    """SQL of ``n`` code points after the first ``start`` of a text in blocks."""
+    of = f"slice({blocks}, int(({start}) div {size}) + 1, int((({start}) % {size} + greatest({n}, 0)) div {size}) + 1)"
+    return f"substr(array_join({of}, ''), int(({start}) % {size}) + 1, greatest({n}, 0))"
+
+
+def running(items: str, zero: str, kind: str, step: str, end: str) -> str:
+    """SQL of a walk over an array that carries ``a.at`` and appends to the array ``a.out``.
+
+    ``step`` gives the next ``struct(at, out)`` for the item ``s``; ``end`` turns ``a`` into the
+    outcome.  Appending copies an array, so items are taken in blocks that each append to
+    their own.
+    """
+    blocks = f"transform(sequence(1, greatest(size({items}), 1), {_BLOCK}), i -> slice({items}, i, {_BLOCK}))"
+    block = f"aggregate(b, struct(o.at as at, cast(array() as {kind}) as out), (a, s) -> {step})"
+    joined = f"element_at(transform(array({block}), x -> struct(x.at as at, concat(o.out, array(x.out)) as out)), 1)"
+    whole = f"aggregate({blocks}, struct({zero} as at, cast(array() as array<{kind}>) as out), (o, b) -> {joined})"
+    return f"element_at(transform(transform(array({whole}), o -> struct(o.at as at, flatten(o.out) as out)), a -> {end}), 1)"
+
+
 def matches(df: DataFrame, text: str, name: str, pattern: str, needs: str | None) -> DataFrame:
     """``df`` with the placed matches of a pattern in column ``name``."""
     look = f"regexp_extract_all({text}, {literal(pattern)}, 0)"

@@ -3,13 +3,16 @@
 1. Base recognisers give seed spans (e-mail, IP address, card, phone), exactly.
 2. Base spans are cut out.  Candidates are the spans themselves, each remaining word that
    holds a digit or an at sign, and runs of such words that together have the shape of a
-   phone or card and hold none that is long enough alone.  The two words before one, and
-   the words on either side of it, are its lexical patterns; a base span or a number among
-   them counts as a word, the same for all of a kind.
+   phone or card and hold none that is long enough alone.  The two words before one, the
+   words on either side of it, and each of these alone are its lexical patterns; a base
+   span or a number among them counts as a word, the same for all of a kind.  Long words of
+   lower-case hexadecimal digits are the seeds of a fifth kind, ``secret``.  They are no
+   base spans: like any other candidate they are marked only where a pattern says so.
 3. The graph of patterns and candidate strings is scored in rounds: a pattern by the
    share of its strings that are known identifiers of a kind, a string by the patterns
    it stands in.
-4. Patterns of high confidence and support mark further candidates of a fitting shape.
+4. Patterns of high confidence and support mark further candidates of a fitting shape.  A
+   single word needs more support, as there are few strings in most of a word's places.
    They are looked up with spans and numbers as words and without.  Of candidates that
    overlap the surest stays, then that of the most usual number of digits.
 
@@ -27,14 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.sizing import cut_lineage
-from tabloom.llm.matches import literal, matches
+from tabloom.llm.matches import in_blocks, literal, matches, piece, running
 from tabloom.llm.places import by_place
 
 # The kinds and what the base recognisers accept.  Possessive repeats and
 # the guards at the start keep long runs linear without changing what is found.
 KINDS = ("email", "ip", "card", "phone")
-# What a redacted span is replaced by.
-MARKS = tuple(f"[{k.upper()}]" for k in KINDS)
+# A kind without base recogniser, whose spans all come from patterns.
+ALL_KINDS = (*KINDS, "secret")
+# What a redacted span is replaced by; those of the base kinds stand for contact data.
+ALL_MARKS = tuple(f"[{k.upper()}]" for k in ALL_KINDS)
+MARKS = ALL_MARKS[: len(KINDS)]
+# What seeds the fifth kind, and what it may look like (in lower case).
+SECRET_SEED = "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
+SECRET_SHAPE = "^(?=.*[0-9])(?=.*[a-z])[0-9a-z_+/=-]{16,}$"
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
@@ -49,8 +58,8 @@ RUN_WORDS = 19
 WHOLE_DIGITS = 9
 # Digits that identifiers of a kind usually have.
 USUAL_DIGITS = {"card": 16, "phone": 10}
-# Contexts are taken from blocks of so many code points, as finding a place in a long text is slow.
-BLOCK = 4096
+# Pieces are taken from blocks of so many code points, as finding a place in a long text is slow.
+BLOCK = 1024
 # Where a base span is cut out it leaves a mark: a private-use sign for its kind.
 _CUT = [chr(0xE000 + n) for n in range(len(KINDS))]
 # What numbers in a context are read as.
@@ -61,6 +70,8 @@ CONTEXT = 96
 ROUNDS = 3
 CONFIDENCE = 0.85
 SUPPORT = 5
+# As many times the support a pattern of a single word must have.
+SINGLE_WORD = 4
 
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -88,7 +99,7 @@ def _valid(kind: str, m: str) -> str:
 
 def _joined(spans: str) -> Column:
     """``kind:start:end`` of an array of ``(kind, start, end)``, kinds in their order."""
-    names = f"array({', '.join(repr(k) for k in KINDS)})"
+    names = f"array({', '.join(repr(k) for k in ALL_KINDS)})"
     return F.expr(
         f"array_join(transform(array_sort({spans}), s -> concat(element_at({names}, s.kind + 1), ':', s.start, ':', s.end)), ',')"
     )
@@ -101,6 +112,7 @@ def _shape_fits(kind: str, x: str) -> str:
         "ip": f"{x} rlike '^[0-9A-Fa-f]*(?:[:.][0-9A-Fa-f]*){{3,}}$'",
         "card": f"({digits} between 12 and 19 and {x} rlike '^[0-9 ./-]+$')",
         "phone": f"({digits} between 7 and 15 and {x} rlike '^[0-9 ()./+-]+$')",
+        "secret": f"{x} rlike '{SECRET_SHAPE}'",
     }[kind]
 
 
@@ -115,11 +127,33 @@ def _far(x: str) -> str:
 
 # Spans by start: one that overlaps the last kept takes its place if it is better or as good and longer.
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-_SWEEP = f"""aggregate(more, struct(cast(array() as {_SPAN}) as kept, cast(null as struct<start:int,end:int,best:struct<conf:double,near:int,minus:int>>) as last),
-  (a, s) -> if(a.last is null or s.start >= a.last.end,
-    struct(if(a.last is null, a.kept, concat(a.kept, array(struct(-a.last.best.minus as kind, a.last.start as start, a.last.end as end)))) as kept, s as last),
-    struct(a.kept as kept, if((s.best.conf, s.best.near, s.end - s.start) > (a.last.best.conf, a.last.best.near, a.last.end - a.last.start), s, a.last) as last)),
-  a -> if(a.last is null, a.kept, concat(a.kept, array(struct(-a.last.best.minus as kind, a.last.start as start, a.last.end as end)))))"""
+_OPEN = "struct<start:int,end:int,best:struct<conf:double,near:int,minus:int>>"
+_CLOSED = "struct(-a.at.best.minus as kind, a.at.start as start, a.at.end as end)"
+_SWEEP = running(
+    "more",
+    f"cast(null as {_OPEN})",
+    _SPAN,
+    "struct(if(a.at is null or s.start >= a.at.end or"
+    " (s.best.conf, s.best.near, s.end - s.start) > (a.at.best.conf, a.at.best.near, a.at.end - a.at.start), s, a.at) as at,"
+    f" if(a.at is null or s.start < a.at.end, a.out, concat(a.out, array({_CLOSED}))) as out)",
+    f"if(a.at is null, a.out, concat(a.out, array({_CLOSED})))",
+)
+
+
+def _replaced(blocks: str, length: str, spans: str, by: str, gap: str) -> str:
+    """SQL of a text, given in blocks, with its spans replaced by ``by``, of overlapping ones the first.
+
+    ``gap`` stands for the code points of a later one beyond those before it.
+    """
+    by_start = f"array_sort(transform({spans}, s -> struct(s.start as start, s.kind as kind, s.end as end)))"
+    return running(
+        by_start,
+        "0",
+        "array<string>",
+        f"struct(greatest(a.at, s.end) as at, concat(a.out, if(s.start >= a.at, array({piece(blocks, 'a.at', 's.start - a.at', BLOCK)}, {by}),"
+        f" array({gap}))) as out)",
+        f"concat(array_join(a.out, ''), {piece(blocks, 'a.at', f'{length} - a.at', BLOCK)})",
+    )
 
 
 def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -133,26 +167,19 @@ def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         df = matches(df, "txt", f"m_{kind}", PATTERNS[kind], needs)
         parts.append(
             f"transform(filter(m_{kind}, s -> {_valid(kind, 's.found')}),"
-            f" s -> struct({number} as kind, s.start as start, s.end as end))"
+            f" s -> struct({number} as kind, s.start as start, s.end as end, s.found as found))"
         )
-    df = df.withColumn("base", F.expr(f"concat({', '.join(parts)})"))
+    df = df.withColumn("seeds", F.expr(f"concat({', '.join(parts)})"))
+    df = df.withColumn("base", F.expr("transform(seeds, s -> struct(s.kind as kind, s.start as start, s.end as end))"))
     # The text with base spans cut out: line breaks that end every run, and the kind's mark.
     marks = f"array({', '.join(repr(c) for c in _CUT)})"
-    by_start = "array_sort(transform(base, s -> struct(s.start as start, s.kind as kind, s.end as end)))"
-    cut = "concat('\\n', element_at({}, s.kind + 1), repeat('\\n', s.end - s.start - 2))".format(marks)
-    rest = "repeat('\\n', greatest(s.end - a.at, 0))"
-    df = df.withColumn(
-        "cut",
-        F.expr(
-            f"if(size(base) = 0, txt, aggregate({by_start}, struct(0 as at, cast(array() as array<string>) as out), (a, s) ->"
-            f" struct(greatest(a.at, s.end) as at, concat(a.out, if(s.start >= a.at,"
-            f" array(substr(txt, a.at + 1, s.start - a.at), {cut}), array({rest}))) as out),"
-            " a -> concat(array_join(a.out, ''), substr(txt, a.at + 1))))"
-        ),
-    )
+    mark = f"concat('\\n', element_at({marks}, s.kind + 1), repeat('\\n', s.end - s.start - 2))"
+    df = df.withColumn("blocks", F.expr(f"if(size(base) = 0, null, {in_blocks('txt', BLOCK)})"))
+    cut = _replaced("blocks", "length(txt)", "base", mark, "repeat('\\n', greatest(s.end - a.at, 0))")
+    df = df.withColumn("cut", F.expr(f"if(size(base) = 0, txt, {cut})"))
     df = matches(df, "cut", "spots", WORD, None)
-    df = df.withColumn("blocks", F.expr(f"transform(sequence(0, length(cut), {BLOCK}), i -> substr(cut, i + 1, {BLOCK}))"))
-    before = _from_blocks(f"greatest(s.start - {CONTEXT}, 0)", f"least(s.start, {CONTEXT})")
+    df = df.withColumn("blocks", F.expr(in_blocks("cut", BLOCK)))
+    before = piece("blocks", f"greatest(s.start - {CONTEXT}, 0)", f"least(s.start, {CONTEXT})", BLOCK)
     df = df.withColumn(
         "spots",
         F.expr(
@@ -189,13 +216,13 @@ def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
     several = " or ".join(_shape_fits(k, "s.found") for k in ("phone", "card"))
     own = f"filter({clean}, s -> s.end > s.start and (s.found not like '% %' or {several}))"
-    seeds = "transform(base, s -> struct(s.start as start, s.end as end, substr(txt, s.start + 1, s.end - s.start) as found, s.kind as kind, true as tells))"
+    seeds = "transform(seeds, s -> struct(s.start as start, s.end as end, s.found as found, s.kind as kind, true as tells))"
     df = df.withColumn("own", F.expr(f"concat({seeds}, {own})"))
     around = (
         f"transform(own, s -> struct(s.start as start, s.end as end, s.found as found, s.kind as kind, s.tells as tells, {before} as left,"
-        f" {_from_blocks('s.end', str(CONTEXT))} as right))"
+        f" {piece('blocks', 's.end', str(CONTEXT), BLOCK)} as right))"
     )
-    known = ", ".join(f"s.kind = {n}" for n in range(len(KINDS)))
+    known = ", ".join(f"s.kind = {n}" for n in range(len(KINDS))) + f", s.kind < 0 and s.found rlike '{SECRET_SEED}'"
     letters = {"seen": f"\\\\p{{L}}{_NUMBER}{''.join(_CUT)}", "bare": "\\\\p{L}"}
     split = ", ".join(
         f"split(trim(regexp_replace(regexp_replace(lower(s.{side}), '[0-9]+', '{_NUMBER}'), '[^{of}]+', ' ')), ' ') as {name}_{side}"
@@ -211,17 +238,19 @@ def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.withColumn("candidates", F.expr(candidates)).select("doc_id", "key", "base", "candidates")
 
 
-def _from_blocks(start: str, n: str) -> str:
-    """SQL of ``n`` code points, at most a block, after the first ``start`` of the text."""
-    block = lambda more: f"coalesce(get(blocks, int(({start}) div {BLOCK}) + {more}), '')"
-    return f"substr(concat({block(0)}, {block(1)}), int(({start}) % {BLOCK}) + 1, {n})"
-
-
 def _patterns(words: str) -> str:
     """SQL array of the patterns of ``s`` from the words on its sides."""
     left, right = f"s.{words}_left", f"s.{words}_right"
     two = f"concat('2|', array_join(slice({left}, greatest(size({left}) - 1, 1), 2), ' '))"
-    return f"array({two}, concat('1|', element_at({left}, -1), '|', element_at({right}, 1)))"
+    last, first = f"element_at({left}, -1)", f"element_at({right}, 1)"
+    single = f"filter(array(concat('L|', {last}), concat('R|', {first})), p -> length(p) > 2)"
+    return f"concat(array({two}, concat('1|', {last}, '|', {first})), {single})"
+
+
+def _strong(kind: str, confidence: float, support: int, conf: str | None = None, hits: str | None = None) -> str:
+    """SQL condition on a scored pattern."""
+    needs = f"if(pattern like 'L|%' or pattern like 'R|%', {support * SINGLE_WORD}, {support})"
+    return f"({conf or f'conf_{kind}'} >= {confidence} and {hits or f'hits_{kind}'} >= {needs})"
 
 
 def pattern_scores(
@@ -234,48 +263,48 @@ def pattern_scores(
     edges = cut_lineage(
         spots.select("found", F.explode("patterns").alias("pattern")).distinct()
     )
-    fits = {k: F.expr(_shape_fits(k, "found")) for k in KINDS}
+    fits = {k: F.expr(_shape_fits(k, "found")) for k in ALL_KINDS}
     seeds = spots.groupBy("found").agg(
-        *(F.max(F.element_at("known", n + 1)).cast("double").alias(f"s_{k}") for n, k in enumerate(KINDS))
+        *(F.max(F.element_at("known", n + 1)).cast("double").alias(f"s_{k}") for n, k in enumerate(ALL_KINDS))
     )
     seeds = cut_lineage(seeds)
     scores = seeds
     for turn in range(rounds):
         # A string that is not known speaks against a kind, half as much if its shape fits.
-        against = {k: F.when(fits[k], 0.5).otherwise(1.0) * (1 - F.col(f"s_{k}")) for k in KINDS}
+        against = {k: F.when(fits[k], 0.5).otherwise(1.0) * (1 - F.col(f"s_{k}")) for k in ALL_KINDS}
         patterns = edges.join(scores, "found").groupBy("pattern").agg(
-            *(F.sum(f"s_{k}").alias(f"hits_{k}") for k in KINDS),
-            *(F.sum(against[k]).alias(f"wrong_{k}") for k in KINDS),
+            *(F.sum(f"s_{k}").alias(f"hits_{k}") for k in ALL_KINDS),
+            *(F.sum(against[k]).alias(f"wrong_{k}") for k in ALL_KINDS),
         )
-        conf = {k: F.col(f"hits_{k}") / (F.col(f"hits_{k}") + F.col(f"wrong_{k}") + 0.25) for k in KINDS}
+        conf = {k: F.col(f"hits_{k}") / (F.col(f"hits_{k}") + F.col(f"wrong_{k}") + 0.25) for k in ALL_KINDS}
         patterns = cut_lineage(
             patterns.select(
                 "pattern",
-                *(f"hits_{k}" for k in KINDS),
-                *(conf[k].alias(f"conf_{k}") for k in KINDS),
+                *(f"hits_{k}" for k in ALL_KINDS),
+                *(conf[k].alias(f"conf_{k}") for k in ALL_KINDS),
             )
         )
         if turn == rounds - 1:
             return patterns
         strong = patterns.filter(
-            " or ".join(f"(conf_{k} >= {confidence} and hits_{k} >= {support})" for k in KINDS)
+            " or ".join(_strong(k, confidence, support) for k in ALL_KINDS)
         )
         # A string is an identifier unless all of its strong patterns are wrong.
         doubt = {
             k: F.when(
-                (F.col(f"conf_{k}") >= confidence) & (F.col(f"hits_{k}") >= support) & fits[k],
+                F.expr(_strong(k, confidence, support)) & fits[k],
                 F.log(1 - F.least(F.col(f"conf_{k}"), F.lit(0.99))),
             ).otherwise(0.0)
-            for k in KINDS
+            for k in ALL_KINDS
         }
         reached = (
             edges.join(strong, "pattern")
             .groupBy("found")
-            .agg(*((1 - F.exp(F.sum(doubt[k]))).alias(f"r_{k}") for k in KINDS))
+            .agg(*((1 - F.exp(F.sum(doubt[k]))).alias(f"r_{k}") for k in ALL_KINDS))
         )
         scores = seeds.join(reached, "found", "left").select(
             "found",
-            *(F.greatest(f"s_{k}", F.coalesce(f"r_{k}", F.lit(0.0))).alias(f"s_{k}") for k in KINDS),
+            *(F.greatest(f"s_{k}", F.coalesce(f"r_{k}", F.lit(0.0))).alias(f"s_{k}") for k in ALL_KINDS),
         )
     return patterns
 
@@ -307,16 +336,16 @@ def spans(
                         F.col(f"hits_{k}").alias("hits"),
                         F.lit(n).alias("kind"),
                     )
-                    for n, k in enumerate(KINDS)
+                    for n, k in enumerate(ALL_KINDS)
                 )
             )
         ).alias("x"),
-    ).select("pattern", "x.*").filter((F.col("conf") >= confidence) & (F.col("hits") >= support))
+    ).select("pattern", "x.*").filter(_strong("", confidence, support, "conf", "hits"))
     # Base spans need no looking up.
-    unseen = spots.filter("not exists(known, k -> k)").select(
+    unseen = spots.filter(f"not exists(slice(known, 1, {len(KINDS)}), k -> k)").select(
         "doc_id", "key", "start", "end", "found", F.explode("looks").alias("pattern")
     )
-    fits = F.expr("case kind " + " ".join(f"when {n} then {_shape_fits(k, 'found')}" for n, k in enumerate(KINDS)) + " end")
+    fits = F.expr("case kind " + " ".join(f"when {n} then {_shape_fits(k, 'found')}" for n, k in enumerate(ALL_KINDS)) + " end")
     found = (
         unseen.join(strong, "pattern")
         .filter(fits)
@@ -369,16 +398,10 @@ def redacted(
     joined = keyed.join(
         found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left"
     )
-    names = f"array({', '.join(map(repr, MARKS))})"
-    source = f"`{text}`"
-    by_start = "array_sort(transform(__spans, s -> struct(s.start as start, s.kind as kind, s.end as end)))"
-    new = (
-        f"aggregate({by_start}, struct(0 as at, cast(array() as array<string>) as out), (a, s) -> if(s.start >= a.at,"
-        f" struct(s.end as at, concat(a.out, array(substr({source}, a.at + 1, s.start - a.at), element_at({names}, s.kind + 1))) as out),"
-        " struct(greatest(a.at, s.end) as at, a.out as out)),"
-        f" a -> concat(array_join(a.out, ''), substr({source}, a.at + 1)))"
-    )
+    names = f"array({', '.join(map(repr, ALL_MARKS))})"
+    new = _replaced("__blocks", f"length(`{text}`)", "__spans", f"element_at({names}, s.kind + 1)", "''")
     changed = F.col("__spans").isNotNull()
+    joined = joined.withColumn("__blocks", F.when(changed, F.expr(in_blocks(f"`{text}`", BLOCK))))
     out = joined.withColumn("__new", F.when(changed, F.expr(new)).otherwise(F.col(text)))
     columns = []
     for name, kind in docs.dtypes:

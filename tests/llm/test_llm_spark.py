@@ -530,3 +530,69 @@ def test_columns_named_like_helpers_pass_through(spark, stage):
     got = out.collect()
     assert got and all(tuple(r)[: len(HELPERS)] == tuple(HELPERS) for r in got)
     assert sorted(tuple(r)[len(HELPERS) :] for r in got) == sorted(map(tuple, stage(docs).collect()))
+
+
+def test_pii_finds_secrets_by_their_words(spark):
+    import random
+
+    rnd = random.Random(3)
+    value = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    fill = lambda: "".join(rnd.choice("bcdfghklm") for _ in range(6))
+    rows = [(i, f'{fill()} token = "{value()}" {fill()}') for i in range(60)]
+    rows += [(i, f'{fill()} token = "{value().upper()}"!! {fill()}') for i in range(60, 64)]
+    # Long words elsewhere, short numbers after the same word: neither is a secret.
+    rows += [(i, f"{fill()} {value()} {fill()} token 12 {fill()} {value().upper()}") for i in range(64, 67)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(df).collect()}
+    assert all(got[i] == "secret:16:56" for i in range(64)) and not any(got[i] for i in range(64, 67))
+    text = {r["doc_id"]: r["text"] for r in pii.redacted(df, n_chars=None).collect()}
+    assert all('token = "[SECRET]"' in text[i] for i in range(64)) and text[64] == rows[64][1]
+
+
+def test_pii_pattern_scores_against_brute_force(spark):
+    """The same rounds over dictionaries."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    strings = [f"+1555000{n}" for n in range(30)] + [f"555-010{n}" for n in range(10)] + [f"x{n}" for n in range(20)]
+    rows = []
+    for _ in range(600):
+        n = rnd.randrange(60)
+        place = rnd.choice([0, 1, 1] if n < 30 else [1, 2] if n < 40 else [2, 2, 2, 1])
+        pattern = rnd.choice([["L|call", "2|please call"], ["L|ring", "1|ring|at", "L|call"], ["R|pages", "2|see the"]][place])
+        rows.append((strings[n], [k == "phone" and n < 30 for k in pii.ALL_KINDS], [pattern]))
+    spots = spark.createDataFrame(rows, "found string, known array<boolean>, patterns array<string>")
+    got = {r["pattern"]: r for r in pii.pattern_scores(spots, 3, 0.6, 5).collect()}
+    edges = {(f, p) for f, _, ps in rows for p in ps}
+    at = pii.ALL_KINDS.index("phone")
+    seed = {f: float(known[at]) for f, known, _ in rows}
+    fits = {f: 7 <= len(re.sub("[^0-9]", "", f)) <= 15 and bool(re.fullmatch("[0-9 ()./+-]+", f)) for f in seed}
+    score = dict(seed)
+    for _ in range(3):
+        hits, wrong = {}, {}
+        for f, p in edges:
+            hits[p] = hits.get(p, 0) + score[f]
+            wrong[p] = wrong.get(p, 0) + (0.5 if fits[f] else 1.0) * (1 - score[f])
+        conf = {p: hits[p] / (hits[p] + wrong[p] + 0.25) for p in hits}
+        strong = {p for p in hits if conf[p] >= 0.6 and hits[p] >= (20 if p[:2] in ("L|", "R|") else 5)}
+        doubt = {}
+        for f, p in edges:
+            if p in strong and fits[f]:
+                doubt[f] = doubt.get(f, 0.0) + math.log(1 - min(conf[p], 0.99))
+        score = {f: max(s, 1 - math.exp(doubt.get(f, 0.0))) for f, s in seed.items()}
+    assert strong and set(got) == set(hits) and any(0 < s < 1 for s in score.values())
+    for p, r in got.items():
+        assert math.isclose(r["conf_phone"], conf[p], abs_tol=1e-9) and math.isclose(r["hits_phone"], hits[p], abs_tol=1e-9)
+
+
+def test_pii_many_spans_in_a_text(spark):
+    """Walks over spans go in blocks: a text of thousands gives what its parts give."""
+    parts = [f"user{i}@mail{i % 7}.example.com" if i % 3 else f"10.0.{i % 256}.{i % 200}" for i in range(10_000)]
+    text = " é ".join(parts)
+    want = base_spans(text)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.span_digests(df).collect()[0]
+    assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and r["spans"] == ",".join(want)
+    clean = pii.redacted(df, n_chars=None).collect()[0]["text"]
+    assert clean == " é ".join("[EMAIL]" if i % 3 else "[IP]" for i in range(10_000))
