@@ -13,7 +13,8 @@ product of the marginals' lengths, whatever the corpus; they are checked against
 
 Defined results: null sources and languages are ``rest``.  A null or empty text has no
 tokens, is of topic ``prose`` and is sampled like its cell; a cell without tokens has
-weight one.  Rows with equal ids are drawn alike.  Target shares of cells that do not
+weight one.  Rows with equal ids and texts are drawn alike, others apart, also where an
+id is null or very frequent.  Target shares of cells that do not
 occur are spread over the others, with a warning.  Where the targets contradict each other
 on a table (a source that is a language's only one, with another share), no weights reach
 them and raking does not settle; rows are then drawn at most once, as many as the budget
@@ -46,6 +47,9 @@ UNSETTLED = 0.005
 # Copies of a row that are numbered in one array.
 COPIES_AT_ONCE = 4096
 SEED = 42
+# A text is code or a list if it has at least one of their signs in so many code points.
+CODE_EVERY = 2000
+LIST_EVERY = 2000
 
 # What the registered query and the pipeline aim at: shares of tokens.
 TARGETS: dict[str, dict[str, float]] = {
@@ -65,15 +69,21 @@ def tokens(text: str) -> Column:
 def topic(text: str) -> Column:
     """A coarse topic by rules: contact data, code or secrets, lists, else prose.
 
-    The marks that redaction leaves count as the contact data they stand for.
+    Any contact data make a text one of contact; code and lists need a share of their signs
+    in the whole text, so that a few in a long text change nothing.  The marks that redaction leaves count as the contact data they stand for.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Plain searches for single signs cost far less than patterns over whole texts.
     has = lambda signs: reduce(or_, (F.contains(body, F.lit(s)) for s in signs))
+
+    def often(signs: str, every: int) -> Column:
+        found = F.length(body) - F.length(F.translate(body, signs, ""))
+        return has(signs) & (found * every >= F.length(body))
+
     return (
         F.when(has("@") | (has("+") & body.rlike(r"\+[0-9]")) | (has("[") & has(MARKS)), "contact")
-        .when(has("{};="), "code")
-        .when(has("|*#"), "list")
+        .when(often("{};=", CODE_EVERY), "code")
+        .when(often("|*#", LIST_EVERY), "list")
         .otherwise("prose")
     )
 
@@ -214,9 +224,9 @@ def _fit_cells(counted: DataFrame, targets: dict[str, dict[str, float]], budget:
     return plan([(*r["__cell"], r["n"] or 0) for r in sums], targets, budget)
 
 
-def draw(key: Column, seed: int = SEED) -> Column:
+def draw(key: list[Column], seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on the key alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def marked(celled: DataFrame, mix: Plan) -> DataFrame:
@@ -236,7 +246,7 @@ def marked(celled: DataFrame, mix: Plan) -> DataFrame:
     ).drop("__index")
 
 
-def repeated(rows: DataFrame, mix: Plan, key: Column, seed: int) -> DataFrame:
+def repeated(rows: DataFrame, mix: Plan, key: list[Column], seed: int) -> DataFrame:
     """Each row with ``__p`` as often as it is sampled, ``__copy`` numbers its copies from one."""
     whole = F.floor("__p")
     n = (whole + (draw(key, seed) < F.col("__p") - whole).cast("long")).alias("n")
@@ -264,7 +274,7 @@ def sampled(
     rows, (key, body, *places) = by_place(docs, doc_id, text, *targets)
     celled = with_cells(rows, targets, body, dict(zip(targets, places)))
     mix = _fit_cells(celled.select("__cell", tokens(body).alias("__n")), targets, budget)
-    out = repeated(marked(celled, mix), mix, F.col(key), seed)
+    out = repeated(marked(celled, mix), mix, [F.col(key), F.xxhash64(F.col(body).cast("string"))], seed)
     return out.drop("__cell", "__weight", "__p", "__copy").toDF(*docs.columns)
 
 
@@ -276,11 +286,11 @@ def report(docs: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str =
     rows, (key, body, *places) = by_place(docs, doc_id, text, *targets)
     counted = cut_lineage(
         with_cells(rows, targets, body, dict(zip(targets, places))).select(
-            F.col(key).alias("__id"), "__cell", tokens(body).cast("long").alias("__n")
+            F.col(key).alias("__id"), F.xxhash64(F.col(body).cast("string")).alias("__text"), "__cell", tokens(body).cast("long").alias("__n")
         )
     )
     mix = _fit_cells(counted, targets, budget)
-    out = repeated(marked(counted, mix), mix, F.col("__id"), seed)
+    out = repeated(marked(counted, mix), mix, [F.col("__id"), F.col("__text")], seed)
     return out.select(
         F.col("__id").alias("doc_id"),
         *(F.col(f"__cell.{d}").alias(d) for d in targets),

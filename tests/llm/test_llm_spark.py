@@ -596,3 +596,55 @@ def test_pii_many_spans_in_a_text(spark):
     assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and r["spans"] == ",".join(want)
     clean = pii.redacted(df, n_chars=None).collect()[0]["text"]
     assert clean == " é ".join("[EMAIL]" if i % 3 else "[IP]" for i in range(10_000))
+
+
+def test_mixing_draws_rows_of_one_id_apart(spark):
+    rows = [(None if k % 3 else 7, f"some words of text {k}", "x", "a") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"x": 1.0}}
+    out = mixing.report(df, targets, budget=0.25)
+    assert abs(out.count() - 1500) < 150 and out.filter("doc_id is null").count() > 800
+    assert mixing.sampled(df, targets, budget=0.25).count() == out.count()
+
+
+def test_mixing_report_against_brute_force(spark):
+    """Cells, raked weights and copies of the query's rows, recomputed one by one."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def topic(text):
+        count = lambda signs: sum(text.count(s) for s in signs)
+        if "@" in text or re.search(r"\+[0-9]", text) or any(m in text for m in pii.MARKS):
+            return "contact"
+        if count("{};=") and count("{};=") * mixing.CODE_EVERY >= len(text):
+            return "code"
+        return "list" if count("|*#") and count("|*#") * mixing.LIST_EVERY >= len(text) else "prose"
+
+    cells, sums = {}, {}
+    hashed = docs.select("*", mixing.draw([F.col("doc_id"), F.xxhash64("text")]).alias("u")).collect()
+    for r in hashed:
+        text = r["text"] or ""
+        cell = tuple(v if v in mixing.TARGETS[d] else "rest" for d, v in zip(mixing.TARGETS, (r["source"], r["lang"], topic(text))))
+        n = len(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", text))
+        cells[r["doc_id"]] = (cell, n, r["u"])
+        sums[cell] = sums.get(cell, 0) + n
+    total = sum(sums.values())
+    weight = {c: n / total for c, n in sums.items()}
+    for _ in range(3000):
+        for axis, shares in enumerate(mixing.TARGETS.values()):
+            have = {}
+            for c, w in weight.items():
+                have[c[axis]] = have.get(c[axis], 0) + w
+            rest = sum(n for c, n in sums.items() if c[axis] == "rest") / total
+            there = {v: g for v, g in shares.items() if have.get(v)}
+            goal = {v: g / sum(there.values()) * (1 - rest) for v, g in there.items()} | {"rest": rest}
+            weight = {c: w * goal[c[axis]] / have[c[axis]] if have[c[axis]] else w for c, w in weight.items()}
+    got = {}
+    for r in mixing.report(docs).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+        assert (r["source"], r["lang"], r["topic"]) == cells[r["doc_id"]][0] and r["n_tokens"] == cells[r["doc_id"]][1]
+    for key, (cell, _, u) in cells.items():
+        p = mixing.BUDGET * (weight[cell] * total / sums[cell] if sums[cell] else 1)
+        if abs(u - p % 1) > 1e-6:
+            assert got.get(key, 0) == int(p) + (u < p % 1), (key, cell, p)
