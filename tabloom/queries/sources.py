@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import shared_folder
-from ..sources.dialect import detect_dialects, dialect_report, list_files
+from ..sources.dialect import detect_dialects, dialect_report, list_files, with_records
 from ..sources.tables import (
     coverage_report,
     read_by_coverage,
@@ -90,7 +90,7 @@ def csv_most_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
     data.write.csv(path, sep=";", header=True, quote="\u0000")
     files = list_files(spark, f"{path}/*.csv")
-    separators = {d.separator for d in detect_dialects(spark, files, rule="max_columns")}
+    separators = {d.separator for d in with_records(detect_dialects(spark, files, rule="max_columns"))}
     (separator,) = separators
     out = read_csv_robust(spark, files, rule="max_columns")
     return out.select(

@@ -55,7 +55,8 @@ class Dialect:
     """How one file is to be read; a folder also has the dialects of its files as ``parts``.
 
     A folder's encoding and separator are those of its largest file, its header the columns
-    of all files.
+    of all files.  ``alone`` has the headers, by separator, of a file without a record that
+    no rule could be applied to.
     """
 
     path: str
@@ -68,6 +69,7 @@ class Dialect:
     reason: str | None = None
     multiline: bool = False
     parts: list[Dialect] = field(default_factory=list)
+    alone: list[list[str]] = field(default_factory=list)
 
     @property
     def files(self) -> list[Dialect]:
@@ -301,6 +303,7 @@ def _choose(row, facts, rule: str) -> Dialect:
     if chosen is None:
         out.attempts = len(ENCODINGS) * len(SEPARATORS)
         out.reason = "no separator gives a usable table"
+        out.alone = [] if max(row["rows"], default=0) else row["header"]
         return out
     out.encoding = "utf-8" if utf8 else "latin-1"
     out.attempts = tried if utf8 else tried + len(order)
@@ -336,6 +339,16 @@ def detect_dialects(
     return [_gathered(path, i, found) for i, (path, found) in enumerate(zip(paths, chosen))]
 
 
+def with_records(dialects: Sequence[Dialect]) -> list[Dialect]:
+    """The dialects of files that are parts of one table, less those of a header alone.
+
+    Writers leave such parts where a task had no rows; they add none.  Only a header that
+    another file has too tells such a part.
+    """
+    known = {(f.separator, tuple(f.header)) for d in dialects for f in d.files if not f.reason}
+    return [d for d in dialects if not any((s, tuple(h)) in known for s, h in zip(SEPARATORS, d.alone))]
+
+
 def _gathered(path: str, priority: int, found: list[tuple]) -> Dialect:
     """The dialect of a path from those of its files, which come with their heads."""
     if len(found) == 1 and found[0][0].path == path:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.columns import col, text_columns
 from ..functions.names import clean_name, match_names, unique_names
 from ..functions.statistics import wide_aggregate
-from .dialect import SPARK_ENCODING, Dialect, detect_dialects
+from .dialect import SPARK_ENCODING, Dialect, detect_dialects, with_records
 
 # Cell texts that mean "missing".
 MISSING_TOKENS = [
@@ -110,10 +110,10 @@ def read_csv_robust(
 
     Files may differ in encoding, separator and header, and cells may hold line breaks
     (``multiline`` forces or forbids them).  A file that no dialect fits
-    is an error.  With ``infer`` missing-value texts become null and columns take the
+    is an error, unless it is another file's header alone.  With ``infer`` missing-value texts become null and columns take the
     narrowest type that holds all of their values.
     """
-    dialects = detect_dialects(spark, list(paths), rule, whole=True)
+    dialects = with_records(detect_dialects(spark, list(paths), rule, whole=True))
     for d in (f for d in dialects for f in d.files):
         if separator and d.separator != separator:
             d.reason = d.reason or f"not a table under separator {separator!r}"

@@ -195,3 +195,33 @@ def test_folder_with_parts_of_a_header_alone(spark, tmp_path):
     write(folder, "p0.csv", "only\n")
     write(folder, "p1.csv", "only\nx\ny\n")
     assert read_csv_robust(spark, [str(folder)]).count() == 2
+
+
+def test_listed_parts_of_a_header_alone(spark, tmp_path):
+    """Writers leave a header alone where their first task has no rows."""
+    empty = write(tmp_path, "part-0.csv", "k;total;s\n")
+    full = write(tmp_path, "part-1.csv", "k;total;s\n1;2,5;F\n2;3,5;O\n")
+    out = read_csv_robust(spark, [empty, full], rule="max_columns")
+    assert sorted(map(tuple, out.collect())) == [(1, "2,5", "F"), (2, "3,5", "O")]
+    other = write(tmp_path, "other.csv", "k;total\n")
+    with pytest.raises(ValueError, match="no separator"):
+        read_csv_robust(spark, [other, full], rule="max_columns")
+
+
+def test_most_columns_of_a_table_whose_first_split_is_empty(spark, tmp_path):
+    from tabloom.queries.sources import csv_most_columns
+
+    schema = "o_orderkey long, o_totalprice double, o_orderstatus string"
+    orders = spark.createDataFrame([(k, k + 0.5, "F") for k in range(9)], schema)
+    folder = tmp_path / "orders.parquet"
+    orders.limit(0).coalesce(1).write.parquet(f"{folder}/a")
+    orders.coalesce(1).write.parquet(f"{folder}/b")
+    for at in ("a", "b"):
+        for part in (folder / at).glob("*.parquet"):
+            part.rename(folder / f"{at}.parquet")
+    for at in ("a", "b"):
+        for left in (folder / at).iterdir():
+            left.unlink()
+        (folder / at).rmdir()
+    out = csv_most_columns(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(";", k, k + 0.5, "F") for k in range(9)]
