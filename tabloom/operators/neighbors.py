@@ -12,14 +12,16 @@ pair of rows is ever a record, and no group is larger than its bound.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.columns import col
 from ..functions.sizing import cut_lineage
@@ -33,7 +35,9 @@ MAX_BLOCK_ROWS = 50_000
 MAX_PIVOTS = 4_096
 ROWS_PER_PIVOT = 20_000
 # Cells of the distance matrix held at once inside a task.
-MATRIX_CELLS = 8_000_000
+MATRIX_CELLS = 1_000_000
+# Rows for each different one from which on equal rows are answered once.
+REPEATED = 4
 
 
 @dataclass
@@ -100,33 +104,44 @@ def fit_neighbors(
     return Neighbors(rows, k, weights, regression, n_classes)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences, so equal rows are at exactly zero."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, MATRIX_CELLS // max(1, len(b) * a.shape[1]))
-    for s in range(0, len(a), step):
-        out[s : s + step] = np.sqrt(((a[s : s + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float, copy=False)
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(float)
+def _steps(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose matrix with the columns has at most ``MATRIX_CELLS``."""
+    step = max(1, MATRIX_CELLS // max(1, columns))
+    return (slice(s, min(s + step, rows)) for s in range(0, rows, step))
+
+
+def _rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by products, and what each row's may be wrong by."""
+    a_norm, b_norm = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    return a_norm[:, None] + b_norm[None, :] - 2.0 * (a @ b.T), 1e-12 * (a_norm + b_norm.max())
+
+
+def _closest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A pivot as near as any, but for rounding, and the distance to it by differences."""
+    cell = np.empty(len(x), np.int32)
+    for s in _steps(len(x), len(pivots)):
+        cell[s] = _rough(x[s], pivots)[0].argmin(axis=1)
+    return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
 
 
 def _best_of_block(k: int):
     """The k nearest block rows for each chunk row, by distance and then id."""
 
-    def run(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        out = {"__q": [], "__d": [], "__id": [], "label": []}
-        if len(block) and len(chunk):
-            block = block.sort_values("__id", kind="stable")
-            b, q = _matrix(block["__x"]), _matrix(chunk["__x"])
-            ids, labels, names = block["__id"].to_numpy(), block["label"].to_numpy(), chunk["__q"].to_numpy()
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        names, places, distances = [], [], []
+        if block.num_rows and chunk.num_rows:
+            block = block.take(pc.sort_indices(block, [("__id", "ascending")])).combine_chunks()
+            chunk = chunk.combine_chunks()
+            width = len(block["__x"][0])
+            b, q = (_matrix(side["__x"].combine_chunks(), width) for side in (block, chunk))
             take = min(k, len(b))
             b_norm = (b**2).sum(axis=1)
-            step = max(1, MATRIX_CELLS // len(b))
-            for s in range(0, len(q), step):
-                part = q[s : s + step]
+            for s in _steps(len(q), len(b)):
+                part = q[s]
                 # Fast squared distances choose candidates; exact ones decide.
                 p_norm = (part**2).sum(axis=1)
                 rough = p_norm[:, None] + b_norm[None, :] - 2.0 * (part @ b.T)
@@ -134,19 +149,23 @@ def _best_of_block(k: int):
                 limit = np.partition(rough, take - 1, axis=1)[:, take - 1 : take] + slack
                 row, column = np.nonzero(rough <= limit)
                 exact = np.empty(len(row))
-                hop = max(1, MATRIX_CELLS // b.shape[1])
-                for h in range(0, len(row), hop):
-                    diff = part[row[h : h + hop]] - b[column[h : h + hop]]
-                    exact[h : h + hop] = np.sqrt((diff**2).sum(axis=1))
+                for h in _steps(len(row), width):
+                    exact[h] = np.sqrt(((part[row[h]] - b[column[h]]) ** 2).sum(axis=1))
                 order = np.lexsort((column, exact, row))
                 row, column, exact = row[order], column[order], exact[order]
-                first = np.searchsorted(row, np.arange(len(part)))
-                keep = np.arange(len(row)) - first[row] < take
-                out["__q"].append(names[s + row[keep]])
-                out["__d"].append(exact[keep])
-                out["__id"].append(ids[column[keep]])
-                out["label"].append(labels[column[keep]])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < take
+                names.append(s.start + row[keep])
+                places.append(column[keep])
+                distances.append(exact[keep])
+        names, places = (np.concatenate([np.empty(0, np.int64), *v]) for v in (names, places))
+        return pa.table(
+            {
+                "__q": chunk["__q"].take(pa.array(names)),
+                "__d": np.concatenate([np.empty(0), *distances]),
+                "__id": block["__id"].take(pa.array(places)),
+                "label": block["label"].take(pa.array(places)),
+            }
+        )
 
     return run
 
@@ -160,12 +179,33 @@ def nearest_neighbors(
 ) -> DataFrame:
     """``(__q, __d, __id, label, rank)``: the k nearest training rows of each query.
 
-    Ties in distance go to the smaller ``__id``.
+    Ties in distance go to the smaller ``__id``.  Where most rows have equals, queries on
+    the same spot are answered once, from the k smallest ids of every spot.
     """
-    facts = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__x")).alias("d")).first()
+    kinds = F.approx_count_distinct(F.xxhash64("__x")).alias("kinds")
+    facts = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__x")).alias("d"), kinds).first()
     n, d = facts["n"], facts["d"]
     if not n:
         raise ValueError("the training table is empty")
+    if n > REPEATED * facts["kinds"]:
+        spot = Window.partitionBy("__x").orderBy("__id")
+        first = train.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k).drop("__n")
+        # Ids are given to checkpointed rows only: they come out the same when a task is repeated.
+        spots = cut_lineage(queries.select("__x").distinct()).select(F.monotonically_increasing_id().alias("__q"), "__x")
+        first = cut_lineage(first)
+        found = _nearest(first, spots, k, first.count(), d, block_rows, rows_per_pivot)
+        best = found.groupBy("__q").agg(F.collect_list(F.struct("__d", "__id", "label")).alias("best"))
+        answers = spots.join(best, "__q").select("__x", "best")
+        found = queries.join(answers, "__x").select("__q", F.inline("best"))
+    else:
+        found = _nearest(train, queries, k, n, d, block_rows, rows_per_pivot)
+    return found.withColumn("rank", F.row_number().over(_nearest_first())).where(F.col("rank") <= k)
+
+
+def _nearest(
+    train: DataFrame, queries: DataFrame, k: int, n: int, d: int, block_rows: int | None, rows_per_pivot: int
+) -> DataFrame:
+    """``(__q, __d, __id, label)`` with at least the k nearest rows of each query."""
     block_rows = block_rows or max(1, min(MAX_BLOCK_ROWS, BLOCK_NUMBERS // max(d, 1)))
     n_pivots = max(1, min(MAX_PIVOTS, n // rows_per_pivot))
     id_type = train.schema["__id"].dataType.simpleString()
@@ -189,7 +229,7 @@ def nearest_neighbors(
         )
         more = _search(routes.placed, routes.sizes, cut_lineage(others), k, block_rows, types)
         best = first.drop("__n").unionByName(more)
-    return best.withColumn("rank", F.row_number().over(_nearest_first())).where(F.col("rank") <= k)
+    return best
 
 
 def _nearest_first():
@@ -224,7 +264,7 @@ def _search(
     )
     keys = ["__cell", "__block", "__chunk"]
     return (
-        block_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInPandas(_best_of_block(k), types)
+        block_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInArrow(_best_of_block(k), types)
     )
 
 
@@ -245,17 +285,19 @@ def _route(train: DataFrame, n_pivots: int, k: int) -> _Routes | None:
         [r["__x"] for r in train.orderBy(F.xxhash64("__id"), "__id").select("__x").limit(n_pivots).collect()]
     )
 
-    @F.pandas_udf("struct<cell: int, distance: double>")
-    def place(x: pd.Series) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"cell": [], "distance": []})
-        dist = _distances(_matrix(x), pivots)
-        cell = dist.argmin(axis=1)
-        return pd.DataFrame({"cell": cell, "distance": dist[np.arange(len(cell)), cell]})
-
-    placed = train.withColumn("__p", place("__x")).select(
-        "*", F.col("__p.cell").alias("__cell"), F.col("__p.distance").alias("__r")
-    ).drop("__p")
+    width = pivots.shape[1]
+
+    @arrow_udf("struct<cell: int, distance: double>")
+    def place(x: pa.Array) -> pa.Array:
+        cell, distance = _closest(_matrix(x, width), pivots)
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(distance)], ["cell", "distance"])
+
+    # Read for the rings and for both searches.
+    placed = cut_lineage(
+        train.withColumn("__p", place("__x"))
+        .select("*", F.col("__p.cell").alias("__cell"), F.col("__p.distance").alias("__r"))
+        .drop("__p")
+    )
     rings = placed.groupBy("__cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("__r").alias("near"), F.max("__r").alias("far")
     ).collect()  # one row per pivot
@@ -268,21 +310,25 @@ def _route(train: DataFrame, n_pivots: int, k: int) -> _Routes | None:
     if not len(homes):
         return None
 
-    @F.pandas_udf("int")
-    def home(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        return pd.Series(homes[_distances(_matrix(x), pivots[homes]).argmin(axis=1)])
-
-    @F.pandas_udf("array<int>")
-    def reach(x: pd.Series, bound: pd.Series, own: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        dist = _distances(_matrix(x), centres)
-        wide = bound.to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + dist)
-        hit = (dist - far[None, :] <= wide) & (near[None, :] - dist <= wide)
-        hit &= cells[None, :] != own.to_numpy()[:, None]
-        return pd.Series([cells[row].tolist() for row in hit])
+    @arrow_udf("int")
+    def home(x: pa.Array) -> pa.Array:
+        return pa.array(homes[_closest(_matrix(x, width), pivots[homes])[0]])
+
+    @arrow_udf("array<int>")
+    def reach(x: pa.Array, bound: pa.Array, own: pa.Array) -> pa.Array:
+        x, bound, own = _matrix(x, width), bound.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)
+        counts, hits = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+        for s in _steps(len(x), len(cells)):
+            square, wrong = _rough(x[s], centres)
+            least = np.sqrt(np.maximum(square - wrong[:, None], 0.0))
+            most = np.sqrt(np.maximum(square + wrong[:, None], 0.0))
+            wide = bound[s, None] * (1 + 1e-9) + 1e-9 * (1 + most)
+            hit = (least - far[None, :] <= wide) & (near[None, :] - most <= wide)
+            hit &= cells[None, :] != own[s, None]
+            counts.append(hit.sum(axis=1))
+            hits.append(cells[np.nonzero(hit)[1]])
+        ends = np.cumsum(np.concatenate(counts))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hits)))
 
     return _Routes(placed.drop("__r"), {r["__cell"]: r["n"] for r in rings}, home, reach)
 

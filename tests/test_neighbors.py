@@ -78,3 +78,30 @@ def test_votes(spark):
 def test_fewer_rows_than_neighbours(spark):
     t, q = frames(spark, np.eye(3), np.zeros((2, 3)))
     assert nearest_neighbors(t, q, 5).groupBy("__q").count().where("count = 3").count() == 2
+
+
+def test_equal_rows_are_searched_once(spark, monkeypatch):
+    """Few spots with many rows each: no block holds more than k rows of a spot."""
+    from tabloom.operators import neighbors
+
+    met = spark.sparkContext.accumulator(0)
+    real = neighbors._best_of_block
+
+    def counted(k):
+        run = real(k)
+
+        def inner(block, chunk):
+            met.add(block.num_rows * chunk.num_rows)
+            return run(block, chunk)
+
+        return inner
+
+    monkeypatch.setattr(neighbors, "_best_of_block", counted)
+    rng = np.random.default_rng(3)
+    train, queries = rng.integers(0, 3, (500, 2)).astype(float), rng.integers(0, 4, (300, 2)).astype(float)
+    t, q = frames(spark, train, queries)
+    got = {}
+    for r in nearest_neighbors(t, q, 4).orderBy("__q", "rank").collect():
+        got.setdefault(r["__q"], []).append((r["__id"], r["__d"]))
+    assert got == brute(train, queries, 4)
+    assert 0 < met.value <= 2 * 9 * 4 * 16
