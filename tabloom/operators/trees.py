@@ -7,8 +7,9 @@ regression (the variance).  All trees grow level by level together.  Nodes of mo
 feature, the rows of a few hundred bins with their least and largest value.  The measure
 is convex in a side's sums and sublinear, so a split inside a bin reaches at most what
 its neighbours give plus the squares of the bin's own labels.  Only bins that could
-still win are cut again, until none is left; the threshold is then the exact one.  The
-rows of smaller nodes go to one task each, where the rest of the tree is grown.
+still win are looked into: a second pass sends their values to one task each, which tries
+every one, so a level takes two passes whatever the labels.  The threshold is then the
+exact one.  The rows of smaller nodes go to one task each, where the rest of the tree is grown.
 
 Equal splits go to the lower feature and then to the lower value.  Forests draw a row
 for a tree with a Poisson weight that a hash of the row's key gives, and the features of
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +39,16 @@ SMALL_NUMBERS = 6_400_000
 # Rows a task should have, and the rows up to which one shuffle for it is cheap.
 ROWS_PER_TASK = 25_000
 SPREAD_ROWS = 10_000_000
-# Bins of a feature and of a bin that is cut again.
+# Bins of a feature.
 BINS = 256
 # Deepest level; "no limit" means that here, as node numbers double with each level.
 DEEPEST = 30
 # Cells (intervals times bins) that one pass may give.
 CELLS = 1_000_000
+# The same with a number for each class (128 MB), all of which a task holds.
+CLASS_CELLS = 16_000_000
+# Bins that one pass looks into; every task knows where they lie.
+SCANNED = 100_000
 # Numbers of one sorted block while a small node is searched.
 BLOCK = 4_000_000
 
@@ -279,12 +284,6 @@ class TreeModel:
 # --- large nodes --------------------------------------------------------------------
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    """Integers in the order of the doubles, evenly spread over their bits."""
-    bits = (values + 0.0).view(np.int64)
-    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
-
-
 @dataclass
 class Interval:
     """Values of one feature in one node that are counted in bins, and what lies below."""
@@ -331,85 +330,179 @@ def _weights(keys: np.ndarray, tree: int, growth: Growth) -> np.ndarray:
     return draws(keys, tree) if growth.drawn else np.ones(len(keys))
 
 
-_CELL = "slot int, interval int, bin int, cls int, n double, s double, q double, low double, high double"
+_CELL = (
+    "slot int, interval int, n array<double>, s array<double>, q array<double>, low array<double>, high array<double>"
+)
+
 
+def _lists(column: pa.Array) -> np.ndarray:
+    """Lists of one length, none of it too, as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def _cells(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[Interval], edges, growth: Growth) -> DataFrame:
-    """Weights and labels of each bin of each interval; ``edges`` are the first bins."""
+
+def _cell_rows(slots: np.ndarray, intervals: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches of :data:`_CELL` rows from matrices with a row per interval."""
+    step = max(1, BLOCK // max(1, sum(c.shape[1] for c in columns)))
+    for at in range(0, len(intervals), step):
+        held = {"slot": pa.array(slots[at : at + step], pa.int32()), "interval": pa.array(intervals[at : at + step], pa.int32())}
+        for name, c in zip(("n", "s", "q", "low", "high"), columns):
+            part = np.ascontiguousarray(c[at : at + step])
+            ends = pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32())
+            held[name] = pa.ListArray.from_arrays(ends, part.ravel())
+        yield pa.record_batch(held)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal intervals of several tasks in one row."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        intervals, slots = batch["interval"].to_pylist(), batch["slot"].to_pylist()
+        columns = [_lists(batch[c]) for c in ("n", "s", "q", "low", "high")] if intervals else []
+        for i, (interval, slot) in enumerate(zip(intervals, slots)):
+            new = [c[i] for c in columns]
+            old = held.get(interval)
+            if old is None:
+                held[interval] = [slot, *(c.copy() for c in new)]
+                continue
+            for k in (1, 2, 3):
+                old[k] += new[k - 1]
+            np.minimum(old[4], new[3], out=old[4])
+            np.maximum(old[5], new[4], out=old[5])
+    if held:
+        slots = np.array([v[0] for v in held.values()])
+        columns = [np.array([v[k] for v in held.values()]) for k in range(1, 6)]
+        yield from _cell_rows(slots, np.array(list(held)), columns)
+
+
+def _places(done: Trees, large: list[_Large], intervals: list[Interval], growth: Growth):
+    """``found(batches)``: per batch and tree, rows of large nodes and the intervals they are in."""
     place = {(int(t), int(n)): k for k, (t, n) in enumerate(zip(done.tree, done.node))}
     slots = np.full(len(done.tree), -1)
     slots[[place[g.tree, g.node] for g in large]] = np.arange(len(large))
-    trees = sorted({g.tree for g in large})
-    # Intervals of a feature and node lie side by side, from low to high.
-    order = sorted(range(len(intervals)), key=lambda k: (intervals[k].feature, intervals[k].slot, intervals[k].low))
-    by_feature: dict[int, list[int]] = {}
-    for k in order:
-        by_feature.setdefault(intervals[k].feature, []).append(k)
+    chosen = np.array([node_features(g.tree, g.node, growth.features, growth.wanted) for g in large])
+    tried = chosen.shape[1]
     lows, highs = (np.array([getattr(i, side) for i in intervals]) for side in ("low", "high"))
+    # Intervals of a node and feature lie side by side, from low to high.
+    group_of = np.array([i.slot * tried + int(np.searchsorted(chosen[i.slot], i.feature)) for i in intervals])
+    ids = np.lexsort((lows, group_of))
+    starts = np.searchsorted(group_of[ids], np.arange(len(large) * tried + 1))
+    trees = sorted({large[i.slot].tree for i in intervals})
+
+    def found(batches: Iterator[pa.RecordBatch], per_batch: Callable):
+        """``(y, weight, interval, value, feature's part of per_batch(x))`` of each such row and feature."""
+        for x, y, keys in _batches(batches, growth):
+            whole = per_batch(x)
+            for tree in trees:
+                root = done.roots[np.searchsorted(done.tree[done.roots], tree)]
+                w = _weights(keys, tree, growth)
+                drawn = np.flatnonzero(w > 0)
+                slot = slots[done.leaves(x[drawn], root)]
+                held, slot = drawn[slot >= 0], slot[slot >= 0]
+                if not len(held):
+                    continue
+                feature = chosen[slot]
+                v = x[held[:, None], feature].ravel()
+                group = (slot[:, None] * tried + np.arange(tried)).ravel()
+                # The last interval of the row's node that begins at or below its value.
+                at, end = starts[group], starts[group + 1]
+                first = at.copy()
+                while (at < end).any():
+                    middle = (at + end) // 2
+                    below = (at < end) & (lows[ids[np.minimum(middle, len(ids) - 1)]] <= v)
+                    at, end = np.where(below, middle + 1, at), np.where(below | (at >= end), end, middle)
+                inside = np.flatnonzero((at > first) & (v <= highs[ids[np.maximum(at - 1, 0)]]))
+                if len(inside):
+                    row = held[inside // tried]
+                    part = None if whole is None else whole[row, feature.ravel()[inside]]
+                    yield y[row], w[row], ids[at[inside] - 1], v[inside], part
+
+    return found
+
+
+def _cells(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[Interval], edges, growth: Growth) -> DataFrame:
+    """Weights and labels of each bin of each interval, the bins being those of ``edges``.
+
+    A task adds its rows up in one matrix of bins, whose rows tasks then share out.
+    """
+    found = _places(done, large, intervals, growth)
     of_slot = np.array([i.slot for i in intervals])
+    width, regress = growth.width, not growth.classes
 
-    def counted(x: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for feature, held in by_feature.items():
-            ids = np.array(held)
-            starts = np.searchsorted(of_slot[ids], np.arange(len(large) + 1))
-            v = x[:, feature]
-            # The last interval of the row's node that begins at or below its value.
-            at, end = starts[slot], starts[slot + 1]
-            first = at.copy()
-            while (at < end).any():
-                middle = (at + end) // 2
-                below = (at < end) & (lows[ids[np.minimum(middle, len(ids) - 1)]] <= v)
-                at, end = np.where(below, middle + 1, at), np.where(below | (at >= end), end, middle)
-            inside = (at > first) & (v <= highs[ids[np.maximum(at - 1, 0)]])
-            if not inside.any():
-                continue
-            k, v = ids[at[inside] - 1], v[inside]
-            if edges is not None:
-                bins = np.searchsorted(edges[feature], v, side="left")
+    def bins_of(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(intervals) * BINS
+        total = [np.zeros(size * width), *(np.zeros(size * regress) for _ in range(2)), np.full(size, np.inf), np.full(size, -np.inf)]
+        for y, w, k, v, bins in found(batches, bins_of):
+            spot = k * BINS + bins
+            np.minimum.at(total[3], spot, v)
+            np.maximum.at(total[4], spot, v)
+            if regress:
+                np.add.at(total[0], spot, w)
+                np.add.at(total[1], spot, w * y)
+                np.add.at(total[2], spot, w * y * y)
             else:
-                low = _ranks(lows[k]).view(np.uint64)
-                step = (_ranks(highs[k]).view(np.uint64) - low) // np.uint64(BINS) + np.uint64(1)
-                bins = ((_ranks(v).view(np.uint64) - low) // step).astype(np.int64)
-            cls = y[inside].astype(np.int64) if growth.classes else np.zeros(len(k), np.int64)
-            cell = (k * BINS + bins) * growth.width + cls
-            by_value = np.argsort(v, kind="stable")
-            names, spot = np.unique(cell[by_value], return_inverse=True)
-            weight, label, v = w[inside][by_value], y[inside][by_value], v[by_value]
-            least, most = np.empty(len(names)), np.empty(len(names))
-            least[spot[::-1]], most[spot] = v[::-1], v
-            n = np.bincount(spot, weight)
-            rest, name_cls = np.divmod(names, growth.width)
-            interval, name_bin = np.divmod(rest, BINS)
-            regress = not growth.classes
+                np.add.at(total[0], spot * width + y.astype(np.int64), w)
+        total = [t.reshape(len(intervals), -1) for t in total]
+        seen = np.flatnonzero(total[0].any(axis=1))
+        yield from _cell_rows(of_slot[seen], seen, [t[seen] for t in total])
+
+    return rows.mapInArrow(run, _CELL).repartition("interval").mapInArrow(_together, _CELL)
+
+
+_VALUE = "interval int, v double, cls int, n double, s double, q double"
+
+
+def _scanned(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[Interval], growth: Growth) -> DataFrame:
+    """The best split of each node between two values inside one of the intervals.
+
+    An interval is a bin of the whole table, so one task has a small share of the rows.
+    """
+    found = _places(done, large, intervals, growth)
+    regress = not growth.classes
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, w, k, v, _ in found(batches, lambda x: None):
+            cls = np.zeros(len(k), np.int64) if regress else y.astype(np.int64)
+            # Equal values of a batch travel once.
+            order = np.lexsort((cls, v, k))
+            y, w, k, v, cls = y[order], w[order], k[order], v[order], cls[order]
+            new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (cls[1:] != cls[:-1]))
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(w, at)
             yield pa.record_batch(
                 {
-                    "slot": pa.array(of_slot[interval], pa.int32()),
-                    "interval": pa.array(interval, pa.int32()),
-                    "bin": pa.array(name_bin, pa.int32()),
-                    "cls": pa.array(name_cls, pa.int32()),
+                    "interval": pa.array(k[at], pa.int32()),
+                    "v": v[at],
+                    "cls": pa.array(cls[at], pa.int32()),
                     "n": n,
-                    "s": np.bincount(spot, weight * label) if regress else n,
-                    "q": np.bincount(spot, weight * label * label) if regress else n,
-                    "low": least,
-                    "high": most,
+                    "s": np.add.reduceat(w * y, at) if regress else n,
+                    "q": np.add.reduceat(w * y * y, at) if regress else n,
                 }
             )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y, keys in _batches(batches, growth):
-            for tree in trees:
-                root = done.roots[np.searchsorted(done.tree[done.roots], tree)]
-                slot = slots[done.leaves(x, root)]
-                w = _weights(keys, tree, growth)
-                held = (slot >= 0) & (w > 0)
-                if held.any():
-                    yield from counted(x[held], y[held], w[held], slot[held])
-
-    return (
-        rows.mapInArrow(run, _CELL)
-        .groupBy("slot", "interval", "bin", "cls")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")], F.min("low").alias("low"), F.max("high").alias("high"))
-    )
+    def scan(group: pa.Table) -> pa.Table:
+        at = intervals[group["interval"][0].as_py()]
+        node = large[at.slot]
+        names, spot = np.unique(group["v"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(names), growth.width))
+        np.add.at(sums, (spot, group["cls"].to_numpy()), group["s"].to_numpy())
+        n = np.bincount(spot, group["n"].to_numpy())
+        left, n_left = at.before + np.cumsum(sums, axis=0)[:-1], at.n_before + np.cumsum(n)[:-1]
+        fits = (n_left >= growth.min_leaf) & (node.n - n_left >= growth.min_leaf)
+        out = []
+        if fits.any():
+            score = np.where(fits, split_gain(left, n_left, node.sums, node.n), -np.inf)
+            k = int(np.argmax(score))
+            q_left = at.q_before + float(np.bincount(spot, group["q"].to_numpy())[: k + 1].sum())
+            out = [(at.slot, at.feature, float(names[k]), float(names[k + 1]), float(score[k]), False, float(n_left[k]), q_left, left[k].tolist())]
+        return _found_table(out)
+
+    inside = rows.mapInArrow(values, _VALUE).groupBy("interval").applyInArrow(scan, _FOUND)
+    order = [F.col("score"), (-F.col("feature")).alias("f"), (-F.col("low")).alias("l")]
+    best = F.max(F.struct(*order, "high", "n", "q", "sums")).alias("b")
+    return inside.groupBy("slot").agg(best)
 
 
 _FOUND = (
@@ -417,6 +510,13 @@ _FOUND = (
 )
 
 
+def _found_table(out: list[tuple]) -> pa.Table:
+    wide = pa.float64()
+    kinds = [pa.int32(), pa.int32(), wide, wide, wide, pa.bool_(), wide, wide, pa.list_(wide)]
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    return pa.table({c: pa.array([o[k] for o in out], t) for k, (c, t) in enumerate(zip(names, kinds))})
+
+
 def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], growth: Growth) -> DataFrame:
     """The best split between bins of each node, and the bins that may hold a better one."""
 
@@ -424,21 +524,18 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
         slot = group["slot"][0].as_py()
         node = large[slot]
         best = node.best or (-np.inf, growth.features, np.inf, np.inf, 0.0, 0.0, [])
-        column = {c: group[c].to_numpy() for c in ("interval", "bin", "cls", "n", "s", "q", "low", "high")}
-        order = np.lexsort((column["bin"], column["interval"]))
-        column = {c: v[order] for c, v in column.items()}
+        names = group["interval"].to_numpy()
+        width, regress = growth.width, not growth.classes
+        cells = [_lists(group[c].combine_chunks()) for c in ("n", "s", "q", "low", "high")]
         bounds = []
-        ends = np.flatnonzero(np.diff(column["interval"], append=-1)) + 1
-        for s, e in zip(np.append(0, ends[:-1]), ends):
-            part = {c: v[s:e] for c, v in column.items()}
-            at = intervals[part["interval"][0]]
-            names, spot = np.unique(part["bin"], return_inverse=True)
-            sums = np.zeros((len(names), growth.width))
-            np.add.at(sums, (spot, part["cls"]), part["s"])
-            n, squares = np.bincount(spot, part["n"]), np.bincount(spot, part["q"])
-            low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
-            np.minimum.at(low, spot, part["low"])
-            np.maximum.at(high, spot, part["high"])
+        for spot in np.argsort(names):
+            at = intervals[names[spot]]
+            weights = cells[0][spot].reshape(-1, width)
+            bins = np.flatnonzero(weights.any(axis=1))
+            sums = (cells[1][spot].reshape(-1, 1) if regress else weights)[bins]
+            n = weights[bins].sum(axis=1)
+            squares = cells[2][spot][bins] if regress else n
+            low, high = cells[3][spot][bins], cells[4][spot][bins]
             left, n_left = at.before + np.cumsum(sums, axis=0), at.n_before + np.cumsum(n)
             fits = (n_left[:-1] >= growth.min_leaf) & (node.n - n_left[:-1] >= growth.min_leaf)
             if fits.any():
@@ -461,10 +558,7 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
         # Sums of doubles differ in the last digits between ways of adding them up.
         again = [b for b in bounds if b[0] >= best[0] - 1e-12 * abs(best[0])]
         out += [(slot, f, lo, hi, r, True, *rest) for r, f, lo, hi, *rest in again]
-        wide = pa.float64()
-        kinds = [pa.int32(), pa.int32(), wide, wide, wide, pa.bool_(), wide, wide, pa.list_(wide)]
-        names = [c.split()[0] for c in _FOUND.split(", ")]
-        return pa.table({c: pa.array([o[k] for o in out], t) for k, (c, t) in enumerate(zip(names, kinds))})
+        return _found_table(out)
 
     return cells.groupBy("slot").applyInArrow(judge, _FOUND)
 
@@ -477,24 +571,29 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
     """Find the best split of each large node, ``best`` of (score, feature, low, high)."""
     nothing = np.zeros(growth.width)
     waiting = [
-        (np.inf, Interval(slot, int(f), -np.inf, np.inf, 0.0, 0.0, nothing))
+        Interval(slot, int(f), -np.inf, np.inf, 0.0, 0.0, nothing)
         for slot, g in enumerate(large)
         for f in node_features(g.tree, g.node, growth.features, growth.wanted)
     ]
-    while waiting:
-        later = []
-        for at in range(0, len(waiting), CELLS // BINS):
-            part = [i for _, i in waiting[at : at + CELLS // BINS]]
-            for r in _judged(_cells(rows, done, large, part, edges, growth), large, part, growth).collect():
-                if r["again"]:
-                    inner = Interval(r["slot"], r["feature"], r["low"], r["high"], r["n"], r["q"], np.array(r["sums"]))
-                    later.append((r["score"], inner))
-                else:
-                    large[r["slot"]].best = (r["score"], r["feature"], r["low"], r["high"], r["n"], r["q"], r["sums"])
-        # Another part of the round may have found what these cannot reach.
-        tops = [g.best[0] if g.best else -np.inf for g in large]
-        waiting = [(reach, i) for reach, i in later if reach >= tops[i.slot] - 1e-12 * abs(tops[i.slot])]
-        edges = None
+    at_once = max(1, min(CELLS // BINS, CLASS_CELLS // (BINS * growth.width)))
+    later = []
+    for at in range(0, len(waiting), at_once):
+        part = waiting[at : at + at_once]
+        for r in _judged(_cells(rows, done, large, part, edges, growth), large, part, growth).collect():
+            if r["again"]:
+                inner = Interval(r["slot"], r["feature"], r["low"], r["high"], r["n"], r["q"], np.array(r["sums"]))
+                later.append((r["score"], inner))
+            else:
+                large[r["slot"]].best = (r["score"], r["feature"], r["low"], r["high"], r["n"], r["q"], r["sums"])
+    # Another part may have found what these cannot reach.
+    tops = [g.best[0] if g.best else -np.inf for g in large]
+    within = [i for reach, i in later if reach >= tops[i.slot] - 1e-12 * abs(tops[i.slot])]
+    for at in range(0, len(within), SCANNED):
+        for slot, b in _scanned(rows, done, large, within[at : at + SCANNED], growth).collect():
+            new = (b["score"], -b["f"], -b["l"], b["high"], b["n"], b["q"], b["sums"])
+            best = large[slot].best
+            if best is None or (-new[0], *new[1:3]) < (-best[0], *best[1:3]):
+                large[slot].best = new
 
 
 # --- the fit ------------------------------------------------------------------------

@@ -125,3 +125,17 @@ def test_odd_tables(spark):
     assert len(same.trees.node) == 1 and same.importance() == [0.0]
     with pytest.raises(ValueError):
         fit_trees(table(spark, [[1.0]], [1.0]).limit(0), "t", 2)
+
+
+def test_a_level_takes_two_passes_whatever_the_labels(spark, monkeypatch):
+    """Labels that no feature tells apart: no bin can be ruled out, all are looked into once."""
+    monkeypatch.setattr(trees, "SMALL_ROWS", 0)
+    monkeypatch.setattr(trees, "BINS", 8)
+    passes = []
+    real = trees._cells
+    monkeypatch.setattr(trees, "_cells", lambda *a: passes.append(1) or real(*a))
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (600, 2)), rng.integers(0, 3, 600).astype(float)
+    model = fit_trees(table(spark, x, y), "t", 3, max_depth=2)
+    check(model, brute(x, y, np.ones(600), Growth(3, 2, 1, 2, False, 2, 2, 1)))
+    assert len(passes) == 2
