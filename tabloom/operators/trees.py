@@ -11,6 +11,9 @@ still win are looked into: a second pass sends their values to one task each, wh
 every one, so a level takes two passes whatever the labels.  The threshold is then the
 exact one.  The rows of smaller nodes go to one task each, where the rest of the tree is grown.
 
+Where a table has few different rows of features, equal ones become one before the trees
+grow, with their weight, label sum and squares in each tree: all that a split asks for.
+
 Equal splits go to the lower feature and then to the lower value.  Forests draw a row
 for a tree with a Poisson weight that a hash of the row's key gives, and the features of
 a node by a hash of tree and node, so that the same rows give the same forest anywhere.
@@ -39,6 +42,8 @@ SMALL_NUMBERS = 6_400_000
 # Rows a task should have, and the rows up to which one shuffle for it is cheap.
 ROWS_PER_TASK = 25_000
 SPREAD_ROWS = 10_000_000
+# Tasks for each core: every task of a pass sends its own bins.
+TASKS_PER_CORE = 4
 # Bins of a feature.
 BINS = 256
 # Deepest level; "no limit" means that here, as node numbers double with each level.
@@ -47,9 +52,11 @@ DEEPEST = 30
 CELLS = 1_000_000
 # The same with a number for each class (128 MB), all of which a task holds.
 CLASS_CELLS = 16_000_000
-# Bins that one pass looks into; every task knows where they lie.
-SCANNED = 100_000
-# Numbers of one sorted block while a small node is searched.
+# Bins that one pass looks into; every task holds a table of them and their like (64 MB).
+SCANNED = 60_000
+# Values that a task gathers before it adds up equal ones and sends them.
+GATHERED = 200_000
+# Numbers of one sorted block while a small node is searched, and of rows added up at once.
 BLOCK = 4_000_000
 
 # Fixed values of the draws: a prime below 2^31 and the factors of the hashes.
@@ -59,13 +66,37 @@ TREE_FACTOR, NODE_FACTOR, FEATURE_FACTOR, MIX_FACTOR = 1_299_709, 7_919, 104_729
 POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
 
 
+# The least hashes of the weights from one up.
+LEAST = [
+    next(m for m in range(int(p * PRIME) - 2, PRIME + 3) if m / PRIME >= p) for p in POISSON.tolist()
+]
+
+
+def _modulo(v: np.ndarray) -> np.ndarray:
+    """``v % PRIME`` for numbers below 2^62, the prime being 2^31 - 1."""
+    for _ in range(2):
+        v = (v & PRIME) + (v >> 31)
+    v[v == PRIME] = 0
+    return v
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    return keys % PRIME * MIX_FACTOR
+
+
+def _weights(mixed: np.ndarray, tree: int) -> np.ndarray:
+    mix = _modulo(mixed + (tree + 1) * TREE_FACTOR)
+    for _ in range(2):
+        mix = _modulo(_modulo(mix * mix) * MIX_FACTOR)
+    out = np.zeros(len(mix), np.uint8)
+    for least in LEAST:
+        out += mix >= least
+    return out
+
+
 def draws(keys: np.ndarray, tree: int) -> np.ndarray:
     """The weight of each row, given by the hash of its key, in a forest's tree."""
-    mix = (keys % PRIME * MIX_FACTOR + (tree + 1) * TREE_FACTOR) % PRIME
-    for _ in range(2):
-        mix = mix * mix % PRIME * MIX_FACTOR % PRIME
-    u = mix / PRIME
-    return np.searchsorted(POISSON, u, side="right").astype(np.float64)
+    return _weights(_mixed(keys), tree).astype(np.float64)
 
 
 def node_features(tree: int, node: int, features: int, wanted: int) -> np.ndarray:
@@ -124,16 +155,16 @@ def split_gain(left: np.ndarray, n_left: np.ndarray, whole: np.ndarray, n: float
 
 
 def _search(x: np.ndarray, y: np.ndarray, w: np.ndarray, chosen: np.ndarray, min_leaf: float):
-    """``(feature, threshold)`` of the best split of some rows, or None."""
+    """``(feature, threshold)`` of the best split of rows with label sums ``y``, or None."""
     best = (-np.inf, -1, 0.0)
-    whole, n = (w[:, None] * y).sum(axis=0), w.sum()
+    whole, n = y.sum(axis=0), w.sum()
     step = max(1, BLOCK // (x.shape[0] * y.shape[1]))
     for at in range(0, len(chosen), step):
         part = chosen[at : at + step]
         order = np.argsort(x[:, part], axis=0, kind="stable")
         values = np.take_along_axis(x[:, part], order, axis=0)
         n_left = np.cumsum(w[order], axis=0)[:-1]
-        left = np.cumsum((w[:, None] * y)[order], axis=0)[:-1]
+        left = np.cumsum(y[order], axis=0)[:-1]
         fits = (values[1:] > values[:-1]) & (n_left >= min_leaf) & (n - n_left >= min_leaf)
         if not fits.any():
             continue
@@ -144,15 +175,18 @@ def _search(x: np.ndarray, y: np.ndarray, w: np.ndarray, chosen: np.ndarray, min
     return None if best[1] < 0 else best[1:]
 
 
-def grow_small(x: np.ndarray, labels: np.ndarray, w: np.ndarray, tree: int, root: int, growth: Growth) -> list[tuple]:
-    """``(node, feature, threshold, n, sums)`` of the subtree below ``root``."""
-    y = one_hot(labels, growth)
+def grow_small(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, q: np.ndarray, tree: int, root: int, growth: Growth
+) -> list[tuple]:
+    """``(node, feature, threshold, n, sums)`` of the subtree below ``root``.
+
+    Rows have label sums ``y``, weights ``w`` and squared labels ``q``.
+    """
     out, waiting = [], [(root, np.arange(len(x)))]
     while waiting:
         node, rows = waiting.pop()
         part_y, part_w = y[rows], w[rows]
-        sums, n = (part_w[:, None] * part_y).sum(axis=0), float(part_w.sum())
-        squares = float((part_w[:, None] * part_y * part_y).sum())
+        sums, n, squares = part_y.sum(axis=0), float(part_w.sum()), float(q[rows].sum())
         found = None
         if not growth.ends(node, n, sums, squares):
             chosen = node_features(tree, node, growth.features, growth.wanted)
@@ -184,22 +218,36 @@ class Trees:
         for name in ("tree", "node", "feature", "threshold", "n", "sums"):
             setattr(self, name, getattr(self, name)[order])
         place = self.tree * (1 << (DEEPEST + 2)) + self.node
-        self.left, self.right = (
-            np.where(self.feature >= 0, np.searchsorted(place, place + self.node + k), -1) for k in (0, 1)
-        )
+        self.left = np.where(self.feature >= 0, np.searchsorted(place, place + self.node), -1)
+        self.right = np.where(self.feature >= 0, self.left + 1, -1)
         self.roots = np.flatnonzero(self.node == 1)
 
-    def leaves(self, x: np.ndarray, root: int) -> np.ndarray:
-        """The place of each row's leaf."""
-        at = np.full(len(x), root)
-        moving = np.arange(len(x))
-        while len(moving):
-            here = at[moving]
-            inner = self.feature[here] >= 0
-            moving, here = moving[inner], here[inner]
-            low = x[moving, self.feature[here]] <= self.threshold[here]
-            at[moving] = np.where(low, self.left[here], self.right[here])
-        return at
+    def leaves(self, x: np.ndarray, root: int, rows: np.ndarray | None = None) -> np.ndarray:
+        """The place of each row's leaf, or of each of the rows with the given numbers."""
+        rows = np.arange(len(x)) if rows is None else rows
+        flat, first = x.ravel(), rows * x.shape[1]
+        at = np.full(len(rows), root)
+        moving = None
+        while True:
+            here = at if moving is None else at[moving]
+            feature = self.feature[here]
+            inner = feature >= 0
+            going = np.count_nonzero(inner)
+            if not going:
+                return at
+            if 2 * going < len(here):
+                moving = np.flatnonzero(inner) if moving is None else moving[inner]
+                here, feature, inner = here[inner], feature[inner], inner[inner]
+            value = flat[(first if moving is None else first[moving]) + np.maximum(feature, 0)]
+            # The right side follows the left one.
+            here = np.where(inner, self.left[here] + ~(value <= self.threshold[here]), here)
+            if moving is None:
+                at = here
+            else:
+                at[moving] = here
+
+    def root_of(self, tree: int) -> int:
+        return self.roots[np.searchsorted(self.tree[self.roots], tree)]
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -226,7 +274,8 @@ class TreeModel:
                 total = np.zeros((len(x), means.shape[1]))
                 for root in trees.roots:
                     total += means[trees.leaves(x, root)]
-                yield pa.array(list(total / len(trees.roots)), pa.list_(pa.float64()))
+                ends = pa.array(np.arange(len(x) + 1) * means.shape[1], pa.int32())
+                yield pa.ListArray.from_arrays(ends, (total / len(trees.roots)).ravel())
 
         out = df.withColumn("__out", outputs(vector_to_array("features")))
         if not classes:
@@ -286,12 +335,11 @@ class TreeModel:
 
 @dataclass
 class Interval:
-    """Values of one feature in one node that are counted in bins, and what lies below."""
+    """One bin of a feature in a node, or all of them (-1), and what lies below."""
 
     slot: int
     feature: int
-    low: float
-    high: float
+    bin: int
     n_before: float
     q_before: float
     before: np.ndarray
@@ -319,15 +367,138 @@ class _Large:
         return [left, (self.tree, 2 * self.node + 1, self.n - n, self.sums - sums, self.squares - squares)]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], growth: Growth):
+def _units(batches: Iterator[pa.RecordBatch], growth: Growth):
+    """``(x, units)`` of each batch of rows, or of equal rows in one.
+
+    ``units(tree)`` has row, class, weight, label sum and squares of what is drawn for a
+    tree, with all rows once for -1.  A class counts its weight as label.
+    """
     for batch in batches:
         if batch.num_rows:
             x = matrix(batch["x"], growth.features)
-            yield x, batch["y"].to_numpy(zero_copy_only=False), batch["key"].to_numpy(zero_copy_only=False)
+            yield x, (_of_equal if "n" in batch.schema.names else _of_rows)(batch, growth)
+
+
+def _of_rows(held: pa.RecordBatch | pa.Table, growth: Growth) -> Callable:
+    y, keys = (np.asarray(held[c]) for c in ("y", "key"))
+    cls, mixed = y.astype(np.int64) if growth.classes else np.zeros(len(y), np.int64), _mixed(keys)
+
+    def units(tree: int) -> tuple[np.ndarray, ...]:
+        if tree < 0 or not growth.drawn:
+            row, n = np.arange(len(y)), np.ones(len(y))
+        else:
+            w = _weights(mixed, tree)
+            row = np.flatnonzero(w)
+            n = w[row].astype(np.float64)
+        if growth.classes:
+            return row, cls[row], n, n, n
+        s = n * y[row]
+        return row, cls[row], n, s, s * y[row]
+
+    return units
+
+
+def _of_equal(batch: pa.RecordBatch, growth: Growth) -> Callable:
+    n, s, q = (_lists(batch[c]) for c in ("n", "s", "q"))
 
+    def units(tree: int) -> tuple[np.ndarray, ...]:
+        at = tree % (growth.trees + 1)
+        if growth.classes:
+            part = n[:, at * growth.classes : (at + 1) * growth.classes]
+            row, cls = np.nonzero(part)
+            held = part[row, cls]
+            return row, cls, held, held, held
+        row = np.flatnonzero(n[:, at])
+        return row, np.zeros(len(row), np.int64), n[row, at], s[row, at], q[row, at]
 
-def _weights(keys: np.ndarray, tree: int, growth: Growth) -> np.ndarray:
-    return draws(keys, tree) if growth.drawn else np.ones(len(keys))
+    return units
+
+
+def _merged(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of ``x`` once, with the sums of their ``sums``."""
+    order, first = _equal(x)
+    return x[order[first]], np.add.reduceat(sums[order], first, axis=0)
+
+
+def _equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order with equal rows side by side, and where each kind begins."""
+    order = np.lexsort(x.T)
+    new = np.zeros(len(x), bool)
+    new[0] = True
+    for column in x.T:
+        column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    return order, np.flatnonzero(new)
+
+
+_EQUAL = "x array<double>, n array<double>, s array<double>, q array<double>"
+
+
+def _equal_rows(rows: DataFrame, growth: Growth) -> DataFrame:
+    """Rows of equal features in one: weight, label sum and squares in each tree, and of all rows.
+
+    Lists run over the trees, for classes over each tree's classes.  Features may still
+    come in several rows; everything that reads them adds up.
+    """
+    regress, columns = not growth.classes, (growth.trees + 1) * growth.width
+    parts = [0, columns, columns * (1 + regress), columns * (1 + 2 * regress)]
+
+    def out(x: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK // (x.shape[1] + sums.shape[1]))
+        for at in range(0, len(x), step):
+            held = [x[at : at + step], *(sums[at : at + step, a:b] for a, b in zip(parts, parts[1:]))]
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * c.shape[1], pa.int32()), np.ascontiguousarray(c).ravel())
+                for c in held
+            ]
+            yield pa.record_batch(lists, ["x", "n", "s", "q"])
+
+    def added(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for x, sums in found:
+            if held:
+                x, sums = _merged(np.vstack([held[0], x]), np.vstack([held[1], sums]))
+            held = x, sums
+            if x.size + sums.size > 2 * BLOCK:
+                yield from out(*held)
+                held = None
+        if held:
+            yield from out(*held)
+
+    def of_rows(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        x = matrix(table["x"].combine_chunks(), growth.features)
+        order, first = _equal(x)
+        code = np.empty(len(x), np.int64)
+        code[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(x)))
+        units, size = _of_rows(table, growth), len(first) * growth.width
+        sums = np.empty((len(first), parts[-1]))
+        for tree in [*range(growth.trees), -1]:
+            row, cls, n, s, q = units(tree)
+            spot, at = code[row] * growth.width + cls, tree % (growth.trees + 1) * growth.width
+            for start, numbers in zip(parts, (n, s, q)[: 1 + 2 * regress]):
+                sums[:, start + at : start + at + growth.width] = np.bincount(spot, numbers, size).reshape(len(first), -1)
+        return x[order[first]], sums
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows * (growth.features + 2)
+            if size >= BLOCK:
+                yield of_rows(held)
+                held, size = [], 0
+        if held:
+            yield of_rows(held)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _merged(matrix(batch["x"], growth.features), np.hstack([_lists(batch[c]) for c in ("n", "s", "q")]))
+
+    first = rows.mapInArrow(lambda batches: added(chunks(batches)), _EQUAL)
+    return first.repartition("x").mapInArrow(lambda batches: added(again(batches)), _EQUAL)
 
 
 _CELL = (
@@ -374,47 +545,60 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _cell_rows(slots, np.array(list(held)), columns)
 
 
-def _places(done: Trees, large: list[_Large], intervals: list[Interval], growth: Growth):
-    """``found(batches)``: per batch and tree, rows of large nodes and the intervals they are in."""
+def _places(done: Trees, large: list[_Large], intervals: list[Interval], edges, growth: Growth):
+    """``found(batches)``: per batch and tree, what is drawn of large nodes and the intervals it is in."""
     place = {(int(t), int(n)): k for k, (t, n) in enumerate(zip(done.tree, done.node))}
+    used = sorted({i.slot for i in intervals})
     slots = np.full(len(done.tree), -1)
-    slots[[place[g.tree, g.node] for g in large]] = np.arange(len(large))
-    chosen = np.array([node_features(g.tree, g.node, growth.features, growth.wanted) for g in large])
-    tried = chosen.shape[1]
-    lows, highs = (np.array([getattr(i, side) for i in intervals]) for side in ("low", "high"))
-    # Intervals of a node and feature lie side by side, from low to high.
-    group_of = np.array([i.slot * tried + int(np.searchsorted(chosen[i.slot], i.feature)) for i in intervals])
-    ids = np.lexsort((lows, group_of))
-    starts = np.searchsorted(group_of[ids], np.arange(len(large) * tried + 1))
-    trees = sorted({large[i.slot].tree for i in intervals})
-
-    def found(batches: Iterator[pa.RecordBatch], per_batch: Callable):
-        """``(y, weight, interval, value, feature's part of per_batch(x))`` of each such row and feature."""
-        for x, y, keys in _batches(batches, growth):
-            whole = per_batch(x)
+    slots[[place[large[k].tree, large[k].node] for k in used]] = np.arange(len(used))
+    chosen = np.array([node_features(large[k].tree, large[k].node, growth.features, growth.wanted) for k in used])
+    tried, needed = chosen.shape[1], np.unique(chosen)
+    trees = sorted({large[k].tree for k in used})
+    # The row in the table of bins for each node and feature; the table has the interval.
+    place_of = {slot: k for k, slot in enumerate(used)}
+    at = np.array([place_of[i.slot] for i in intervals])
+    feature = np.array([i.feature for i in intervals])
+    where = at * tried + (chosen[at] < feature[:, None]).sum(axis=1)
+    lines, line_of = np.unique(where, return_inverse=True)
+    row_of = np.full(chosen.size, -1)
+    row_of[lines] = np.arange(len(lines))
+    row_of = row_of.reshape(chosen.shape)
+    single = all(i.bin < 0 for i in intervals)
+    some = bool((row_of < 0).any())
+    bin_of = np.array([max(i.bin, 0) for i in intervals])
+
+    def found(batches: Iterator[pa.RecordBatch]):
+        """``(interval, bin, value, class, weight, label sum, squares)`` of each such row and feature."""
+        table = None
+        for x, units in _units(batches, growth):
+            if table is None:
+                table = np.full((len(lines), 1 if single else BINS), -1, np.int32)
+                table[line_of, bin_of] = np.arange(len(intervals))
+            bins = np.zeros(x.shape, np.uint8)
+            for f in needed:
+                bins[:, f] = np.searchsorted(edges[f], np.ascontiguousarray(x[:, f]), side="left")
+            flat, flat_bins = x.ravel(), bins.ravel()
             for tree in trees:
-                root = done.roots[np.searchsorted(done.tree[done.roots], tree)]
-                w = _weights(keys, tree, growth)
-                drawn = np.flatnonzero(w > 0)
-                slot = slots[done.leaves(x[drawn], root)]
-                held, slot = drawn[slot >= 0], slot[slot >= 0]
-                if not len(held):
+                row, *numbers = units(tree)
+                slot = slots[done.leaves(x, done.root_of(tree), row)]
+                held = slot >= 0
+                if not held.all():
+                    row, slot, *numbers = (c[held] for c in (row, slot, *numbers))
+                if not len(row):
                     continue
-                feature = chosen[slot]
-                v = x[held[:, None], feature].ravel()
-                group = (slot[:, None] * tried + np.arange(tried)).ravel()
-                # The last interval of the row's node that begins at or below its value.
-                at, end = starts[group], starts[group + 1]
-                first = at.copy()
-                while (at < end).any():
-                    middle = (at + end) // 2
-                    below = (at < end) & (lows[ids[np.minimum(middle, len(ids) - 1)]] <= v)
-                    at, end = np.where(below, middle + 1, at), np.where(below | (at >= end), end, middle)
-                inside = np.flatnonzero((at > first) & (v <= highs[ids[np.maximum(at - 1, 0)]]))
-                if len(inside):
-                    row = held[inside // tried]
-                    part = None if whole is None else whole[row, feature.ravel()[inside]]
-                    yield y[row], w[row], ids[at[inside] - 1], v[inside], part
+                spot = (row[:, None] * growth.features + chosen[slot]).ravel()
+                line = row_of[slot].ravel()
+                unit = np.repeat(np.arange(len(row)), tried)
+                if some:
+                    inside = np.flatnonzero(line >= 0)
+                    spot, line, unit = spot[inside], line[inside], unit[inside]
+                at = flat_bins[spot]
+                interval = table[line, 0 if single else at]
+                if not single:
+                    inside = np.flatnonzero(interval >= 0)
+                    spot, at, unit, interval = spot[inside], at[inside], unit[inside], interval[inside]
+                if len(interval):
+                    yield interval, at, flat[spot], *(c[unit] for c in numbers)
 
     return found
 
@@ -424,26 +608,22 @@ def _cells(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[In
 
     A task adds its rows up in one matrix of bins, whose rows tasks then share out.
     """
-    found = _places(done, large, intervals, growth)
+    found = _places(done, large, intervals, edges, growth)
     of_slot = np.array([i.slot for i in intervals])
     width, regress = growth.width, not growth.classes
 
-    def bins_of(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(intervals) * BINS
         total = [np.zeros(size * width), *(np.zeros(size * regress) for _ in range(2)), np.full(size, np.inf), np.full(size, -np.inf)]
-        for y, w, k, v, bins in found(batches, bins_of):
-            spot = k * BINS + bins
+        for k, bins, v, cls, n, s, q in found(batches):
+            spot = k.astype(np.int64) * BINS + bins
             np.minimum.at(total[3], spot, v)
             np.maximum.at(total[4], spot, v)
             if regress:
-                np.add.at(total[0], spot, w)
-                np.add.at(total[1], spot, w * y)
-                np.add.at(total[2], spot, w * y * y)
+                for t, numbers in zip(total, (n, s, q)):
+                    np.add.at(t, spot, numbers)
             else:
-                np.add.at(total[0], spot * width + y.astype(np.int64), w)
+                np.add.at(total[0], spot * width + cls, n)
         total = [t.reshape(len(intervals), -1) for t in total]
         seen = np.flatnonzero(total[0].any(axis=1))
         yield from _cell_rows(of_slot[seen], seen, [t[seen] for t in total])
@@ -454,33 +634,35 @@ def _cells(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[In
 _VALUE = "interval int, v double, cls int, n double, s double, q double"
 
 
-def _scanned(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[Interval], growth: Growth) -> DataFrame:
+def _scanned(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[Interval], edges, growth: Growth) -> DataFrame:
     """The best split of each node between two values inside one of the intervals.
 
     An interval is a bin of the whole table, so one task has a small share of the rows.
     """
-    found = _places(done, large, intervals, growth)
-    regress = not growth.classes
+    found = _places(done, large, intervals, edges, growth)
+
+    def sent(parts: list[tuple]) -> pa.RecordBatch:
+        k, v, cls, *numbers = (np.concatenate(c) for c in zip(*parts))
+        # Equal values travel once.
+        order = np.lexsort((cls, v, k))
+        k, v, cls = k[order], v[order], cls[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (cls[1:] != cls[:-1]))
+        at = np.flatnonzero(new)
+        n, s, q = (np.add.reduceat(c[order], at) for c in numbers)
+        return pa.record_batch(
+            {"interval": pa.array(k[at], pa.int32()), "v": v[at], "cls": pa.array(cls[at], pa.int32()), "n": n, "s": s, "q": q}
+        )
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for y, w, k, v, _ in found(batches, lambda x: None):
-            cls = np.zeros(len(k), np.int64) if regress else y.astype(np.int64)
-            # Equal values of a batch travel once.
-            order = np.lexsort((cls, v, k))
-            y, w, k, v, cls = y[order], w[order], k[order], v[order], cls[order]
-            new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (cls[1:] != cls[:-1]))
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(w, at)
-            yield pa.record_batch(
-                {
-                    "interval": pa.array(k[at], pa.int32()),
-                    "v": v[at],
-                    "cls": pa.array(cls[at], pa.int32()),
-                    "n": n,
-                    "s": np.add.reduceat(w * y, at) if regress else n,
-                    "q": np.add.reduceat(w * y * y, at) if regress else n,
-                }
-            )
+        parts, size = [], 0
+        for k, _, *rest in found(batches):
+            parts.append((k, *rest))
+            size += len(k)
+            if size >= GATHERED:
+                yield sent(parts)
+                parts, size = [], 0
+        if parts:
+            yield sent(parts)
 
     def scan(group: pa.Table) -> pa.Table:
         at = intervals[group["interval"][0].as_py()]
@@ -496,7 +678,7 @@ def _scanned(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[
             score = np.where(fits, split_gain(left, n_left, node.sums, node.n), -np.inf)
             k = int(np.argmax(score))
             q_left = at.q_before + float(np.bincount(spot, group["q"].to_numpy())[: k + 1].sum())
-            out = [(at.slot, at.feature, float(names[k]), float(names[k + 1]), float(score[k]), False, float(n_left[k]), q_left, left[k].tolist())]
+            out = [(at.slot, at.feature, float(names[k]), float(names[k + 1]), float(score[k]), -1, float(n_left[k]), q_left, left[k].tolist())]
         return _found_table(out)
 
     inside = rows.mapInArrow(values, _VALUE).groupBy("interval").applyInArrow(scan, _FOUND)
@@ -506,13 +688,13 @@ def _scanned(rows: DataFrame, done: Trees, large: list[_Large], intervals: list[
 
 
 _FOUND = (
-    "slot int, feature int, low double, high double, score double, again boolean, n double, q double, sums array<double>"
+    "slot int, feature int, low double, high double, score double, bin int, n double, q double, sums array<double>"
 )
 
 
 def _found_table(out: list[tuple]) -> pa.Table:
     wide = pa.float64()
-    kinds = [pa.int32(), pa.int32(), wide, wide, wide, pa.bool_(), wide, wide, pa.list_(wide)]
+    kinds = [pa.int32(), pa.int32(), wide, wide, wide, pa.int32(), wide, wide, pa.list_(wide)]
     names = [c.split()[0] for c in _FOUND.split(", ")]
     return pa.table({c: pa.array([o[k] for o in out], t) for k, (c, t) in enumerate(zip(names, kinds))})
 
@@ -545,24 +727,64 @@ def _judged(cells: DataFrame, large: list[_Large], intervals: list[Interval], gr
                 new = (float(score[k]), at.feature, float(high[k]), float(low[k + 1]), float(n_left[k]), q_left, left[k].tolist())
                 if (-new[0], new[1], new[2]) < (-best[0], best[1], best[2]):
                     best = new
-            # What a split inside a bin can reach at most.
-            before, n_before = left - sums, n_left - n
-            after, n_after = node.sums - left, node.n - n_left
-            reach = squares + _share(before, n_before) + _share(after, n_after)
+            reach = _reach(node, sums, n, squares, left, n_left)
+            n_before, before = n_left - n, left - sums
             may = (low < high) & (n_left > growth.min_leaf) & (node.n - n_before > growth.min_leaf)
             q_before = at.q_before + np.cumsum(squares) - squares
             bounds += [
-                (reach[k], at.feature, low[k], high[k], n_before[k], q_before[k], before[k].tolist()) for k in np.flatnonzero(may)
+                (reach[k], at.feature, low[k], high[k], bins[k], n_before[k], q_before[k], before[k].tolist())
+                for k in np.flatnonzero(may)
             ]
-        out = [(slot, *best[1:4], best[0], False, *best[4:])] if best[0] > -np.inf else []
+        out = [(slot, *best[1:4], best[0], -1, *best[4:])] if best[0] > -np.inf else []
         # Sums of doubles differ in the last digits between ways of adding them up.
         again = [b for b in bounds if b[0] >= best[0] - 1e-12 * abs(best[0])]
-        out += [(slot, f, lo, hi, r, True, *rest) for r, f, lo, hi, *rest in again]
+        out += [(slot, f, lo, hi, r, *rest) for r, f, lo, hi, *rest in again]
         return _found_table(out)
 
     return cells.groupBy("slot").applyInArrow(judge, _FOUND)
 
 
+def _reach(
+    node: _Large, sums: np.ndarray, n: np.ndarray, squares: np.ndarray, left: np.ndarray, n_left: np.ndarray
+) -> np.ndarray:
+    """What a split inside each bin can reach at most, ``left`` being all up to its end.
+
+    The measure grows by no more than the squares of the bin's own labels.  It is convex,
+    so it also lies below its value at a bin's end plus the steepest way into the bin: for
+    classes by the greatest slope of each on the way; for numbers at the corners of what
+    the bin's weight and the spread of its labels leave possible.
+    """
+    before, n_before = left - sums, n_left - n
+    after, n_after = node.sums - left, node.n - n_left
+    most = squares + _share(before, n_before) + _share(after, n_after)
+    whole, n_rest = node.sums - before, node.n - n_before
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if sums.shape[1] > 1:
+            n, n_before, n_left, n_after, n_rest = (c[:, None] for c in (n, n_before, n_left, n_after, n_rest))
+            square = lambda c: (c * c).sum(axis=1, keepdims=True)
+            rise = 2 * left / (n_before + sums) - square(before) / n_left**2
+            rise += square(whole) / n_after**2 - 2 * after / (n_rest - sums)
+            fall = square(left) / n_before**2 - 2 * before / (n_left - sums)
+            fall += 2 * whole / (n_after + sums) - square(after) / n_rest**2
+            low, high = (split_gain(c, m[:, 0], node.sums, node.n) for c, m in ((before, n_before), (left, n_left)))
+            others = [
+                low + (sums * np.maximum(rise, 0.0)).sum(axis=1),
+                high + (sums * np.maximum(fall, 0.0)).sum(axis=1),
+            ]
+        else:
+            spread = np.maximum(squares - sums[:, 0] ** 2 / n, 0.0) + 1e-12 * squares
+            aside = np.sqrt(spread * n)[:, None] / 2
+            corners = [
+                split_gain(c + side * aside, m, node.sums, node.n)
+                for c, m in ((before, n_before), (left, n_left))
+                for side in (-1, 1)
+            ]
+            others = [np.maximum.reduce(corners)]
+    for other in others:
+        most = np.where(np.isfinite(other), np.minimum(most, other), most)
+    return most
+
+
 def _share(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.divide((sums * sums).sum(axis=1), n, out=np.zeros(len(n)), where=n > 0)
 
@@ -571,7 +793,7 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
     """Find the best split of each large node, ``best`` of (score, feature, low, high)."""
     nothing = np.zeros(growth.width)
     waiting = [
-        Interval(slot, int(f), -np.inf, np.inf, 0.0, 0.0, nothing)
+        Interval(slot, int(f), -1, 0.0, 0.0, nothing)
         for slot, g in enumerate(large)
         for f in node_features(g.tree, g.node, growth.features, growth.wanted)
     ]
@@ -580,8 +802,8 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
     for at in range(0, len(waiting), at_once):
         part = waiting[at : at + at_once]
         for r in _judged(_cells(rows, done, large, part, edges, growth), large, part, growth).collect():
-            if r["again"]:
-                inner = Interval(r["slot"], r["feature"], r["low"], r["high"], r["n"], r["q"], np.array(r["sums"]))
+            if r["bin"] >= 0:
+                inner = Interval(r["slot"], r["feature"], r["bin"], r["n"], r["q"], np.array(r["sums"]))
                 later.append((r["score"], inner))
             else:
                 large[r["slot"]].best = (r["score"], r["feature"], r["low"], r["high"], r["n"], r["q"], r["sums"])
@@ -589,7 +811,7 @@ def _split_large(rows: DataFrame, done: Trees, large: list[_Large], edges: np.nd
     tops = [g.best[0] if g.best else -np.inf for g in large]
     within = [i for reach, i in later if reach >= tops[i.slot] - 1e-12 * abs(tops[i.slot])]
     for at in range(0, len(within), SCANNED):
-        for slot, b in _scanned(rows, done, large, within[at : at + SCANNED], growth).collect():
+        for slot, b in _scanned(rows, done, large, within[at : at + SCANNED], edges, growth).collect():
             new = (b["score"], -b["f"], -b["l"], b["high"], b["n"], b["q"], b["sums"])
             best = large[slot].best
             if best is None or (-new[0], *new[1:3]) < (-best[0], *best[1:3]):
@@ -603,16 +825,16 @@ def _sums(rows: DataFrame, growth: Growth) -> dict[int, tuple[float, np.ndarray,
     """``(n, sums, squares)`` of the rows of every tree, and of all rows once (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y, keys in _batches(batches, growth):
-            cls = y.astype(np.int64) if growth.classes else np.zeros(len(y), np.int64)
+        total = np.zeros((3, growth.trees + 1, growth.width))
+        for _, units in _units(batches, growth):
             for tree in range(-1, growth.trees):
-                w = _weights(keys, tree, growth) if tree >= 0 else np.ones(len(keys))
-                n = np.bincount(cls, w)
-                held = np.flatnonzero(n)
-                label = n if growth.classes else np.bincount(cls, w * y)
-                square = n if growth.classes else np.bincount(cls, w * y * y)
-                tree_column = pa.array(np.full(len(held), tree))
-                yield pa.record_batch({"tree": tree_column, "cls": held, "n": n[held], "s": label[held], "q": square[held]})
+                _, cls, *numbers = units(tree)
+                for k, c in enumerate(numbers):
+                    total[k, tree] += np.bincount(cls, c, growth.width)
+        tree, cls = np.nonzero(total[0])
+        n, s, q = total[:, tree, cls]
+        # The last row is that of all rows.
+        yield pa.record_batch({"tree": np.where(tree == growth.trees, -1, tree), "cls": cls, "n": n, "s": s, "q": q})
 
     found = (
         rows.mapInArrow(run, "tree long, cls long, n double, s double, q double")
@@ -630,21 +852,27 @@ def _sums(rows: DataFrame, growth: Growth) -> dict[int, tuple[float, np.ndarray,
 def _grow_small(rows: DataFrame, done: Trees, small: set[tuple[int, int]], growth: Growth) -> list[tuple]:
     """``(tree, node, feature, threshold, n, sums)`` below all small nodes."""
 
+    trees = sorted({t for t, _ in small})
+    wanted = np.array([(int(t), int(n)) in small for t, n in zip(done.tree, done.node)])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y, keys in _batches(batches, growth):
-            for tree in sorted({t for t, _ in small}):
-                w = _weights(keys, tree, growth)
-                node = done.node[done.leaves(x, done.roots[np.searchsorted(done.tree[done.roots], tree)])]
-                held = np.isin(node, np.array(sorted(n for t, n in small if t == tree))) & (w > 0)
+        for x, units in _units(batches, growth):
+            for tree in trees:
+                row, *numbers = units(tree)
+                leaf = done.leaves(x, done.root_of(tree), row)
+                held = wanted[leaf]
                 if held.any():
-                    ends = np.arange(held.sum() + 1, dtype=np.int32) * growth.features
+                    row, leaf, cls, n, s, q = (c[held] for c in (row, leaf, *numbers))
+                    ends = np.arange(len(row) + 1, dtype=np.int32) * growth.features
                     yield pa.record_batch(
                         {
-                            "tree": pa.array(np.full(held.sum(), tree)),
-                            "node": node[held],
-                            "x": pa.ListArray.from_arrays(ends, x[held].ravel()),
-                            "y": y[held],
-                            "w": w[held],
+                            "tree": pa.array(np.full(len(row), tree)),
+                            "node": done.node[leaf],
+                            "x": pa.ListArray.from_arrays(ends, x[row].ravel()),
+                            "cls": cls,
+                            "n": n,
+                            "s": s,
+                            "q": q,
                         }
                     )
 
@@ -654,14 +882,15 @@ def _grow_small(rows: DataFrame, done: Trees, small: set[tuple[int, int]], growt
         group = group.combine_chunks()
         tree, root = group["tree"][0].as_py(), group["node"][0].as_py()
         x = matrix(group["x"].combine_chunks(), growth.features)
-        found = grow_small(x, group["y"].to_numpy(), group["w"].to_numpy(), tree, root, growth)
+        cls, n, s, q = (group[c].to_numpy() for c in ("cls", "n", "s", "q"))
+        found = grow_small(x, (one_hot(cls, growth) if growth.classes else 1.0) * s[:, None], n, q, tree, root, growth)
         columns = list(zip(*found))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
         names = ["node", "feature", "threshold", "n", "sums"]
         held = {c: pa.array(list(v), t) for c, v, t in zip(names, columns, kinds)}
         return pa.table({"tree": pa.array([tree] * len(found), pa.int64()), **held})
 
-    dealt = rows.mapInArrow(deal, "tree long, node long, x array<double>, y double, w double")
+    dealt = rows.mapInArrow(deal, "tree long, node long, x array<double>, cls long, n double, s double, q double")
     grown = dealt.groupBy("tree", "node").applyInArrow(grow, kind)
     return [(r["tree"], r["node"], r["feature"], r["threshold"], r["n"], r["sums"]) for r in grown.collect()]
 
@@ -705,19 +934,28 @@ def fit_trees(
     )
     placed = rows.select("x", F.spark_partition_id().alias("part"))
     facts = placed.agg(
-        F.max(F.size("x")).alias("features"), F.count("*").alias("n"), F.count_distinct("part").alias("parts")
+        F.max(F.size("x")).alias("features"),
+        F.count("*").alias("n"),
+        F.count_distinct("part").alias("parts"),
+        F.approx_count_distinct(F.xxhash64("x")).alias("kinds"),
     ).first()
     features, n = facts["features"], facts["n"]
     if not features:
         raise ValueError("no rows or no features to grow trees on")
-    tasks = -(-n // ROWS_PER_TASK)
+    # Equal rows in one have a few numbers for each tree, others those of the row.
+    numbers = features + (n_trees + 1) * (classes or 3)
+    together = n > SMALL_ROWS and facts["kinds"] * numbers <= n * (features + 2)
+    tasks, cores = -(-n // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(tasks, TASKS_PER_CORE * cores)
     if n <= SPREAD_ROWS and facts["parts"] < tasks:
         rows = rows.repartition(tasks)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    elif facts["parts"] > tasks:
+        rows = rows.coalesce(tasks)
+    part = math.isqrt(features - 1) + 1 if wanted == "sqrt" else features
+    depth = DEEPEST if max_depth is None else min(int(max_depth), DEEPEST)
+    growth = Growth(classes, features, n_trees, part, drawn, depth, min_samples_split, min_samples_leaf)
+    rows = (_equal_rows(rows, growth) if together else rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        part = math.isqrt(features - 1) + 1 if wanted == "sqrt" else features
-        depth = DEEPEST if max_depth is None else min(int(max_depth), DEEPEST)
-        growth = Growth(classes, features, n_trees, part, drawn, depth, min_samples_split, min_samples_leaf)
         return TreeModel(name, _grown(rows, growth), classes, features)
     finally:
         rows.unpersist()

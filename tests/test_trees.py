@@ -139,3 +139,46 @@ def test_a_level_takes_two_passes_whatever_the_labels(spark, monkeypatch):
     model = fit_trees(table(spark, x, y), "t", 3, max_depth=2)
     check(model, brute(x, y, np.ones(600), Growth(3, 2, 1, 2, False, 2, 2, 1)))
     assert len(passes) == 2
+
+
+def test_draws_follow_their_formula():
+    keys = np.random.default_rng(3).integers(0, 2**32, 50_000)
+    for tree in (0, 7, 299):
+        mix = (keys % trees.PRIME * trees.MIX_FACTOR + (tree + 1) * trees.TREE_FACTOR) % trees.PRIME
+        for _ in range(2):
+            mix = mix * mix % trees.PRIME * trees.MIX_FACTOR % trees.PRIME
+        assert (draws(keys, tree) == np.searchsorted(trees.POISSON, mix / trees.PRIME, side="right")).all()
+
+
+def test_few_bins_are_looked_into_where_labels_hardly_follow_features(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((20_000, 2))
+    labels = np.where(rng.random(len(x)) < 0.7, rng.integers(0, 4, len(x)), 2 * (x[:, 0] > 0.4))
+    rows = [(Vectors.dense(v.tolist()), float(y), str(k)) for k, (v, y) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, ["features", "label", "__id"])
+    monkeypatch.setattr(trees, "SMALL_ROWS", 4_000)
+    real, seen = trees._scanned, []
+    monkeypatch.setattr(trees, "_scanned", lambda *a: seen.append(len(a[3])) or real(*a))
+    fit_trees(df, "t", 4, max_depth=1)
+    fit_trees(df, "t", 0, max_depth=1)
+    # Two features have 512 bins.
+    assert seen and max(seen) < 200
+
+
+def test_equal_rows_grow_the_trees_of_single_ones(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(Vectors.dense(rng.integers(0, 6, 2).tolist()), float(rng.integers(0, 3)), str(k)) for k in range(6_000)]
+    df = spark.createDataFrame(rows, ["features", "label", "__id"]).repartition(3)
+    monkeypatch.setattr(trees, "SMALL_ROWS", 500)
+    real, used = trees._equal_rows, []
+    monkeypatch.setattr(trees, "_equal_rows", lambda *a: used.append(1) or real(*a))
+    for classes in (0, 3):
+        grown = []
+        for each in (True, False):
+            if not each:
+                monkeypatch.setattr(trees, "_equal_rows", lambda r, g: r)
+            held = fit_trees(df, "f", classes, n_trees=3, drawn=True, max_depth=4, min_samples_split=10).trees
+            grown.append((held.tree.tolist(), held.node.tolist(), held.feature.tolist(), held.threshold.tolist(), held.n.tolist()))
+            monkeypatch.setattr(trees, "_equal_rows", lambda *a: used.append(1) or real(*a))
+        assert grown[0] == grown[1]
+    assert len(used) == 2
