@@ -44,9 +44,12 @@ NEAR = 0.02
 ROUND_NUMBERS = 2_000_000
 # Numbers of all rows up to which one task fits alone (8 MB), as rounds would cost more.
 TASK_NUMBERS = 1_000_000
-# Rows a task should have, and the rows up to which one shuffle for it is cheap.
+# Rows a task should have, the most it gets, and tasks for each core in between.
 ROWS_PER_TASK = 50_000
-SPREAD_ROWS = 10_000_000
+MOST_ROWS = 250_000
+TASKS_PER_CORE = 4
+# Numbers of one block of rows.
+BLOCK = 500_000
 
 
 @dataclass
@@ -177,9 +180,29 @@ def solve(lines: list[Line], sums_of: Callable[[list[Line]], np.ndarray], C: flo
 # --- on Spark -----------------------------------------------------------------------
 
 
-def _arrays(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return np.hstack([x, np.ones((len(x), 1))]), rows["y"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
+def _packed(rows: DataFrame, width: int, labelled: bool) -> DataFrame:
+    """Rows ``[x, 1]``, ``y`` and ``n`` in blocks of plain bytes, which every round reads
+    without looking at single values; ``labels`` has the labels of a block if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK // (width + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = part["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                y, n = (part[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("y", "n"))
+                held = {c: pa.array([v.tobytes()], pa.binary()) for c, v in (("x", np.insert(x, width, 1.0, axis=1)), ("y", y), ("n", n))}
+                labels = np.unique(y).tolist() if labelled else []
+                yield pa.record_batch({**held, "labels": pa.array([labels], pa.list_(pa.float64()))})
+
+    return rows.mapInArrow(run, "x binary, y binary, n binary, labels array<double>")
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for block in zip(*(batch[c] for c in ("x", "y", "n"))):
+            x, y, n = (np.frombuffer(c.as_buffer(), np.float64) for c in block)
+            yield x.reshape(-1, width + 1), y, n
 
 
 def _partition_sums(lines: list[Line], epsilon: float):
@@ -187,10 +210,7 @@ def _partition_sums(lines: list[Line], epsilon: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(lines), Line.size(width)))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, weight = _arrays(pa.Table.from_batches([batch]).combine_chunks(), width)
+        for x, y, weight in _arrays(batches, width):
             for k, line in enumerate(lines):
                 total[k] += line_sums(line, x, y, weight, epsilon)
         yield pa.record_batch({"sums": pa.array([total.ravel()], pa.list_(pa.float64()))})
@@ -198,8 +218,8 @@ def _partition_sums(lines: list[Line], epsilon: float):
     return run
 
 
-def _prepared(train: DataFrame) -> tuple[DataFrame, bool, int, float, float]:
-    """Rows ``x, y, n`` spread over tasks, equal ones once, whether they fit in one task,
+def _prepared(train: DataFrame, labelled: bool = False) -> tuple[DataFrame, bool, int, float, float]:
+    """Blocks of rows spread over tasks, equal ones once, whether they fit in one task,
     and their width, mean and deviation."""
     rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
     facts = rows.agg(
@@ -218,8 +238,10 @@ def _prepared(train: DataFrame) -> tuple[DataFrame, bool, int, float, float]:
     alone = size * (facts["width"] + 1) <= TASK_NUMBERS
     if alone:
         rows = rows.coalesce(1) if grouped else rows.repartition(1)
-    elif size <= SPREAD_ROWS:
-        rows = rows.repartition(-(-size // ROWS_PER_TASK))
+    rows = _packed(rows, facts["width"], labelled)
+    if not alone:
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(max(-(-size // MOST_ROWS), min(TASKS_PER_CORE * cores, -(-size // ROWS_PER_TASK))))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     return rows, alone, facts["width"], facts["mean"], facts["std"] or 0.0
 
@@ -235,8 +257,7 @@ def _fitted(
         return np.array(total).reshape(len(part), -1)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)).combine_chunks()
-        x, y, weight = _arrays(held, lines[0].width)
+        x, y, weight = (np.concatenate(c) for c in zip(*_arrays(batches, lines[0].width)))
         for line in lines:
             solve([line], lambda _: [line_sums(line, x, y, weight, epsilon)], C, gap, max_rounds)
         yield pa.record_batch(
@@ -308,9 +329,9 @@ def fit_svc(
     train: DataFrame, C: float = 1.0, classes: int = 2, gap: float = GAP, max_rounds: int = MAX_ROUNDS
 ) -> LinearSVC:
     """Fit on ``features``/``label``; labels are 0 to ``classes`` - 1."""
-    rows, alone, width, _, _ = _prepared(train)
+    rows, alone, width, _, _ = _prepared(train, labelled=True)
     try:
-        seen = sorted(int(r[0]) for r in rows.select("y").distinct().collect())
+        seen = sorted(int(r[0]) for r in rows.select(F.explode("labels")).distinct().collect())
         pairs = list(combinations(seen, 2))
         if not pairs:
             # A single class is all there is to predict.

@@ -244,3 +244,16 @@ def test_joined_keys_stay_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "b|c"), ("a\\|b", "c"), (None, "x"), ("\\N", "x"), ("", "x")]
     df = spark.createDataFrame(rows, "p string, q string")
     assert row_key(df, ["p", "q"]).select("__id").distinct().count() == len(rows)
+
+
+def test_rounds_read_blocks_of_rows(spark):
+    rows = [(Vectors.dense([float(k % 7), float(k % 11)]), float(k)) for k in range(4_000)]
+    train = spark.createDataFrame(rows, ["features", "label"]).repartition(2)
+    blocks, _, width, _, _ = margins._prepared(train, labelled=True)
+    held = blocks.collect()
+    blocks.unpersist()
+    assert width == 2 and len(held) <= 4
+    x = np.vstack([np.frombuffer(r["x"]).reshape(-1, 3) for r in held])
+    y = np.concatenate([np.frombuffer(r["y"]) for r in held])
+    assert sorted(zip(*x.T.tolist(), y.tolist())) == sorted((*v.tolist(), 1.0, t) for v, t in ((r[0].toArray(), r[1]) for r in rows))
+    assert sorted(v for r in held for v in r["labels"]) == sorted(y.tolist())
