@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import col, strip_text
-from ..functions.sizing import join_by_size
+from ..functions.sizing import cut_lineage, join_by_size
 from ..functions.statistics import distinct_counts
 
 # Cell texts that are no item; distinct values of an item column.
@@ -19,14 +19,21 @@ ITEM_COLUMN_MIN = 2
 ITEM_COLUMN_MAX = 50
 ITEM_COLUMNS_NEEDED = 2
 
+# Rows of each kind from which equal ones are grouped.
+EQUAL = 4
+
 
 @dataclass
 class Baskets:
-    """Transactions in ``items`` and the number they are measured against."""
+    """Transactions in ``items`` and the number they are measured against.
+
+    ``groups`` has the different ones with their ``freq`` where they are far fewer.
+    """
 
     data: DataFrame
     n: int
     method: str
+    groups: DataFrame | None = None
 
     def info(self) -> DataFrame:
         """One row: method, transactions, distinct items."""
@@ -90,9 +97,19 @@ def text_baskets(df: DataFrame, column: str) -> Baskets:
 
 
 def column_baskets(df: DataFrame, columns: Sequence[str] | None = None) -> Baskets:
+    """Baskets of a table's columns; rows that are often equal become items once."""
     chosen = list(columns) if columns else detect_item_columns(df)
     data = items_from_columns(df, chosen).select("items")
-    return Baskets(data, data.count(), "item_columns")
+    # Items are made of the cells' texts.
+    texts = df.select(*[col(c).cast("string").alias(c) for c in dict.fromkeys(chosen)])
+    rows, kinds = texts.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*[col(c) for c in texts.columns]))).first()
+    if EQUAL * kinds > rows:
+        return Baskets(data, data.count(), "item_columns")
+    counted = texts.groupBy(*[col(c) for c in texts.columns]).agg(F.count(F.lit(1)).alias("__freq"))
+    groups = cut_lineage(
+        items_from_columns(counted, chosen).groupBy("items").agg(F.sum("__freq").alias("freq"))
+    )
+    return Baskets(data, groups.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0], "item_columns", groups)
 
 
 def row_baskets(df: DataFrame, tid: str, item: str, min_support: float) -> Baskets:

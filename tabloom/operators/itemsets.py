@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.sizing import collect_if_small, cut_lineage, join_by_size
-from .baskets import Baskets
+from .baskets import EQUAL, Baskets
 
 # Automatic length limits by item count, and the guards.
 LENGTH_MANY_ITEMS = 3
@@ -84,17 +84,24 @@ def frequent_itemsets(
 def fp_growth(baskets: Baskets, min_support: float, max_len: int | None = None) -> DataFrame:
     """FP-growth with an inclusive support threshold.
 
-    The estimator rounds ``support × n`` up, which can lose an itemset exactly on the
-    threshold; it is asked for slightly less and the exact ratio is filtered here.
+    Where transactions are often equal they are grouped first and the patterns are grown
+    on the groups (:func:`_grow`).  Otherwise the estimator does it; it rounds
+    ``support × n`` up, which can lose an itemset exactly on the threshold, so it is
+    asked for slightly less and the exact ratio is filtered here.
     The itemsets are written to the shared folder once: they are read several times
     by rule generation, and mining them again would be far dearer.
     """
     spark = baskets.data.sparkSession
+    if baskets.groups is not None:
+        return _grow(baskets.groups, baskets.n, min_support, max_len)
     occupied = baskets.data.where(F.size("items") > 0).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = occupied.count()
+        rows, kinds = occupied.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("items"))).first()
         if not rows:
             return spark.createDataFrame([], SCHEMA)
+        if EQUAL * kinds <= rows:
+            groups = occupied.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+            return _grow(groups, baskets.n, min_support, max_len)
         # The same absolute support, over the transactions that have items.
         asked = min(1.0, max(min_support - 1e-9, 0.0) * baskets.n / rows)
         model = FPGrowth(itemsCol="items", minSupport=asked).fit(occupied)
@@ -109,6 +116,42 @@ def fp_growth(baskets: Baskets, min_support: float, max_len: int | None = None)
         occupied.unpersist()
 
 
+def _grow(groups: DataFrame, n: int, min_support: float, max_len: int | None) -> DataFrame:
+    """Patterns grown on grouped transactions, all of one length in a step.
+
+    An itemset's *base* has the items that come before it in each transaction it is in,
+    equal ones once with their number.  Counting a base's items gives the itemsets one
+    longer; cut at each of those items it gives their bases.
+    """
+    enough = F.col("freq") / F.lit(n) >= min_support
+    bases = cut_lineage(
+        groups.select(F.expr("CAST(array() AS array<string>)").alias("found"), F.array_sort("items").alias("before"), "freq")
+    )
+    levels = []
+    for length in count(1) if max_len is None else range(1, max_len + 1):
+        cells = bases.select("found", F.posexplode("before").alias("at", "item"), "before", "freq")
+        fresh = cut_lineage(cells.groupBy("found", "item").agg(F.sum("freq").alias("freq")).where(enough))
+        n_fresh = fresh.count()
+        if not n_fresh:
+            break
+        levels.append(fresh.select(F.array_sort(F.concat("found", F.array("item"))).alias("items"), "freq"))
+        if length == max_len:
+            break
+        bases = cut_lineage(
+            join_by_size(cells.where(F.col("at") > 0), fresh.select("found", "item"), ["found", "item"], "inner", n_fresh)
+            .groupBy(
+                F.concat("found", F.array("item")).alias("found"),
+                F.slice("before", F.lit(1), F.col("at")).alias("before"),
+            )
+            .agg(F.sum("freq").alias("freq"))
+        )
+    if not levels:
+        return groups.sparkSession.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionAll, levels).select(
+        "items", "freq", (F.col("freq") / F.lit(n)).alias("support"), F.size("items").alias("length")
+    )
+
+
 def apriori(
     baskets: Baskets, min_support: float, max_len: int | None = None, max_candidates: int = MAX_CANDIDATES
 ) -> DataFrame:

@@ -47,6 +47,17 @@ def test_support_is_inclusive(spark):
         assert found(run(baskets(spark, rows), 0.07, 2)) == {("x",): 7, ("y",): 100, ("x", "y"): 7}
 
 
+def test_fp_growth_groups_equal_transactions(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "FPGrowth", None)
+    for support, max_len in ((0.1, None), (0.25, 2), (1.0, None)):
+        expected = brute(BASKET, support, max_len or 5)
+        assert found(fp_growth(baskets(spark, BASKET * 6), support, max_len)) == {k: 6 * v for k, v in expected.items()}
+    table = spark.createDataFrame([("x", 1), ("x", 1), ("y", 1), (None, None)] * 9, "a string, b int")
+    named = column_baskets(table, ["a", "b"])
+    assert named.n == 27 and {tuple(r["items"]): r["freq"] for r in named.groups.collect()} == {("a=x", "b=1"): 18, ("a=y", "b=1"): 9}
+    assert found(fp_growth(named, 0.5)) == {("a=x",): 18, ("b=1",): 27, ("a=x", "b=1"): 18}
+
+
 @pytest.mark.parametrize("limit", [0, 2])
 def test_many_candidates_stay_in_tables(spark, monkeypatch, limit):
     monkeypatch.setattr(itemsets, "fp_growth", None)
